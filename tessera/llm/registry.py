@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, chat, decontaminate, exact_dedup, license_scan, quality, sharding, simhash, token_file
+from tessera.llm import bpe, chat, decontaminate, exact_dedup, katz, license_scan, quality, sharding, simhash, token_file
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_token_file": token_file.op5_token_file,
         "op6_quality": quality.op6_quality,
         "op7_bpe": bpe.op7_bpe,
+        "op8_katz": katz.op8_katz,
         "op9_sharding": sharding.op9_sharding,
         "op10_chat": chat.op10_chat,
     }
