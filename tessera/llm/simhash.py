@@ -28,7 +28,7 @@ from tessera.llm.common import apply_decisions, doc_text, lookup, shared_folder,
 
 SEGMENTS, WIDTH, MAX_BITS = 4, 16, 3
 #: Fingerprints under one key up to which the pairs are compared in the plan, and those in a block beyond.
-SMALL, BLOCK = 64, 2048
+SMALL, BLOCK = 16, 2048
 #: Shingles hashed at once, which bounds the memory that a very long text takes.
 SLICE = 1 << 15
 
@@ -109,8 +109,8 @@ def links_of(distinct: DataFrame, folder: str, small: int = SMALL, block: int =
     live = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = written(keys.join(live, "key"), folder, "members")
     few = members.where(F.col("n") <= small).groupBy("key").agg(F.sort_array(F.collect_set("fp")).alias("fps"))
-    pairs = few.select(F.explode(F.expr("transform(slice(fps, 1, size(fps) - 1), (x, i) -> struct(x AS a, slice(fps, i + 2, size(fps)) AS rest))")).alias("p"))
-    pairs = pairs.select("p.a", F.explode("p.rest").alias("b")).where(ring_passes("a", "b")).distinct()
+    pairs = few.select(F.explode(F.expr("transform(slice(fps, 1, size(fps) - 1), (x, i) -> struct(x AS a, filter(slice(fps, i + 2, size(fps)), y -> {0}) AS rest))".format(ring_passes("x", "y")))).alias("p"))
+    pairs = pairs.select("p.a", F.explode("p.rest").alias("b")).distinct()
     many = members.where(F.col("n") > small)
     if not many.limit(1).count():
         return pairs
