@@ -27,3 +27,17 @@ def numbered(rows: DataFrame, number: str, by: Column, then: list[str], ranges:
     inside = Window.partitionBy("__range").orderBy("__by", *then)
     ranked = keyed.withColumn("__rank", F.row_number().over(inside)).join(F.broadcast(sizes), "__range")
     return ranked.withColumn(number, (F.col("__before") + F.col("__rank")).cast("long")).drop("__by", "__range", "__before", "__rank")
+
+
+def running_sum(rows: DataFrame, out: str, value: str, by: str, ranges: int = RANGES) -> DataFrame:
+    """`rows` with the sum of `value` over all rows up to each by the unique long `by`, without one global window."""
+    bounds = rows.agg(F.percentile_approx(by, [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or []
+    at = F.lit(0)
+    if bounds:
+        at = F.expr(f"size(filter(array({', '.join(f'{b}L' for b in sorted(set(bounds)))}), b -> b < {by}))")
+    keyed = rows.withColumn("__range", at)
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = keyed.groupBy("__range").agg(F.sum(value).alias("__sum")).select("__range", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy("__range").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+    run = keyed.withColumn("__run", F.sum(value).over(inside)).join(F.broadcast(sums), "__range")
+    return run.withColumn(out, (F.col("__before") + F.col("__run")).cast("long")).drop("__range", "__run", "__before")
