@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from tessera.plans import gr, im, kv, pk  # noqa: F401
+from tessera.plans import gr, im, kv, pk, zs  # noqa: F401
