@@ -88,3 +88,15 @@ SELECT * FROM (VALUES (1, true, 'app', '2.0.0', NULL), (1, true, 'util', '1.1.0'
 def pk_solve(spark, sf_dir):
     releases, requirements, roots = fixture(spark)
     return solver.resolve(releases, requirements, roots, "universe")
+
+
+@register("cg_telemetry_profiles")
+def cg_telemetry_profiles(spark, sf_dir):
+    """profile, lines, bytes of each generated profile, with as many records as there are events."""
+    from tessera.synth import telemetry
+
+    n, out = table(spark, sf_dir, "events").count(), None
+    for name, make in telemetry.PROFILES.items():
+        part = make(spark, n, 42).agg(F.count(F.lit(1)).alias("lines"), F.sum(F.octet_length("line").cast("long") + 1).alias("bytes")).select(F.lit(name).alias("profile"), "lines", "bytes")
+        out = part if out is None else out.unionByName(part)
+    return out
