@@ -94,9 +94,10 @@ def _paged(rows: DataFrame, limit: int, folder: str) -> DataFrame:
         # part is small, and running sums inside a part and over parts place its rows on pages
         parts = F.expr("pmod(xxhash64(content, doc_id, monotonically_increasing_id()), greatest(1L, shard_bytes div {0}))".format(limit))
         over = written(over.withColumn("part", parts), folder, "parts")
-        inside = Window.partitionBy("depth", "prefix", "part").orderBy("content", "doc_id")
-        run = over.withColumn("__upto", F.sum("bytes").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-        over = run.withColumn("page", F.expr(f"part * 1048576L + greatest(0L, (__upto - 1) div greatest(1L, {limit} div 2))"))
+        big = F.col("bytes") > max(1, limit // 2)  # each on a page of its own
+        inside = Window.partitionBy("depth", "prefix", "part", "big").orderBy("content", "doc_id")
+        run = over.withColumn("big", big).withColumn("__upto", F.sum("bytes").over(inside.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__nth", F.row_number().over(inside))
+        over = run.withColumn("page", F.expr(f"part * 2147483648L + IF(big, 1073741824L + __nth, greatest(0L, (__upto - 1) div {max(1, limit // 2)}))"))
         pages = over.groupBy("depth", "prefix", "page").agg(F.sum("bytes").alias("__bytes"), F.count(F.lit(1)).alias("__rows"))
         over = over.join(pages, ["depth", "prefix", "page"]).withColumns({"shard_bytes": F.col("__bytes"), "shard_rows": F.col("__rows")}).select(*fine.columns)
         fine = fine.unionByName(over)
