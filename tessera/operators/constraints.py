@@ -91,3 +91,72 @@ def fact_problems(facts: DataFrame, releases: DataFrame, requirements: DataFrame
     published = facts.join(releases, ["package", "version"], "left_semi")
     unknown = published.join(requirements, ["package", "version", "target", "range"], "left_anti").select("fact", F.lit("not required").alias("problem"))
     return unpublished.unionByName(unknown)
+
+
+def assignments(releases: DataFrame, group: str) -> DataFrame:
+    """group, chosen (map of package to version): every choice of a release, or of none, for each package.
+
+    This enumerates, so it is for small universes: CAP choices in each at most.
+    """
+    sizes = releases.groupBy(group, "package").agg(F.log(F.count(F.lit(1)) + 1).alias("l")).groupBy(group).agg(F.exp(F.sum("l")).alias("n"))
+    if (sizes.agg(F.max("n")).first()[0] or 0) > CAP:
+        raise ValueError(f"over {CAP} choices")
+    kind = "map<string,struct<major:bigint,minor:bigint,patch:bigint>>"
+    none = F.create_map().cast(kind)
+    one = releases.groupBy(group, "package").agg(F.concat(F.array(none), F.collect_list(F.create_map("package", "version").cast(kind))).alias("options"))
+    product = F.aggregate("all", F.array(none), lambda done, options: F.flatten(F.transform(done, lambda m: F.transform(options, lambda o: F.map_concat(m, o)))))
+    return one.groupBy(group).agg(F.collect_list("options").alias("all")).select(group, F.explode(product).alias("chosen"))
+
+
+#: Choices that an enumeration may have.
+CAP = 400_000
+
+
+def _key(package, version):
+    return F.concat(package, F.lit("/"), F.to_json(version))
+
+
+def _with_tables(choices: DataFrame, requirements: DataFrame, roots: DataFrame, group: str) -> DataFrame:
+    """Choices with their universe's requirements, as a map from release to (t, r), and its roots, as an array."""
+    one = requirements.groupBy(group, _key(F.col("package"), F.col("version")).alias("key")).agg(F.collect_list(F.struct(F.col("target").alias("t"), F.col("range").alias("r"))).alias("asks"))
+    needs = one.groupBy(group).agg(F.map_from_entries(F.collect_list(F.struct("key", "asks"))).alias("needs"))
+    asked = roots.groupBy(group).agg(F.collect_list(F.struct(F.col("target").alias("t"), F.col("range").alias("r"))).alias("asked"))
+    return choices.join(needs, group, "left").join(asked, group)
+
+
+def _asks(package, version):
+    """The requirements of a release in the row's universe."""
+    return F.coalesce(F.element_at("needs", _key(package, version)), F.slice("asked", 1, 0))
+
+
+def valid_assignments(choices: DataFrame, requirements: DataFrame, roots: DataFrame, group: str) -> DataFrame:
+    """The choices that meet all roots and requirements and hold nothing that is not asked for; a check inside each row."""
+    rows = _with_tables(choices, requirements, roots, group)
+    met = lambda a: F.map_contains_key("chosen", a["t"]) & F.coalesce(contains(a["r"], F.element_at("chosen", a["t"])), F.lit(False))
+    edges = F.flatten(F.transform(F.map_entries("chosen"), lambda e: _asks(e["key"], e["value"])))
+    targets = lambda known: F.flatten(F.transform(F.filter(F.map_entries("chosen"), lambda e: F.array_contains(known, e["key"])), lambda e: F.transform(_asks(e["key"], e["value"]), lambda a: a["t"])))
+    reached = F.aggregate(F.sequence(F.lit(0), F.size("chosen")), F.array_distinct(F.col("asked.t")), lambda known, _: F.array_union(known, targets(known)))
+    good = F.forall("asked", met) & F.forall(edges, met) & (F.size(F.array_except(F.map_keys("chosen"), reached)) == 0)
+    return rows.where(good).select(group, "chosen")
+
+
+def preferred(valid: DataFrame, requirements: DataFrame, roots: DataFrame, group: str) -> DataFrame:
+    """group, package, version: of the valid choices the one that the law names.
+
+    A choice fixes the order in which its packages are decided. Where the orders of two choices first differ in a
+    version, they have decided the same before, so they decide the same package there, and the newer release is
+    preferred: the law's choice is the one whose versions, in the order of the decisions, are largest.
+    """
+    rows = _with_tables(valid, requirements, roots, group)
+    start = F.struct(F.array_distinct(F.col("asked.t")).alias("needed"), F.slice(F.map_keys("chosen"), 1, 0).alias("decided"), F.slice(F.map_values("chosen"), 1, 0).alias("versions"))
+
+    def decide(s, _):
+        package = F.array_min(F.array_except(s["needed"], s["decided"]))
+        version = F.element_at("chosen", package)
+        needed = F.array_union(s["needed"], F.transform(_asks(package, version), lambda a: a["t"]))
+        return F.struct(needed.alias("needed"), F.concat(s["decided"], F.array(package)).alias("decided"), F.concat(s["versions"], F.array(version)).alias("versions"))
+
+    order = F.aggregate(F.sequence(F.lit(1), F.size("chosen")), start, decide, lambda s: F.struct(s["versions"].alias("versions"), s["decided"].alias("decided")))
+    best = rows.where(F.size("chosen") > 0).groupBy(group).agg(F.max(order).alias("b"))
+    pairs = F.explode(F.arrays_zip(F.col("b.decided").alias("package"), F.col("b.versions").alias("version")))
+    return best.select(group, pairs.alias("p")).select(group, F.col("p.package").alias("package"), F.col("p.version").alias("version"))

@@ -155,3 +155,12 @@ def kv_invalid_entries(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     key = F.expr("CASE WHEN doc_id % 50 = 0 THEN '' WHEN doc_id % 50 = 1 THEN repeat(source, 2000) ELSE source END")
     return kv.invalid_entries(docs.select("doc_id", key.alias("key"), F.lit("v").alias("value"))).select("doc_id", "reason")
+
+
+@register("kv_crc_verify")
+def kv_crc_verify(spark, sf_dir):
+    """doc_id, crc, ok: the checksum of each text against one that a byte has been changed in for some rows."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("body"))
+    kept = F.crc32("body")
+    read = F.when(F.col("doc_id") % 7 == 3, F.concat(F.col("body"), F.lit(b"!"))).otherwise(F.col("body"))
+    return docs.select("doc_id", kept.alias("crc"), (F.crc32(read) == kept).alias("ok"))

@@ -162,3 +162,23 @@ def pk_fact_problems(spark, sf_dir):
     facts = spark.createDataFrame(told, "fact string, package string, version string, target string, spec string")
     facts = facts.select("fact", "package", v.version(F.col("version")).alias("version"), "target", v.version_range(F.col("spec")).alias("range"))
     return pk.fact_problems(facts, releases.select("package", "version"), requirements.drop("universe", "pos"))
+
+
+def _valid(spark):
+    releases, requirements, roots = fixture(spark)
+    return pk.valid_assignments(pk.assignments(releases, "universe"), requirements, roots, "universe"), requirements, roots
+
+
+@register("pk_all_solutions", """
+SELECT * FROM (VALUES (1, 'app=1.0.0'), (1, 'app=2.0.0 util=1.0.0'), (1, 'app=2.0.0 util=1.1.0'), (2, 'aa=1.0.0 zz=1.0.0'), (2, 'aa=1.0.0 zz=2.0.0'), (2, 'aa=2.0.0 zz=1.0.0'), (2, 'aa=2.0.0 zz=2.0.0'), (2, 'aa=3.0.0 zz=1.0.0'),
+ (3, 'aaa=1.0.0 mid=1.0.0'), (3, 'aaa=2.0.0 mid=1.0.0'), (5, 'a=1.0.0'), (6, 'lib=1.0.0'), (6, 'lib=2.0.0')) t(universe, chosen)""")
+def pk_all_solutions(spark, sf_dir):
+    pairs = F.transform(F.array_sort(F.map_entries("chosen")), lambda e: F.concat(e["key"], F.lit("="), v.version_text(e["value"])))
+    return _valid(spark)[0].select("universe", F.array_join(pairs, " ").alias("chosen"))
+
+
+@register("pk_preferred", """
+SELECT * FROM (VALUES (1, 'app', '2.0.0'), (1, 'util', '1.1.0'), (2, 'aa', '3.0.0'), (2, 'zz', '1.0.0'), (3, 'aaa', '2.0.0'), (3, 'mid', '1.0.0'), (5, 'a', '1.0.0'), (6, 'lib', '2.0.0')) t(universe, package, version)""")
+def pk_preferred(spark, sf_dir):
+    valid, requirements, roots = _valid(spark)
+    return pk.preferred(valid, requirements, roots, "universe").select("universe", "package", v.version_text(F.col("version")).alias("version"))

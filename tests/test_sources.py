@@ -156,3 +156,15 @@ def test_generators_do_not_depend_on_partitioning(spark):
     line = telemetry.csv(spark, 5, 1).first().line
     assert len(line.split(",")) == 5
     assert json.loads(telemetry.jsonl(spark, 5, 1).first().line)["tg"]
+
+
+def test_toml_records(spark, tmp_path):
+    from pyspark.sql.types import StructType
+
+    from tessera.sources.records import read_toml
+
+    (tmp_path / "a.toml").write_text('version = "1"\n[agent]\ntimeout_sec = 60.5\nextra = 1\n')
+    (tmp_path / "b.toml").write_text('version = "2"\n')
+    schema = StructType.fromDDL("version string, agent struct<timeout_sec: double>")
+    rows = {r.version: r.agent for r in read_toml(spark, str(tmp_path), schema).collect()}
+    assert rows["1"].timeout_sec == 60.5 and rows["2"] is None
