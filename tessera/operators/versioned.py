@@ -77,17 +77,35 @@ def commit_fold(writes: DataFrame, group: str) -> DataFrame:
     nothing, so it fails nobody else, which is why the fold is sequential inside a group.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = txn = None  # the group and the transaction at hand; rows come in their order
         last: dict = {}
-        out = []
-        for (commit, txn), rows in pdf.sort_values(["commit", "txn", "key"]).groupby(["commit", "txn"], sort=True):
-            ok = all(last.get(k, -1) <= b for k, b in zip(rows["key"], rows["begin"], strict=True))
-            if ok:
-                last |= dict.fromkeys(rows["key"], commit)
-            out.append((rows[group].iloc[0], txn, ok))
-        return pd.DataFrame(out, columns=[group, "txn", "committed"])
-
-    return writes.groupBy(group).applyInPandas(fold, f"{group} long, txn long, committed boolean")
+        keys: list = []
+        ok, commit, out = True, -1, []
+
+        def end() -> None:
+            if txn is not None:
+                out.append((at, txn, ok))
+                if ok:
+                    last.update(dict.fromkeys(keys, commit))
+
+        for pdf in batches:
+            for g, c, t, k, b in zip(*(pdf[x].tolist() for x in (group, "commit", "txn", "key", "begin")), strict=True):
+                if (g, t) != (at, txn):
+                    end()
+                    if g != at:
+                        last = {}
+                    at, txn, commit, ok, keys = g, t, c, True, []
+                keys.append(k)
+                ok = ok and last.get(k, -1) <= b
+            yield pd.DataFrame(out, columns=[group, "txn", "committed"])
+            out = []
+        end()
+        yield pd.DataFrame(out, columns=[group, "txn", "committed"])
+
+    # many groups share a task, and only one group's keys are held at a time
+    ordered = writes.select(group, "commit", "txn", "key", "begin").repartition(group).sortWithinPartitions(group, "commit", "txn", "key")
+    return ordered.mapInPandas(fold, f"{group} long, txn long, committed boolean")
 
 
 def horizon(checkpoint: int, active: list[int]) -> int:

@@ -48,10 +48,10 @@ def gr_lenient_score(spark, sf_dir):
     return gr.weighted_lenient(_fractions(spark, sf_dir), "6-NEVER RUN").select(F.round("score", 9).alias("score"))
 
 
-@register("gr_partial_credit", "SELECT o_orderkey, round(greatest(0, least(1, (400000 - o_totalprice) / (400000.0 - 100000.0))), 6) AS credit FROM orders")
+@register("gr_partial_credit", "SELECT o_orderkey, greatest(0, least(1, (400000 - o_totalprice) / 300000::DOUBLE)) AS credit FROM orders")
 def gr_partial_credit(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
-    return orders.select("o_orderkey", F.round(gr.partial_credit(F.col("o_totalprice"), F.lit(100000.0), F.lit(400000.0)), 6).alias("credit"))
+    return orders.select("o_orderkey", gr.partial_credit(F.col("o_totalprice"), F.lit(100000.0), F.lit(400000.0)).alias("credit"))
 
 
 @register("gr_worst_case", "SELECT max(o_totalprice) AS worst, min(o_orderkey) FILTER (o_totalprice = m) AS at FROM orders, (SELECT max(o_totalprice) AS m FROM orders)")
