@@ -34,7 +34,12 @@ def test_risk_is_that_of_positives_and_unlabelled():
     rng = np.random.default_rng(0)
     good, bad = rng.normal(0, 1, (3000, 3)), rng.normal([4, 0, 0], 1, (1000, 3))
     model = q.fit(good[:1500], np.vstack([good[1500:], bad[:500]]), prior=0.75)
-    assert model.score(good[:500]).mean() > 0.9 and model.score(bad[500:]).mean() < 0.2
+    # four deviations apart: the best rule on the first number alone is right in about 0.97 of the cases
+    right = [*(model.score(good[:500]) >= 0.5), *(model.score(bad[500:]) < 0.5)]
+    assert np.mean(right) >= 0.9
+    # all positives and nothing else: the plain unlabelled risk could fall below zero, the kept one does not
+    alone = q.fit(good[:200], good[200:400], prior=0.75)
+    assert np.isfinite(alone.weights).all() and alone.score(good[400:]).mean() > 0.5
 
 
 def test_no_positives_give_the_prior(spark):
