@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import apply_decisions, doc_text, lookup, shared_folder, written
+from tessera.llm.common import apply_decisions, doc_text, lookup, remove, shared_folder, written
 
 SEGMENTS, WIDTH, MAX_BITS = 4, 16, 3
 #: Fingerprints under one key up to which the pairs are compared in the plan, and those in a block beyond.
@@ -144,6 +144,7 @@ def components(links: DataFrame, folder: str) -> DataFrame:
         new = written(small, folder, f"edges-{turn}")
         done = not new.join(edges, ["u", "v"], "left_anti").limit(1).count() and new.count() == edges.count()
         edges = new
+        remove(links.sparkSession, f"{folder}/edges-{turn - 1}")
         if done:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     raise RuntimeError("the components did not settle")
