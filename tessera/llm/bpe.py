@@ -30,12 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm.common import doc_text
+from tessera.llm.common import doc_text, small_batches
 
 #: ASCII white space, where texts are cut.
 _CUT = re.compile(r"[ \t\n\r\f\v]+")
 #: Pieces that a worker keeps; when full, the older half of what it saw goes.
-CACHE = 400_000
+CACHE = 800_000
 
 
 def default_path() -> str:
@@ -45,6 +45,21 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def pieces_of(text: str) -> list[str]:
+    """A text without special tokens, cut at white space; in lower case where that is what normalisation does.
+
+    str.split cuts at what the vocabulary takes for white space and at \\x1c-\\x1f, so texts with these are cut by a
+    pattern. In Latin-1, lower case is letter by letter and nothing is left to compose.
+    """
+    if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
+        return [p for p in _CUT.split(text) if p]
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text.split()
+    return text.lower().split()
+
+
 class PrefixCoder:
     """Encodes symbol sequences of one merge list, with the unique last token of every prefix."""
 
@@ -157,7 +172,7 @@ class BpeTokenizer:
         """Ids of a pre-token, already in the alphabet of the vocabulary."""
         ids = self._words.get(word)
         if ids is None:
-            if len(self._words) > self.cache:
+            if len(self._words) > self.cache // 4:
                 self._words.clear()
             ids = self._words[word] = tuple(self.vocab[t] for t in self.coder.encode(word))
         return ids
@@ -184,14 +199,14 @@ class BpeTokenizer:
     def _cut(self, text: str) -> list[str | int]:
         """Pieces of text, and the ids of special tokens between them."""
         if self._specials is None or "<|" not in text and not self._specials.search(text):
-            return [p for p in _CUT.split(text) if p]
+            return pieces_of(text)
         out: list[str | int] = []
         at = 0
         for m in self._specials.finditer(text):
-            out += [p for p in _CUT.split(text[at : m.start()]) if p]
+            out += pieces_of(text[at : m.start()])
             out.append(self.special[m[0]])
             at = m.end()
-        return out + [p for p in _CUT.split(text[at:]) if p]
+        return out + pieces_of(text[at:])
 
     def encode(self, text: str) -> list[int]:
         """The ids of a whole text."""
@@ -256,6 +271,7 @@ def decode(rows: DataFrame, path: str | None = None, ids_col: str = "ids", out_c
 def digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row, in one pass without a shuffle."""
     path = path or default_path()
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = tokenizer(path)

@@ -15,6 +15,12 @@ HOT_SHARE = 1000
 BROADCAST_IDS = 200_000
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what a Python worker is sent at once, in rows and in bytes, whatever the length of the texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir; where that is unset (tests), under a folder of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
