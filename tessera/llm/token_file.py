@@ -18,21 +18,25 @@ from __future__ import annotations
 
 import functools
 import os
-import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import doc_text, shared_folder
+from tessera.llm.bpe import default_path, pieces_of
+from tessera.llm.common import doc_text, shared_folder, small_batches
 
 SCHEMA = "part int, doc_id long, n_tokens int, ids array<int>"
-_CUT = re.compile(r"[ \t\n\r\f\v]+")
-#: Pieces of text whose ids a worker keeps.
-CACHE = 400_000
+#: Signs that make a pre-token of their own after letters.
+_SIGNS = ".,;:!?"
+#: Pieces of text whose ids a worker keeps, in two halves of which the older one goes.
+CACHE = 800_000
+#: Texts encoded at once.
+SLICE = 500
 
 
 def write_options(encoding: str = "dictionary", row_group_mb: int = 16, page_kb: int = 256) -> dict[str, str]:
@@ -54,35 +58,76 @@ def write_options(encoding: str = "dictionary", row_group_mb: int = 16, page_kb:
 class PieceEncoder:
     """The tokenizers library's ids of whole texts, made of what it gives for their pieces.
 
-    Texts are cut at ASCII white space, which no pre-token of the vocabulary spans; the library encodes each
-    piece that a worker has not kept, in one batch for each batch of texts. A text with special tokens inside
-    goes to the library whole.
+    Texts are cut at white space, which no pre-token of the vocabulary spans; the library encodes the pieces that a
+    worker has not kept. Plain pieces (letters, or letters and a sign) are encoded many at a time and their ids told apart
+    by the end-of-word tokens; letters that normalisation turns into more than one pre-token make these more than
+    expected, and then, as for all other pieces, each is encoded by itself. A text with special tokens inside goes to the library whole.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library, self.kept = Tokenizer.from_file(path), {}
+        self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-
-    def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
-        cut = [None if any(s in t for s in self.special) else [p for p in _CUT.split(t) if p] for t in texts]
-        new = list({p for pieces in cut for p in pieces or () if p not in self.kept})
-        if len(self.kept) + len(new) > CACHE:
-            self.kept = {}
-            new = list({p for pieces in cut for p in pieces or ()})
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            for p, e in zip(some, self.library.encode_batch(some, add_special_tokens=False), strict=True):
-                self.kept[p] = np.array(e.ids, dtype="<i4").tobytes()
-        out, end = [], np.array([end_id], dtype="<i4").tobytes()
-        for t, pieces in zip(texts, cut, strict=True):
-            if pieces is None:
-                whole = np.array(self.library.encode(t, add_special_tokens=False).ids, dtype="<i4").tobytes()
+        self.is_end = np.zeros(self.library.get_vocab_size(), bool)
+        for token, i in self.library.get_vocab().items():
+            self.is_end[i] = token.endswith("</w>")
+        self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _learn(self, new: list[str]) -> None:
+        """Keeps the ids of pieces."""
+        rest, plain = [], []
+        for p in new:
+            if p.isalpha():
+                plain.append((p, 1))
+            elif p[-1] in _SIGNS and p[:-1].isalpha():
+                plain.append((p, 2))
+            else:
+                rest.append(p)
+        for at in range(0, len(plain), 500):
+            some = plain[at : at + 500]
+            ids = np.array(self.library.encode_batch_fast([" ".join([p for p, _ in some])], add_special_tokens=False)[0].ids, dtype="<i4")
+            ends, words = np.flatnonzero(self.is_end[ids]) + 1, np.cumsum([n for _, n in some])
+            if len(ends) != words[-1]:
+                rest += [p for p, _ in some]
+                continue
+            raw, begin = ids.tobytes(), 0
+            for (p, _), stop in zip(some, (4 * ends[words - 1]).tolist(), strict=True):
+                self.kept[p] = raw[begin:stop]
+                begin = stop
+        for at in range(0, len(rest), 5000):
+            some = rest[at : at + 5000]
+            for p, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.kept[p] = array("i", e.ids).tobytes()
+
+    def encode(self, texts: list[str], end_id: int) -> list[bytes]:
+        """The ids of each text with the end id, as 32-bit integers in memory."""
+        if len(self.kept) > CACHE // 2:
+            self.kept, self.older = {}, self.kept
+        kept, older, cut, new = self.kept, self.older, [], set()
+        for t in texts:
+            if any(s in t for s in self.special):
+                cut.append((None, None))
+                continue
+            pieces = pieces_of(t)
+            parts = list(map(kept.get, pieces))
+            if None in parts:
+                new.update([p for p, q in zip(pieces, parts, strict=True) if q is None])
+            else:
+                pieces = None
+            cut.append((pieces, parts))
+        for p in new & older.keys():
+            kept[p] = older[p]
+        self._learn([p for p in new if p not in kept])
+        out, end = [], array("i", [end_id]).tobytes()
+        for t, (pieces, parts) in zip(texts, cut, strict=True):
+            if parts is None:
+                whole = array("i", self.library.encode(t, add_special_tokens=False).ids).tobytes()
             else:
-                whole = b"".join([self.kept[p] for p in pieces])
-            out.append(np.frombuffer(whole + end, dtype="<i4"))
+                whole = b"".join(parts if pieces is None else [kept[p] if q is None else q for p, q in zip(pieces, parts, strict=True)])
+            out.append(whole + end)
         return out
 
 
@@ -95,16 +140,22 @@ def piece_encoder(path: str) -> PieceEncoder:
 def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", **layout) -> DataFrame:
     """Encodes every whole text and writes the token file to `folder`; returns the file read back."""
     spark = docs.sparkSession
+    small_batches(spark)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = piece_encoder(path)
-        for pdf in batches:
-            ids = coder.encode(pdf["text"].tolist(), end_id)
-            yield pd.DataFrame({"part": pdf["part"], "doc_id": pdf["doc_id"], "n_tokens": np.fromiter(map(len, ids), np.int32, len(ids)), "ids": ids})
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                some = batch.slice(at, SLICE)
+                ids = coder.encode(some.column("text").to_pylist(), end_id)
+                sizes = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+                offsets = np.concatenate((np.zeros(1, np.int32), sizes.cumsum(dtype=np.int32)))
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+                yield pa.RecordBatch.from_arrays([some.column("part"), some.column("doc_id"), pa.array(sizes), lists], names=["part", "doc_id", "n_tokens", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), doc_text(text_col).alias("text"))
     ranged = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id", "text")
-    ranged.withColumn("part", F.spark_partition_id()).mapInPandas(run, SCHEMA).write.options(**write_options(**layout)).parquet(folder)
+    ranged.withColumn("part", F.spark_partition_id()).mapInArrow(run, SCHEMA).write.options(**write_options(**layout)).parquet(folder)
     return read_tokens(spark, folder)
 
 
@@ -127,18 +178,22 @@ def with_offsets(found: DataFrame) -> DataFrame:
 def token_digests(tokens: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of a token file, from what is in the file."""
 
-    @F.pandas_udf("long")
-    def crc(ids: pd.Series) -> pd.Series:
-        return pd.Series([zlib.crc32(np.asarray(i, dtype="<u4").tobytes()) for i in ids], dtype="int64")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("ids")
+            offsets, values = ids.offsets.to_numpy(), memoryview(np.ascontiguousarray(ids.values.to_numpy(), dtype="<i4")).cast("B")
+            crcs = [zlib.crc32(values[4 * a : 4 * b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            sizes = pa.array(np.diff(offsets).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("doc_id"), sizes, pa.array(crcs, pa.int64()), batch.column("place")], names=["part", "doc_id", "n_tokens", "ids_crc32", "place"])
 
     # rows with the same id keep their order in the file
-    rows = tokens.select("part", "doc_id", F.size("ids").cast("long").alias("n_tokens"), crc("ids").alias("ids_crc32"), F.col("_metadata.row_index").alias("place"))
+    rows = tokens.select("part", "doc_id", "ids", F.col("_metadata.row_index").alias("place"))
+    rows = rows.mapInArrow(run, "part int, doc_id long, n_tokens long, ids_crc32 long, place long")
     return with_offsets(rows).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op5_token_file(spark, sf_dir: str) -> DataFrame:
     """The contract's columns for all of `documents`, from the token file as read back; end id 2."""
-    from tessera.llm.bpe import default_path
     from tessera.sources.tables import table
 
     folder = f"{shared_folder(spark)}/tokens"
