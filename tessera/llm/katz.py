@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import doc_text, shared_folder, written
+from tessera.llm.common import doc_text, shared_folder, small_batches, written
 
 #: Counts up to K are discounted.
 K = 5
@@ -352,6 +352,7 @@ def _head_sums(bigrams: DataFrame, heads: np.ndarray) -> tuple[np.ndarray, np.nd
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold_by: int = 10, block: int = BLOCK, bucket: int = BUCKET) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; learns from the rows that
     are not held out."""
+    small_batches(docs.sparkSession)
     folder = shared_folder(docs.sparkSession)
     blocks = written(blocks_of(docs, id_col, text_col, fold_by, block), folder, "blocks")
     sizes = blocks.select("c", "b").mapInPandas(_sizes, "words long, tokens long").agg(F.sum("words").alias("words"), F.sum("tokens").alias("tokens")).first()

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import apply_decisions, doc_text, lookup, remove, shared_folder, written
+from tessera.llm.common import apply_decisions, doc_text, lookup, remove, shared_folder, small_batches, written
 
 SEGMENTS, WIDTH, MAX_BITS = 4, 16, 3
 #: Fingerprints under one key up to which the pairs are compared in the plan, and those in a block beyond.
@@ -152,6 +152,7 @@ def components(links: DataFrame, folder: str) -> DataFrame:
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """doc_id, fp, component_id (the smallest id reachable over links of at most MAX_BITS bits) for every row."""
+    small_batches(docs.sparkSession)
     folder = shared_folder(docs.sparkSession)
     rows = written(fingerprints(docs, id_col, text_col, shingle), folder, "fingerprints")
     distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), folder, "distinct")
