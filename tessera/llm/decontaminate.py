@@ -1,18 +1,17 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit verification.
+"""Benchmark decontamination: exact pieces of the items, counts of rare words, exact edit verification.
 
 A document is contaminated by an item if one of its windows, as long as the item, is within SHARE of the item's
-length in edit distance over words. The CGK embedding walks over a string with one random bit per step and word:
-the output of a step is the word under the pointer, which then moves on by the bit. Strings at a small edit distance
-fall back into step, so their outputs differ in few places, and words sampled from the outputs make LSH keys that
-agree with good chance. WALKS walks with SAMPLES_PER_WALK keys of KEY_WORDS sampled words each take the chance that a
-window at the limit misses all keys down to the target recall (see expected_recall and its test); what shares a key
-is verified by the exact edit distance, so nothing is reported wrongly. Equal strings share every key.
-
-Only windows that can be within the limit are embedded, by counts that lose nothing: of an item's r words that occur
-in at most t items, a window within k edits has at least r - k, for every t; and it has at most 2k pairs of equal
-neighbours more than the item. Keys are sampled from the first n steps of a walk, about half of an item of n words.
-
-Every word position of every document starts a window. The benchmark is taken in blocks of BLOCK items; each block's
+length in edit distance over words. An item that may have k edits is cut into k + 1 pieces of nearly equal length;
+k edits leave at least one piece as it is, wherever they sit, so a text within the limit holds a piece word by word
+and at most k words from its place. Pieces are looked up by a hash of every run of words; equal runs share it, so no
+text within the limit is lost, and what shares a hash is verified by the exact edit distance, so nothing is reported
+wrongly. (CGK walks with sampled LSH keys stood here before; they lost passages, most of all those with their edits
+near each other.)
+
+Of an item's r words that occur in at most t items, a text within k edits has at least r - k, for every t; places
+with fewer are not verified.
+
+Every word position of every document is looked up. The benchmark is taken in blocks of BLOCK items; each block's
 index is sent to the workers, so its size is bounded whatever the size of the benchmark.
 
 Defined cases: a null text counts as empty; documents and items without words match nothing; items of fewer than
@@ -36,7 +35,8 @@ from tessera.llm.common import doc_text, small_batches
 #: Edits per word of an item up to which a window counts: a similarity of 0.8.
 SHARE = 0.2
 MIN_WORDS = 8
-WALKS, SAMPLES_PER_WALK, KEY_WORDS = 4, 12, 3
+#: Bits of a piece's hash that are looked up first.
+FILTER_BITS = 20
 #: Items in a block; at 60 words each about 20 MB on a worker.
 BLOCK = 5_000
 #: Numbers of items up to which a word of the benchmark counts as rare, from the rarest words to all of them.
@@ -80,49 +80,41 @@ def edits(a: list[int], b: list[int], most: int) -> int:
 
 
 class ItemIndex:
-    """LSH keys of a block of items, and the search of texts for them."""
+    """The pieces of a block of items, and the search of texts for them."""
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], share: float = SHARE, min_words: int = MIN_WORDS, seed: int = 7) -> None:
+    def __init__(self, items: list[tuple[int | None, list[bytes]]], share: float = SHARE, min_words: int = MIN_WORDS, seed: int = 7) -> None:
         items = [(i, w) for i, w in items if len(w) >= min_words]
         found_in = Counter(w for _, ws in items for w in set(ws))
         self.vocab = {w: k for k, w in enumerate(sorted(found_in))}
         self.other = len(self.vocab)  # stands for every word of no item
         self.spread = np.array([found_in[w] for w in sorted(found_in)] + [1 << 40])
         self.items = [(i, [self.vocab[w] for w in ws]) for i, ws in items]
-        by_length = defaultdict(list)
+        self.most = np.array([int(share * len(ids)) for _, ids in self.items], np.int64)
+        self.sizes = np.array([len(ids) for _, ids in self.items], np.int64)
+        #: needs[tier, item]: the rare words that a text within the limit has at least
+        self.needs = np.array([[int((self.spread[ids] <= t).sum()) for _, ids in self.items] for t in TIERS], np.int64).reshape(len(TIERS), -1) - self.most
+        #: a random number for each word; a piece's hash is the sum of its words' numbers times odd powers
+        self.numbers = np.random.default_rng(seed).integers(0, 1 << 64, self.other + 1, np.uint64)
+        found = defaultdict(list)
         for m, (_, ids) in enumerate(self.items):
-            by_length[len(ids)].append(m)
-        self.lengths = sorted(by_length)
-        rng = np.random.default_rng(seed)
-        #: bits[walk, step, word]: whether the pointer moves on
-        self.bits = rng.integers(0, 2, (WALKS, max(self.lengths, default=0), self.other + 1), dtype=np.int8)
-        self.groups = []
-        for n in self.lengths:
-            members, k = by_length[n], int(share * n)
-            ids = np.array([self.items[m][1] for m in members])
-            needs = [int((self.spread[ids] <= t).sum(axis=1).min()) - k for t in TIERS]
-            twice = int((ids[:, 1:] == ids[:, :-1]).sum(axis=1).max()) + 2 * k
-            walks = []
-            for w in range(WALKS):
-                outputs = self._walk(ids.ravel(), np.arange(len(members)) * n, n, w, range(n))
-                keys = []
-                for _ in range(SAMPLES_PER_WALK):
-                    steps = sorted(rng.choice(n, KEY_WORDS, replace=False).tolist())
-                    table = defaultdict(list)
-                    for row, m in enumerate(members):
-                        table[tuple(int(outputs[x][row]) for x in steps)].append(m)
-                    keys.append((steps, [np.isin(np.arange(self.other + 1), outputs[x]) for x in steps], dict(table)))
-                walks.append(keys)
-            self.groups.append((n, k, needs, twice, walks))
-
-    def _walk(self, ids: np.ndarray, starts: np.ndarray, n: int, walk: int, wanted) -> dict[int, np.ndarray]:
-        """The outputs of a walk at the wanted steps, all below n, for the windows that begin at `starts`."""
-        at, out, last = starts.copy(), {}, max(wanted)
-        for step in range(last + 1):
-            word = ids[at]
-            if step in wanted:
-                out[step] = word
-            at += self.bits[walk, step][word]
+            cuts = np.linspace(0, len(ids), int(self.most[m]) + 2).astype(int).tolist()
+            for start, stop in zip(cuts, cuts[1:]):
+                found[stop - start].append((m, start))
+        #: by length of piece: sorted hashes, the items and starts in their order, and which hash ends are known
+        self.pieces = {}
+        for size, places in sorted(found.items()):
+            hashes = np.concatenate([self._hashes(np.array(self.items[m][1][at : at + size]), size) for m, at in places])
+            order = np.argsort(hashes, kind="stable")
+            known = np.zeros(1 << FILTER_BITS, bool)
+            known[hashes >> np.uint64(64 - FILTER_BITS)] = True
+            self.pieces[size] = (hashes[order], *np.array(places, np.int64)[order].T, known)
+
+    def _hashes(self, ids: np.ndarray, size: int) -> np.ndarray:
+        """A hash for every run of `size` words; equal runs have equal hashes."""
+        numbers, count = self.numbers[ids], max(len(ids) - size + 1, 0)
+        out = np.zeros(count, np.uint64)
+        for j in range(size):
+            out = out * np.uint64(0x9E3779B97F4A7C15) + numbers[j : j + count]
         return out
 
     def search(self, texts: list[list[bytes]]) -> list[tuple[int, int, int, int, int]]:
@@ -140,45 +132,48 @@ class ItemIndex:
         get, other = self.vocab.get, self.other
         lengths = [len(words) for _, words in texts]
         ids = np.array([get(w, other) for _, words in texts for w in words], np.int64)
-        if not self.lengths or len(ids) < self.lengths[0]:
+        if not self.pieces or not len(ids):
             return []
         stops = np.cumsum(lengths)
+        begins = stops - lengths
         owner = np.repeat(np.arange(len(texts)), lengths)
-        room = stops[owner] - np.arange(len(ids))  # words from a position to the end of its text
+        strange = np.concatenate(([0], (ids == other).cumsum()))  # words of no item before a position
         spread = self.spread[ids]
         counts = [np.concatenate(([0], (spread <= t).cumsum())) for t in TIERS]
-        same = np.concatenate(([0, 0], ((ids[1:] == ids[:-1]) & (ids[1:] != other)).cumsum()))  # same[i]: such pairs in the first i words
+        places = []
+        for size, (hashes, items, offsets, known) in self.pieces.items():
+            mine = self._hashes(ids, size)
+            at = np.flatnonzero(known[mine >> np.uint64(64 - FILTER_BITS)])
+            at = at[(strange[at + size] == strange[at]) & (owner[at + size - 1] == owner[at])]
+            first = np.searchsorted(hashes, mine[at])
+            times = np.searchsorted(hashes, mine[at], "right") - first
+            part = times.cumsum() // CHUNK  # a piece of many items that comes often is taken in parts
+            for x in range(int(part[-1]) + 1 if len(part) else 0):
+                some = part == x
+                hit, n = np.repeat(at[some], times[some]), times[some]
+                which = np.repeat(first[some] - n.cumsum() + n, n) + np.arange(len(hit))
+                item, start = items[which], hit - offsets[which]  # where the item would start without an edit before the piece
+                low = np.maximum(start - self.most[item], begins[owner[hit]])
+                high = np.minimum(start + self.sizes[item] + self.most[item], stops[owner[hit]])
+                fits = np.ones(len(hit), bool)
+                for t, count in enumerate(counts):
+                    fits &= count[high] - count[low] >= self.needs[t][item]
+                places.append(np.unique(np.stack((owner[hit], item, low, high))[:, fits], axis=1))
+        if not places:
+            return []
+        place = np.unique(np.concatenate(places, axis=1), axis=1)
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        for n, k, needs, twice, walks in self.groups:
-            if len(ids) < n:
-                break
-            # the condition that leaves fewest windows comes first, the rest only see what it leaves
-            order = sorted((t for t in range(len(TIERS)) if needs[t] > 0), key=lambda t: (counts[t][-1] + 1) / needs[t])
-            first = counts[order[0]] if order else counts[-1]
-            starts = np.flatnonzero(first[n:] - first[:-n] >= (needs[order[0]] if order else 0))
-            starts = starts[room[starts] >= n]
-            for t in order[1:]:
-                starts = starts[counts[t][starts + n] - counts[t][starts] >= needs[t]]
-            starts = starts[same[starts + n] - same[starts + 1] <= twice]
-            tried = set()
-            for w, keys in enumerate(walks):
-                if not len(starts):
-                    break
-                outputs = self._walk(ids, starts, n, w, {x for steps, _, _ in keys for x in steps})
-                for steps, known, table in keys:
-                    ok = known[0][outputs[steps[0]]]
-                    for x, is_known in zip(steps[1:], known[1:], strict=True):
-                        ok &= is_known[outputs[x]]
-                    rows = np.flatnonzero(ok)
-                    for start, *key in zip(starts[rows].tolist(), *(outputs[x][rows].tolist() for x in steps), strict=True):
-                        for item in table.get(tuple(key), ()):
-                            if (start, item) not in tried:
-                                tried.add((start, item))
-                                at = (int(owner[start]), item)
-                                most = min(k, best[at][0] - 1) if at in best else k
-                                if most >= 0 and (d := edits(self.items[item][1], ids[start : start + n].tolist(), most)) <= most:
-                                    best[at] = (d, start)
-        begins = stops - lengths
+        last, until = None, 0
+        for o, item, low, high in place.T.tolist():
+            at, (_, words) = (o, item), self.items[item]
+            n = len(words)
+            if at != last:
+                last, until = at, 0
+            for start in range(max(low, until), high - n + 1):
+                until = start + 1
+                most = best[at][0] - 1 if at in best else int(self.most[item])
+                if most >= 0 and (d := edits(words, ids[start : start + n].tolist(), most)) <= most:
+                    best[at] = (d, start)
         return [(texts[o][0], self.items[i][0], s - int(begins[o]), len(self.items[i][1]), d) for (o, i), (d, s) in sorted(best.items())]
 
 

@@ -29,6 +29,18 @@ def test_target_recall(n, k):
     assert dc.expected_recall(n, k, trials=60) >= 0.95
 
 
+@pytest.mark.parametrize("n,k", [(8, 1), (20, 4), (40, 8), (60, 12)])
+def test_finds_edits_at_every_place(n, k):
+    rng = random.Random(n)
+    for trial in range(40):
+        item = [b"w%d" % rng.randrange(10_000) for _ in range(n)]
+        around = [b"x%d" % rng.randrange(10_000) for _ in range(n)]
+        spots = [range(k), range((n - k) // 2, (n - k) // 2 + k), range(n - k, n), rng.sample(range(n // 2), k), rng.sample(range(n), k)]
+        texts = [around + [b"v" if p in spot else w for p, w in enumerate(item)] + around for spot in spots]
+        found = dc.ItemIndex([(0, item)], seed=trial).search(texts)
+        assert [(t, d) for t, _, _, _, d in found] == [(t, k) for t in range(len(spots))]
+
+
 def test_words():
     assert dc.split_words("Don't STOP—now 3.5é") == [b"don", b"t", "stop—now".encode(), b"3", "5é".encode()]
     assert dc.split_words(None) == [] and dc.split_words(" .") == []
