@@ -41,6 +41,45 @@ def test_finds_edits_at_every_place(n, k):
         assert [(t, d) for t, _, _, _, d in found] == [(t, k) for t in range(len(spots))]
 
 
+def best_span(item, text):
+    most = int(dc.SHARE * len(item))
+    spans = range(max(len(item) - most, 1), len(item) + most + 1)
+    found = [plain_edits(item, text[s : s + m]) for s in range(len(text)) for m in spans if s + m <= len(text)]
+    return min(found) if found and min(found) <= most else None
+
+
+@pytest.mark.parametrize("n", [8, 12, 20])
+def test_added_missing_and_cut_off_words(n):
+    rng, k, found = random.Random(n), n // 5, 0
+    word = lambda kind, of=10_000: b"%s%d" % (kind, rng.randrange(of))
+    items = [[word(b"w", 10_000 if i % 2 else 6) for _ in range(n)] for i in range(4)]
+    texts = []
+    for i, item in enumerate(items):
+        more, less, both = list(item), list(item), list(item)
+        for _ in range(k):
+            more.insert(rng.randrange(1, len(more)), word(b"v"))
+            del less[rng.randrange(len(less))]
+        del both[n // 2]
+        both.insert(rng.randrange(1, n - 1), word(b"v"))
+        before, after = [word(b"x") for _ in range(rng.randrange(5))], [word(b"x") for _ in range(rng.randrange(5))]
+        texts += [before + t + after for t in (more, less, both, item[: n // 2] + [word(b"v") for _ in range(k + 1)] + item[n // 2 :])]
+        texts += [item[1:], item[:-1], item[k:], item[: n - k], item[k + 1 :], before + item[: n - k], item[k:] + after]
+    got = {(t, i): d for t, i, _, _, d in dc.ItemIndex(list(enumerate(items))).search(texts)}
+    want = {(t, i): d for t, text in enumerate(texts) for i, item in enumerate(items) if (d := best_span(item, text)) is not None}
+    assert got == want and len(want) >= 8 * len(items)
+    # the start is that of a run as close as is said
+    for t, i, start, m, d in dc.ItemIndex(list(enumerate(items))).search(texts):
+        assert d in [plain_edits(items[i], texts[t][start : start + m + x]) for x in range(-d, d + 1)]
+
+
+def test_document_shorter_than_its_item(spark):
+    item = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, item.split(" ", 1)[1]), (2, item.rsplit(" ", 9)[0])], "doc_id long, text string")
+    b = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert [tuple(r) for r in dc.contaminated(docs, b).collect()] == [(1, 7, 0, 40, 1, 0.975)]
+    assert [r.doc_id for r in dc.drop_contaminated(docs, b).collect()] == [2]
+
+
 def test_words():
     assert dc.split_words("Don't STOP—now 3.5é") == [b"don", b"t", "stop—now".encode(), b"3", "5é".encode()]
     assert dc.split_words(None) == [] and dc.split_words(" .") == []
