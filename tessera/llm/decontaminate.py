@@ -16,13 +16,16 @@ Every word position of every document is looked up. The benchmark is taken in bl
 index is sent to the workers, so its size is bounded whatever the size of the benchmark.
 
 Defined cases: a null text counts as empty; documents and items without words match nothing; items of fewer than
-MIN_WORDS words are not looked for, as common phrases would match; equal items each match; repeated documents are
+MIN_WORDS words are not looked for, not even as exact copies, as common phrases would match: a warning gives their number
+and `not_searched` names them; an item with a null id is looked for and reported with a null item_id;
+equal items each match; repeated documents are
 each reported; empty tables give no rows; further columns are ignored. Words are as in the license scan: runs of
 digits, letters (A-Z lowered) and non-ASCII characters, so punctuation and layout do not count.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -218,16 +221,30 @@ def expected_recall(n: int, k: int, trials: int = 400, seed: int = 3) -> float:
     return hits / trials
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block: int) -> Iterator[list[tuple[int, list[bytes]]]]:
-    """The items in blocks, one of which the driver holds at a time."""
-    some: list[tuple[int, list[bytes]]] = []
-    for r in benchmark.select(F.col(item_col).cast("long").alias("i"), doc_text(text_col).alias("t")).where("i IS NOT NULL").toLocalIterator():
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block: int) -> Iterator[list[tuple[int | None, list[bytes]]]]:
+    """The items in blocks, one of which the driver holds at a time; warns of the number of items not searched."""
+    some: list[tuple[int | None, list[bytes]]] = []
+    short = 0
+    for r in benchmark.select(F.col(item_col).cast("long").alias("i"), doc_text(text_col).alias("t")).toLocalIterator():
         some.append((r.i, split_words(r.t)))
+        short += 0 < len(some[-1][1]) < MIN_WORDS
         if len(some) == block:
             yield some
             some = []
     if some:
         yield some
+    if short:
+        warnings.warn(f"{short} benchmark items of fewer than {MIN_WORDS} words are not searched", stacklevel=2)
+
+
+def not_searched(benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """item_id, n_words of the items that have words, but too few to be looked for."""
+
+    @F.pandas_udf("long")
+    def size(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: len(split_words(t))).astype("int64")
+
+    return benchmark.select(F.col(item_col).cast("long").alias("item_id"), size(doc_text(item_text)).alias("n_words")).where(f"n_words BETWEEN 1 AND {MIN_WORDS - 1}")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block: int = BLOCK) -> DataFrame:
@@ -247,7 +264,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             index = sent.value
             for pdf in batches:
                 found = index.search(list(map(split_words, pdf["text"])))
-                frame = pd.DataFrame(found, columns=["row", "item_id", "start_word", "n_words", "edits"], dtype="int64")
+                ids = pd.array([hit[1] for hit in found], dtype="Int64")
+                frame = pd.DataFrame([(t, s, n, d) for t, _, s, n, d in found], columns=["row", "start_word", "n_words", "edits"], dtype="int64")
+                frame.insert(1, "item_id", ids)
                 frame.insert(0, "doc_id", pdf["doc_id"].array[frame.pop("row").to_numpy()])
                 yield frame
 

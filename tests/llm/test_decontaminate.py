@@ -80,6 +80,19 @@ def test_document_shorter_than_its_item(spark):
     assert [r.doc_id for r in dc.drop_contaminated(docs, b).collect()] == [2]
 
 
+def test_null_ids_and_items_not_searched(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, "before " + item), (2, "what is this")], "doc_id long, text string")
+    b = spark.createDataFrame([(None, item), ((1 << 60) + 1, item), (4, "what is this"), (5, ""), (None, "and that")], "item_id long, text string")
+    with pytest.warns(UserWarning, match="^2 benchmark items"):
+        got = dc.contaminated(docs, b).collect()
+    assert {(r.doc_id, r.item_id, r.edits) for r in got} == {(1, None, 0), (1, (1 << 60) + 1, 0)} and len(got) == 2
+    only = b.where("item_id IS NULL")
+    with pytest.warns(UserWarning, match="^1 benchmark items"):
+        assert [r.doc_id for r in dc.drop_contaminated(docs, only).collect()] == [2]
+    assert {tuple(r) for r in dc.not_searched(b).collect()} == {(4, 3), (None, 2)}
+
+
 def test_words():
     assert dc.split_words("Don't STOP—now 3.5é") == [b"don", b"t", "stop—now".encode(), b"3", "5é".encode()]
     assert dc.split_words(None) == [] and dc.split_words(" .") == []
