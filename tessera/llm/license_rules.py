@@ -42,7 +42,7 @@ gpl-1.0 | 2 | general public license version 1 | (?:gnu )?general public license
 gpl-2.0 | 1 | either version 2 of the license | (?:terms of the gnu general public license as published by the free software foundation )?either version 2 of the license or at your option any later version
 gpl-2.0 | 2 | general public license version 2 | (?:gnu )?general public license version 2(?: 0)?
 gpl-2.0 | 2 | general public license v2 | (?:gnu )?general public license v2(?: 0)?
-gpl-2.0 | 2 | version 2 of the gnu general public license | version 2 (?:only )?of the gnu general public license
+gpl-2.0 | 2 | of the gnu general public license | version 2 (?:only )?of the gnu general public license
 gpl-2.0 | 3 | gplv2 | (?:gnu )?gplv2
 gpl-2.0 | 3 | gpl v2 | (?:gnu )?gpl v2
 gpl-2.0 | 3 | gpl 2 | (?:gnu )?gpl 2(?: 0)?(?: only| or later)?
@@ -51,12 +51,12 @@ gpl-3.0 | 1 | either version 3 of the license | (?:terms of the gnu general publ
 gpl-3.0 | 1 | tivoized | tivoized
 gpl-3.0 | 2 | general public license version 3 | (?:gnu )?general public license version 3(?: 0)?
 gpl-3.0 | 2 | general public license v3 | (?:gnu )?general public license v3(?: 0)?
-gpl-3.0 | 2 | version 3 of the gnu general public license | version 3 (?:only )?of the gnu general public license
+gpl-3.0 | 2 | of the gnu general public license | version 3 (?:only )?of the gnu general public license
 gpl-3.0 | 3 | gplv3 | (?:gnu )?gplv3
 gpl-3.0 | 3 | gpl v3 | (?:gnu )?gpl v3
 gpl-3.0 | 3 | gpl 3 | (?:gnu )?gpl 3(?: 0)?(?: only| or later)?
 gpl-3.0 | 3 | gpl version 3 | (?:gnu )?gpl version 3
-gpl | 1 | freedom to share and change it by contrast | the licenses for most software (?:and other practical works )?are designed to take away your freedom to share and change
+gpl | 1 | your freedom to share and change | the licenses for most software (?:and other practical works )?are designed to take away your freedom to share and change
 gpl | 2 | you should have received a copy of the gnu general public license | you should have received a copy of the gnu general public license
 gpl | 3 | gnu general public license | (?:the )?gnu general public license
 gpl | 3 | general public license | general public license
@@ -206,7 +206,8 @@ php | 3 | php license | (?:the )?php license
 ruby | 3 | ruby license | (?:the )?ruby license
 openssl | 2 | openssl toolkit | this product includes software developed by the openssl project for use in the openssl toolkit
 openssl | 3 | openssl license | openssl license
-postgresql | 3 | postgresql license | postgresql licen[cs]e
+postgresql | 3 | postgresql license | postgresql license
+postgresql | 3 | postgresql licence | postgresql licence
 ncsa | 3 | university of illinois ncsa open source license | university of illinois ncsa open source license
 ncsa | 3 | ncsa license | ncsa license
 w3c | 3 | w3c software notice and license | w3c software notice and license
@@ -230,8 +231,9 @@ curl | 3 | curl license | curl license
 blueoak-1.0.0 | 3 | blue oak model license | blue oak model license(?: 1 0 0)?
 mulanpsl-2.0 | 3 | mulan permissive software license | mulan permissive software license(?: v2| version 2)?
 hippocratic | 3 | hippocratic license | hippocratic license(?: version)?(?: [123] [01])?
-openrail | 3 | openrail | (?:creativeml |bigscience )?open ?rail(?: m)?(?: license)?
-llama-community | 3 | llama community license | llama (?:[23] )?community license
+openrail | 3 | openrail | (?:creativeml |bigscience )?openrail(?: m)?(?: license)?
+openrail | 3 | open rail | (?:creativeml |bigscience )?open rail(?: m)?(?: license)?
+llama-community | 3 | community license | llama (?:[23] )?community license
 public-domain | 3 | released into the public domain | (?:has been |is )?released into the public domain
 public-domain | 3 | dedicated to the public domain | (?:is )?dedicated to the public domain
 public-domain | 3 | placed in the public domain | (?:is |has been )?placed in the public domain

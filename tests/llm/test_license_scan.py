@@ -1,6 +1,7 @@
 """The license scan against its definition in plain Python."""
 
 import re
+from re import _parser
 
 from tessera.llm.license_rules import rules
 from tessera.llm.license_scan import CONFIDENCE, gate_words, op1_license_scan, scan, spans
@@ -64,6 +65,41 @@ def test_rules_are_sound():
         re.compile(regex)
 
 
+def expanded(tree):
+    """Texts that a parsed regex matches: every branch and class, and repeats of the least and the next number."""
+    out = {""}
+    for kind, value in tree:
+        if kind is _parser.LITERAL:
+            found = {chr(value)}
+        elif kind is _parser.IN:
+            assert value[0][0] in (_parser.LITERAL, _parser.CATEGORY)
+            found = {chr(v) if k is _parser.LITERAL else "x" for k, v in value}
+        elif kind is _parser.BRANCH:
+            found = set().union(*map(expanded, value[1]))
+        elif kind is _parser.SUBPATTERN:
+            found = expanded(value[3])
+        elif kind is _parser.MAX_REPEAT:
+            least, most, inner = value
+            found = set().union(*(expanded(list(inner) * n) for n in range(least, min(most, least + 1) + 1)))
+        else:
+            raise NotImplementedError(kind)
+        out = {a + b for a in out for b in found}
+    return out
+
+
+def test_every_alternative_holds_its_keyword():
+    lost = [(label, keyword, t) for _, label, _, keyword, regex in rules() for t in expanded(_parser.parse(regex)) if f" {keyword} " not in f" {t} "]
+    assert lost == []
+
+
+def test_alternatives_behind_keywords(spark):
+    texts = {"the Llama 2 Community License": "llama-community", "CreativeML Open RAIL-M": "openrail", "BigScience OpenRAIL": "openrail", "PostgreSQL licence": "postgresql", "PostgreSQL License": "postgresql",
+             "under version 2 only of the GNU General Public License": "gpl-2.0", "version 3 only of the GNU General Public License": "gpl-3.0"}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [d.label for d in r.kept or []] for r in scan(docs).collect()}
+    assert all(label in got[i] for i, label in enumerate(texts.values()))
+
+
 def test_empty(spark):
     assert scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
