@@ -3,7 +3,8 @@
 Flush: each input task is a memtable; it writes one run sorted by digest, whose Parquet file carries a
 Bloom filter and min/max statistics of the digest. Compaction merges the runs into one entry per digest:
 the document that stays and the group's size. Every hit (a digest of two rows or more) is verified on the
-bytes of the texts, and a digest that different texts share is split by the texts themselves.
+bytes of the texts, and a digest that different texts share is split by the texts themselves. The Bloom filters
+are for later readers of a run: compaction groups all entries in one go, and nothing here probes a filter.
 
 Defined cases: a null text counts as empty; an empty table gives no rows; rows equal in id and text are one
 document and give one row, while group_size counts all rows; with keep="max" the largest id of equal texts
