@@ -113,7 +113,8 @@ _END, _CODED, _STORED = 0, 1, 2
 def compress(chunks: Iterable[bytes]) -> Iterator[bytes]:
     """The frame of a byte stream in one pass: blocks of BLOCK bytes, each coded or, if that is no smaller, stored.
 
-    The state is the window and one block, whatever the stream's length, and the blocks do not depend on how
+    A block is raw DEFLATE of zlib with the window as its dictionary, in place of the adaptive model and match search of
+    the surveyed codec. The state is the window and one block, whatever the stream's length, and the blocks do not depend on how
     the stream was cut into chunks. A stored block still enters the window of the next ones.
     """
     yield _MAGIC
