@@ -7,17 +7,20 @@ alone, skips the rest. Ids are dictionary encoded by default (a bit-packed index
 of a row group) or, with encoding="delta", delta encoded.
 
 Documents are dealt out by ranges of doc_id, so no task holds more than its range and the order of the parts is
-that of the ids. The number of ids before a document is the sum of the parts before its own plus a running sum
+that of the ids; the number of parts follows the bytes of text. The number of ids before a document is the sum of the parts before its own plus a running sum
 inside its part; only one number for each part meets in one task.
 
-Defined cases: a null text counts as empty and has the end id alone; an empty table makes an empty file; rows
-with the same id keep the order of their texts; a null id comes first; further columns are ignored.
+Defined cases: a null text counts as empty and has the end id alone; a very long text is one row, encoded whole, in a
+batch that its bytes close; an empty table makes an empty file; rows with the same id (ties) are in the order of a hash
+of their texts, repeated rows each have ids of their own; a null id comes first; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 import os
+import string
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -31,8 +34,10 @@ from tessera.llm.bpe import default_path, pieces_of
 from tessera.llm.common import doc_text, shared_folder, small_batches
 
 SCHEMA = "part int, doc_id long, n_tokens int, ids array<int>"
-#: Signs that make a pre-token of their own after letters.
-_SIGNS = ".,;:!?"
+#: Signs, a run of which makes a pre-token of its own after letters.
+_SIGNS = string.punctuation
+#: Bytes of text in a part, about, once there are more of them than shuffle partitions.
+PART_BYTES = 64 << 20
 #: Pieces of text whose ids a worker keeps, in two halves of which the older one goes.
 CACHE = 800_000
 #: Texts encoded at once.
@@ -59,9 +64,10 @@ class PieceEncoder:
     """The tokenizers library's ids of whole texts, made of what it gives for their pieces.
 
     Texts are cut at white space, which no pre-token of the vocabulary spans; the library encodes the pieces that a
-    worker has not kept. Plain pieces (letters, or letters and a sign) are encoded many at a time and their ids told apart
-    by the end-of-word tokens; letters that normalisation turns into more than one pre-token make these more than
-    expected, and then, as for all other pieces, each is encoded by itself. A text with special tokens inside goes to the library whole.
+    worker has not kept. Letters followed by ASCII signs are two pre-tokens and are asked for apart. Pieces of letters are
+    encoded many at a time and their ids told apart by the end-of-word tokens; letters that normalisation turns into more
+    than one pre-token make these more than expected, and then, as for all other pieces, each is encoded by itself. A text
+    with special tokens inside goes to the library whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -76,25 +82,20 @@ class PieceEncoder:
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def _learn(self, new: list[str]) -> None:
-        """Keeps the ids of pieces."""
-        rest, plain = [], []
+    def _library(self, new: list[str]) -> None:
+        """Keeps what the library gives for pieces."""
+        plain, rest = [], []
         for p in new:
-            if p.isalpha():
-                plain.append((p, 1))
-            elif p[-1] in _SIGNS and p[:-1].isalpha():
-                plain.append((p, 2))
-            else:
-                rest.append(p)
+            (plain if p.isalpha() else rest).append(p)
         for at in range(0, len(plain), 500):
             some = plain[at : at + 500]
-            ids = np.array(self.library.encode_batch_fast([" ".join([p for p, _ in some])], add_special_tokens=False)[0].ids, dtype="<i4")
-            ends, words = np.flatnonzero(self.is_end[ids]) + 1, np.cumsum([n for _, n in some])
-            if len(ends) != words[-1]:
-                rest += [p for p, _ in some]
+            ids = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<i4")
+            ends = np.flatnonzero(self.is_end[ids]) + 1
+            if len(ends) != len(some):
+                rest += some
                 continue
             raw, begin = ids.tobytes(), 0
-            for (p, _), stop in zip(some, (4 * ends[words - 1]).tolist(), strict=True):
+            for p, stop in zip(some, (4 * ends).tolist(), strict=True):
                 self.kept[p] = raw[begin:stop]
                 begin = stop
         for at in range(0, len(rest), 5000):
@@ -102,6 +103,25 @@ class PieceEncoder:
             for p, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 self.kept[p] = array("i", e.ids).tobytes()
 
+    def _learn(self, new: set[str]) -> None:
+        """Keeps the ids of pieces; letters and the signs after them are pre-tokens of their own, so kept apart."""
+        kept, older, ask, split = self.kept, self.older, set(), []
+        for p in new:
+            stem = p.rstrip(_SIGNS)
+            if len(stem) < len(p) and stem.isalpha() and stem[-1] < "\u0250":
+                signs = p[len(stem) :]
+                split.append((p, stem, signs))
+                ask.add(stem)
+                ask.add(signs)
+            else:
+                ask.add(p)
+        ask -= kept.keys()
+        for p in ask & older.keys():
+            kept[p] = older[p]
+        self._library([p for p in ask if p not in kept])
+        for p, stem, signs in split:
+            kept[p] = kept[stem] + kept[signs]
+
     def encode(self, texts: list[str], end_id: int) -> list[bytes]:
         """The ids of each text with the end id, as 32-bit integers in memory."""
         if len(self.kept) > CACHE // 2:
@@ -120,7 +140,7 @@ class PieceEncoder:
             cut.append((pieces, parts))
         for p in new & older.keys():
             kept[p] = older[p]
-        self._learn([p for p in new if p not in kept])
+        self._learn(new - kept.keys())
         out, end = [], array("i", [end_id]).tobytes()
         for t, (pieces, parts) in zip(texts, cut, strict=True):
             if parts is None:
@@ -154,7 +174,11 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int, id_col: s
                 yield pa.RecordBatch.from_arrays([some.column("part"), some.column("doc_id"), pa.array(sizes), lists], names=["part", "doc_id", "n_tokens", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), doc_text(text_col).alias("text"))
-    ranged = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id", "text")
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / PART_BYTES))
+    # an id that many rows share is dealt over parts by its texts, and equal rows by where they were read
+    rows = rows.withColumns({"h": F.xxhash64("text"), "at": F.monotonically_increasing_id()})
+    ranged = rows.repartitionByRange(parts, "doc_id", "h", "at").sortWithinPartitions("doc_id", "h", "at").drop("h", "at")
     ranged.withColumn("part", F.spark_partition_id()).mapInArrow(run, SCHEMA).write.options(**write_options(**layout)).parquet(folder)
     return read_tokens(spark, folder)
 
@@ -164,13 +188,14 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(folder)
 
 
-def with_offsets(found: DataFrame) -> DataFrame:
-    """`found` (part, doc_id, n_tokens and more columns but ids) with start: the ids of all documents before."""
-    parts = found.groupBy("part").agg(F.sum(F.col("n_tokens").cast("long")).alias("__all"))
-    # one row for each part, of which there are as many as shuffle partitions
+def with_offsets(found: DataFrame, tokens: DataFrame) -> DataFrame:
+    """`found` (part, place, doc_id, n_tokens and more columns) with start: the ids of all documents before, by the
+    sizes in the token file, of which only part and n_tokens are read for the sums of parts."""
+    parts = tokens.groupBy("part").agg(F.sum(F.col("n_tokens").cast("long")).alias("__all"))
+    # one row for each part; a part has PART_BYTES of text or there are no more of them than shuffle partitions
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("part", F.coalesce(F.sum("__all").over(before), F.lit(0)).cast("long").alias("__before"))
-    inside = Window.partitionBy("part").orderBy("doc_id", "place").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     run = found.withColumn("__run", F.coalesce(F.sum(F.col("n_tokens").cast("long")).over(inside), F.lit(0)))
     return run.join(F.broadcast(parts), "part").withColumn("start", F.col("__before") + F.col("__run")).drop("__before", "__run")
 
@@ -189,7 +214,7 @@ def token_digests(tokens: DataFrame) -> DataFrame:
     # rows with the same id keep their order in the file
     rows = tokens.select("part", "doc_id", "ids", F.col("_metadata.row_index").alias("place"))
     rows = rows.mapInArrow(run, "part int, doc_id long, n_tokens long, ids_crc32 long, place long")
-    return with_offsets(rows).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return with_offsets(rows, tokens).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op5_token_file(spark, sf_dir: str) -> DataFrame:
