@@ -167,7 +167,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with one document of each group: the one with the smallest id."""
     found = near_dedup(docs, id_col, text_col).withColumnRenamed("fp", "mark").withColumn("kept", F.expr("doc_id <=> component_id"))
-    return apply_decisions(docs, found, lambda rows: rows.withColumn("__mark", fp_column(text_col)), [id_col], id_col)
+    return apply_decisions(docs, found, fp_column(text_col), False, id_col)
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
