@@ -5,7 +5,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from tessera.llm.exact_dedup import drop_copies, exact_dedup, op2_exact_dedup
+from tessera.llm.exact_dedup import DigestIndex, drop_copies, exact_dedup, op2_exact_dedup
 
 SCHEMA = "doc_id long, text string, digest string, kept boolean"
 
@@ -54,6 +54,39 @@ def test_rows_that_share_an_id(spark):
     assert sorted(((r.doc_id, r.text) for r in drop_copies(docs).collect()), key=repr) == sorted([(1, "a"), (2, "b"), (None, "c"), (3, "d")], key=repr)
 
 
+def test_any_number_of_batches(spark):
+    rows, docs = rows_of(spark)
+    for n in (1, 3, 5):
+        assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup(docs, batches=n).collect()} == expected(rows)
+
+
+def test_a_batch_meets_older_runs_through_their_filters_only(spark):
+    index = DigestIndex(spark, keep="min")
+    old = spark.range(20_000).selectExpr("id AS doc_id", "concat('old ', id) AS text")
+    assert index.add(old).count() == 0
+    new = spark.range(20_000, 24_000).selectExpr("id AS doc_id", "IF(id < 20050, concat('old ', id - 20000), concat('new ', id)) AS text")
+    digests = new.select(index.digest(F.col("text")).alias("digest"))
+    run = index.runs()[0]
+    asked = run.may_hold(digests).count()
+    assert 50 <= asked < 50 + 4_000 * 0.05  # all hits pass, of the others few
+    hits = index.add(new)
+    assert sorted((r.keep_id, r.group_size) for r in hits.collect()) == [(i, 1) for i in range(50)]
+    assert [len(level) for level in index.levels] == [0, 1]  # two runs of a level became one of the next
+    again = index.add(spark.createDataFrame([(7, "old 3"), (90_000, "fresh")], "doc_id long, text string"))
+    assert [(r.keep_id, r.group_size) for r in again.collect()] == [(3, 2)]
+    assert [len(level) for level in index.levels] == [1, 1]  # the large run was not merged again
+    assert index.entries().count() == 20_000 + 3_950 + 1
+
+
+def test_columns_with_the_names_of_helpers(spark):
+    docs = spark.createDataFrame([(1, "a", "x", 1, 2), (1, "b", "y", 3, 4), (1, "a", "x", 1, 2), (2, "b", "z", 5, 6)], "doc_id long, text string, __mark string, __kept long, __id long")
+    for name in ("slot", "digest", "count", "mark", "kept"):
+        docs = docs.withColumn(name, F.lit("own"))
+    left = drop_copies(docs)
+    assert left.columns == docs.columns
+    assert sorted((r.doc_id, r.text, r["__mark"], r["__kept"], r["__id"], r.kept) for r in left.collect()) == [(1, "a", "x", 1, 2, "own"), (2, "b", "z", 5, 6, "own")]
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert exact_dedup(docs).collect() == [] and drop_copies(docs).collect() == []
