@@ -1,31 +1,40 @@
-"""Benchmark decontamination: exact pieces of the items, counts of rare words, exact edit verification.
+"""Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit verification.
 
 A document is contaminated by an item if one of its runs of words, of whatever length, is within SHARE of the item's
 length in edit distance over words; so a passage counts with words added or left out, and one that the text's start or
-end cuts off counts while what is missing is within the limit. An item that may have k edits is cut into k + 1 pieces of nearly equal length;
-k edits leave at least one piece as it is, wherever they sit, so a run within the limit holds a piece word by word
-and at most k words from its place. Pieces are looked up by a hash of every run of words; equal runs share it, so no
-text within the limit is lost, and what shares a hash is verified by the exact edit distance, so nothing is reported
-wrongly. (CGK walks with sampled LSH keys stood here before; they lost passages, most of all those with their edits
-near each other.)
-
-Of an item's r words that occur in at most t items, a text within k edits has at least r - k, for every t; places
-with fewer are not verified.
-
-Every word position of every document is looked up. The benchmark is taken in blocks of BLOCK items; each block's
-index is sent to the workers, so its size is bounded whatever the size of the benchmark.
-
-Defined cases: a null text counts as empty; documents and items without words match nothing; items of fewer than
-MIN_WORDS words are not looked for, not even as exact copies, as common phrases would match: a warning gives their number
-and `not_searched` names them; an item with a null id is looked for and reported with a null item_id;
-equal items each match; repeated documents are
-each reported; empty tables give no rows; further columns are ignored. Words are as in the license scan: runs of
-digits, letters (A-Z lowered) and non-ASCII characters, so punctuation and layout do not count.
+end cuts off counts while what is missing is within the limit. Items of fewer than MIN_WORDS words, common phrases
+often, count as exact copies only.
+
+The CGK embedding walks over a string with a random bit for each step and word: the output of a step is the word under
+the pointer, which then moves on by the bit, and past the end it is a filler. Strings at a small edit distance fall
+back into step after an edit, so their outputs differ in few places, and words sampled from the outputs make LSH keys
+that agree with good chance. A walk has STEPS steps a word, so that it covers the string. Half of the WALKS go
+backwards from the end, so that edits near the start and near the end alike leave a long part in step. WALKS walks
+with KEYS keys of KEY_WORDS sampled words each take the chance that no window of a passage shares a key to the target
+recall, over 0.99 wherever its edits sit (`expected_recall`; measured in the tests and the README). What shares a key
+is verified by the exact edit distance, that to the closest run of words near the window, so nothing is reported
+wrongly.
+
+Every word position of every document starts a window, also those that a text's start or end cuts off. Windows as
+long as the item, and only those that can be within the limit, are embedded: of an item's r words that occur in at
+most t items, a text within k edits has at least r - k, for every t. As walks over long strings with many edits drift
+apart, an item of over SEGMENT words is cut into segments, each with windows of its own: of a passage within the limit
+at least one segment is within its share of it. Segments of similar length share a window length.
+
+The benchmark is taken in blocks of up to BLOCK items and BLOCK_WORDS words; the index of one block at a time is sent to
+the workers. It takes about 2 KB an item and 100 bytes a word, so its size is bounded however many and however long
+the items are.
+
+Defined cases: a null text counts as empty; documents and items without words match nothing; a very long text is
+searched whole, CHUNK words or one text at once, and a very long item has a longer walk; an item with a null id is
+looked for and reported with a null item_id; equal items each match (ties), repeated documents are each reported; of
+equally close runs the first to end counts; empty tables give no rows; further columns are ignored. Words are as in
+the license scan: runs of digits, letters (A-Z lowered) and non-ASCII characters, so punctuation and layout do not
+count.
 """
 
 from __future__ import annotations
 
-import warnings
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -34,19 +43,24 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import doc_text, small_batches
+from tessera.llm.common import doc_text, shared_folder, small_batches, written
 
-#: Edits per word of an item up to which a window counts: a similarity of 0.8.
+#: Edits per word of an item up to which a run of words counts: a similarity of 0.8.
 SHARE = 0.2
+#: Items with fewer words count as exact copies only.
 MIN_WORDS = 8
-#: Bits of a piece's hash that are looked up first.
-FILTER_BITS = 20
-#: Items in a block; at 60 words each about 20 MB on a worker.
-BLOCK = 5_000
+#: Walks, half of them backwards, sampled keys of each, words in a key, and steps of a walk for each word.
+WALKS, KEYS, KEY_WORDS, STEPS = 8, 16, 3, 2.0
+#: Words in a segment of an item at most.
+SEGMENT = 64
+#: Items and words in a block.
+BLOCK, BLOCK_WORDS = 5_000, 1_000_000
+#: Lengths up to this times the shortest share a window length.
+RATIO = 1.15
 #: Numbers of items up to which a word of the benchmark counts as rare, from the rarest words to all of them.
 TIERS = (1, 2, 4, 8, 16, 1 << 30)
-#: Words searched at once.
-CHUNK = 400_000
+#: Words searched, and windows embedded, at once.
+CHUNK, WINDOWS = 400_000, 50_000
 
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -111,44 +125,85 @@ def closest_span(item: list[int], text: list[int], most: int) -> tuple[int, int]
     return best, next(s for s in starts if edits(item, text[s:stop], best) == best)
 
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers whose high bits depend on all bits of x."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 class ItemIndex:
-    """The pieces of a block of items, and the search of texts for them."""
+    """LSH keys of a block of items, and the search of texts for them."""
 
     def __init__(self, items: list[tuple[int | None, list[bytes]]], share: float = SHARE, min_words: int = MIN_WORDS, seed: int = 7) -> None:
-        items = [(i, w) for i, w in items if len(w) >= min_words]
+        items = [(i, w) for i, w in items if w]
         found_in = Counter(w for _, ws in items for w in set(ws))
         self.vocab = {w: k for k, w in enumerate(sorted(found_in))}
         self.other = len(self.vocab)  # stands for every word of no item
         self.spread = np.array([found_in[w] for w in sorted(found_in)] + [1 << 40])
-        self.items = [(i, [self.vocab[w] for w in ws]) for i, ws in items]
-        self.most = np.array([int(share * len(ids)) for _, ids in self.items], np.int64)
+        self.items = [(i, np.array([self.vocab[w] for w in ws], np.int64)) for i, ws in items]
         self.sizes = np.array([len(ids) for _, ids in self.items], np.int64)
+        self.most = np.where(self.sizes < min_words, 0, (share * self.sizes).astype(np.int64))
         #: needs[tier, item]: the rare words that a text within the limit has at least
         self.needs = np.array([[int((self.spread[ids] <= t).sum()) for _, ids in self.items] for t in TIERS], np.int64).reshape(len(TIERS), -1) - self.most
-        #: a random number for each word; a piece's hash is the sum of its words' numbers times odd powers
-        self.numbers = np.random.default_rng(seed).integers(0, 1 << 64, self.other + 1, np.uint64)
-        found = defaultdict(list)
-        for m, (_, ids) in enumerate(self.items):
-            cuts = np.linspace(0, len(ids), int(self.most[m]) + 2).astype(int).tolist()
-            for start, stop in zip(cuts, cuts[1:]):
-                found[stop - start].append((m, start))
-        #: by length of piece: sorted hashes, the items and starts in their order, and which hash ends are known
-        self.pieces = {}
-        for size, places in sorted(found.items()):
-            hashes = np.concatenate([self._hashes(np.array(self.items[m][1][at : at + size]), size) for m, at in places])
-            order = np.argsort(hashes, kind="stable")
-            known = np.zeros(1 << FILTER_BITS, bool)
-            known[hashes >> np.uint64(64 - FILTER_BITS)] = True
-            self.pieces[size] = (hashes[order], *np.array(places, np.int64)[order].T, known)
-
-    def _hashes(self, ids: np.ndarray, size: int) -> np.ndarray:
-        """A hash for every run of `size` words; equal runs have equal hashes."""
-        numbers, count = self.numbers[ids], max(len(ids) - size + 1, 0)
-        out = np.zeros(count, np.uint64)
-        for j in range(size):
-            out = out * np.uint64(0x9E3779B97F4A7C15) + numbers[j : j + count]
+        rng = np.random.default_rng(seed)
+        #: a random number for each word and the filler; with a step's number it gives the bit of the step and the word
+        self.numbers = rng.integers(0, 1 << 64, self.other + 2, np.uint64)
+        #: segments: item, offset, length and edits to spare
+        cuts = [(m, np.linspace(0, n, -(-n // SEGMENT) + 1).astype(int)) for m, n in enumerate(self.sizes.tolist())]
+        self.seg = np.array([(m, a, b - a, 0 if self.most[m] == 0 else int(share * (b - a))) for m, cut in cuts for a, b in zip(cut, cut[1:])], np.int64).reshape(-1, 4).T
+        self.groups = []
+        order = np.lexsort((self.seg[2], self.seg[3] > 0))
+        while len(order):
+            # segments that must be whole stay apart from those with edits to spare
+            few, lengths = self.seg[3][order] > 0, self.seg[2][order]
+            members = order[: int(np.argmin(np.append((few == few[0]) & (lengths <= lengths[0] * RATIO), False)))]
+            order = order[len(members) :]
+            self.groups.append(self._group(members, rng))
+
+    def _group(self, members: np.ndarray, rng: np.random.Generator) -> tuple:
+        """Of segments of similar length: window length, edits, least length, least counts, and by walk its steps'
+        numbers and its keys with their segments."""
+        item, offset, sizes, most = self.seg[:, members]
+        size, least, k = int(sizes.max()), int(sizes.min()), int(most.max())
+        words = [self.items[m][1][a : a + n] for m, a, n in zip(item, offset, sizes, strict=True)]
+        flat, stop = np.concatenate(words), sizes.cumsum()
+        needs = np.array([[int((self.spread[ids] <= t).sum()) for ids in words] for t in TIERS]) - most
+        walks = []
+        for w in range(WALKS):
+            last = max(int(STEPS * least), 1)
+            steps = rng.integers(0, 1 << 64, last, np.uint64)
+            picked = [np.sort(rng.choice(last, min(KEY_WORDS, last), replace=False)) for _ in range(KEYS)]
+            outputs = self._walk(flat, stop - sizes, stop, w % 2 == 1, steps, picked)
+            tables = []
+            for some in picked:
+                real = np.any([outputs[x] != self.other + 1 for x in some], axis=0)  # not filler alone
+                keys = self._key(outputs, some)[real]
+                at = np.argsort(keys, kind="stable")
+                tables.append((some, keys[at], members[real][at]))
+            walks.append((steps, picked, tables))
+        return size, k, least, needs.min(axis=1), walks
+
+    def _walk(self, ids: np.ndarray, low: np.ndarray, high: np.ndarray, backwards: bool, steps: np.ndarray, picked: list[np.ndarray]) -> dict[int, np.ndarray]:
+        """The outputs, at the picked steps, of a walk over each window ids[low:high]."""
+        wanted, out = {int(x) for some in picked for x in some}, {}
+        at = high - 1 if backwards else low.copy()
+        for step in range(max(wanted) + 1):
+            inside = (at >= low) & (at < high)
+            word = np.where(inside, ids[np.where(inside, at, 0)], self.other + 1)
+            if step in wanted:
+                out[step] = word
+            bit = (_mix(self.numbers[word] ^ steps[step]) >> np.uint64(63)).astype(np.int64)
+            at += -bit if backwards else bit
         return out
 
+    def _key(self, outputs: dict[int, np.ndarray], some: np.ndarray) -> np.ndarray:
+        """A hash of the outputs at some steps."""
+        key = np.zeros(len(outputs[int(some[0])]), np.uint64)
+        for x in some:
+            key = _mix(key * np.uint64(3) + self.numbers[outputs[int(x)]])
+        return key
+
     def search(self, texts: list[list[bytes]]) -> list[tuple[int, int, int, int, int]]:
         """(text, item id, start word, words, edits): the closest run of words for each item in each text."""
         out, some, size = [], [], 0
@@ -162,135 +217,178 @@ class ItemIndex:
 
     def _search(self, texts: list[tuple[int, list[bytes]]]) -> list[tuple[int, int, int, int, int]]:
         get, other = self.vocab.get, self.other
-        lengths = [len(words) for _, words in texts]
-        ids = np.array([get(w, other) for _, words in texts for w in words], np.int64)
-        if not self.pieces or not len(ids):
+        gap = max((size + k - least for size, k, least, _, _ in self.groups), default=0)
+        filler = [other + 1] * gap  # before each text, so that windows may begin before it
+        lengths = np.array([gap + len(words) for _, words in texts], np.int64)
+        ids = np.array([i for _, words in texts for i in (*filler, *(get(w, other) for w in words))], np.int64)
+        if not self.groups or not len(ids):
             return []
-        stops = np.cumsum(lengths)
-        begins = stops - lengths
+        stops = lengths.cumsum()
+        begins = stops - lengths + gap
         owner = np.repeat(np.arange(len(texts)), lengths)
-        strange = np.concatenate(([0], (ids == other).cumsum()))  # words of no item before a position
-        spread = self.spread[ids]
+        spread = np.append(self.spread, 1 << 40)[ids]
         counts = [np.concatenate(([0], (spread <= t).cumsum())) for t in TIERS]
         places = []
-        for size, (hashes, items, offsets, known) in self.pieces.items():
-            mine = self._hashes(ids, size)
-            at = np.flatnonzero(known[mine >> np.uint64(64 - FILTER_BITS)])
-            at = at[(strange[at + size] == strange[at]) & (owner[at + size - 1] == owner[at])]
-            first = np.searchsorted(hashes, mine[at])
-            times = np.searchsorted(hashes, mine[at], "right") - first
-            part = times.cumsum() // CHUNK  # a piece of many items that comes often is taken in parts
-            for x in range(int(part[-1]) + 1 if len(part) else 0):
-                some = part == x
-                hit, n = np.repeat(at[some], times[some]), times[some]
-                which = np.repeat(first[some] - n.cumsum() + n, n) + np.arange(len(hit))
-                item, start = items[which], hit - offsets[which]  # where the item would start without an edit before the piece
-                low = np.maximum(start - self.most[item], begins[owner[hit]])
-                high = np.minimum(start + self.sizes[item] + self.most[item], stops[owner[hit]])
-                fits = np.ones(len(hit), bool)
-                for t, count in enumerate(counts):
-                    fits &= count[high] - count[low] >= self.needs[t][item]
-                places.append(np.unique(np.stack((owner[hit], item, low, high))[:, fits], axis=1))
+        for group in self.groups:
+            first = self._windows(owner, begins, stops, counts, group)
+            for at in range(0, len(first), WINDOWS):
+                places += self._candidates(ids, first[at : at + WINDOWS], owner, begins, stops, counts, group)
         if not places:
             return []
         place = np.unique(np.concatenate(places, axis=1), axis=1)
         best: dict[tuple[int, int], tuple[int, int]] = {}
         # places of an item that meet are searched as one
         new = np.ones(place.shape[1], bool)
-        new[1:] = (place[:2, 1:] != place[:2, :-1]).any(axis=0) | (place[2, 1:] > place[3, :-1])
+        new[1:] = (place[:2, 1:] != place[:2, :-1]).any(axis=0) | (place[2, 1:] > np.maximum.accumulate(place[3])[:-1])
         heads = np.flatnonzero(new)
         for o, item, low, high in zip(*place[:3, heads].tolist(), np.maximum.reduceat(place[3], heads).tolist() if len(heads) else (), strict=True):
-            at, (_, words) = (o, item), self.items[item]
+            at, words = (o, item), self.items[item][1].tolist()
             most = best[at][0] - 1 if at in best else int(self.most[item])
             if most >= 0 and (found := closest_span(words, ids[low:high].tolist(), most)):
                 best[at] = (found[0], low + found[1])
         return [(texts[o][0], self.items[i][0], s - int(begins[o]), len(self.items[i][1]), d) for (o, i), (d, s) in sorted(best.items())]
 
+    def _windows(self, owner: np.ndarray, begins: np.ndarray, stops: np.ndarray, counts: list[np.ndarray], group: tuple) -> np.ndarray:
+        """Starts of the group's windows that can be within the limit. A run that begins or ends with its window lies
+        at most k words beyond it, and a segment shorter than the window leaves room."""
+        size, k, least, needs, _ = group
+        # the condition that leaves fewest windows comes first, the rest only see what it leaves
+        order = sorted((t for t in range(len(TIERS)) if needs[t] > 0), key=lambda t: (counts[t][-1] + 1) / needs[t])
+        total = len(owner)
+        if order:
+            upto, ahead = counts[order[0]], min(size + k, total)
+            high = np.concatenate((upto[ahead:], np.full(ahead, upto[-1])))[:total]
+            low = np.concatenate((np.zeros(min(k, total), np.int64), upto[: total - min(k, total)]))
+            first = np.flatnonzero(high - low >= needs[order[0]])
+        else:
+            first = np.arange(total)
+        begin, stop = begins[owner[first]], stops[owner[first]]
+        first = first[(begin - first <= size + k - least) & (stop - first >= least - k)]
+        for t in order:
+            begin, stop = begins[owner[first]], stops[owner[first]]
+            first = first[counts[t][np.minimum(first + size + k, stop)] - counts[t][np.maximum(first - k, begin)] >= needs[t]]
+        return first
+
+    def _candidates(self, ids: np.ndarray, first: np.ndarray, owner: np.ndarray, begins: np.ndarray, stops: np.ndarray, counts: list[np.ndarray], group: tuple) -> list[np.ndarray]:
+        """(text, item, low, high) of the places where a window shares a key with an item and has enough of its words."""
+        size, _, _, _, walks = group
+        out, text = [], owner[first]
+        begin, stop = begins[text], stops[text]
+        low, high = np.maximum(first, begin), np.minimum(first + size, stop)
+        for w, (steps, picked, tables) in enumerate(walks):
+            outputs = self._walk(ids, low, high, w % 2 == 1, steps, picked)
+            for some, keys, members in tables:
+                mine = self._key(outputs, some)
+                left = np.searchsorted(keys, mine)
+                at = np.flatnonzero(keys[np.minimum(left, len(keys) - 1)] == mine) if len(keys) else np.zeros(0, np.int64)
+                times = np.searchsorted(keys, mine[at], "right") - left[at]
+                part = times.cumsum() // CHUNK  # a key of many items that comes often is taken in parts
+                for x in range(int(part[-1]) + 1 if len(part) else 0):
+                    hit, n = at[part == x], times[part == x]
+                    item, offset, length, _ = self.seg[:, members[np.repeat(left[hit] - n.cumsum() + n, n) + np.arange(n.sum())]]
+                    hit = np.repeat(hit, n)
+                    # where the whole item can lie around its segment
+                    most, rest = self.most[item], self.sizes[item] - offset - length
+                    lows, highs = np.maximum(first[hit] - offset - most, begin[hit]), np.minimum(first[hit] + size + rest + most, stop[hit])
+                    fits = np.ones(len(hit), bool)
+                    for t, count in enumerate(counts):
+                        fits &= count[highs] - count[lows] >= self.needs[t][item]
+                    out.append(np.unique(np.stack((text[hit], item, lows, highs))[:, fits], axis=1))
+        return out
+
 
-def expected_recall(n: int, k: int, trials: int = 400, seed: int = 3) -> float:
-    """Of random items of n words put into texts with k random edits, k within the limit, the share found."""
-    rng, hits = np.random.default_rng(seed), 0
+def expected_recall(n: int, k: int, trials: int = 400, seed: int = 3, places: str = "anywhere") -> float:
+    """Of random items of n words put into texts with k random edits, k within the limit, the share found; the edits sit
+    anywhere, or next to each other at the "front", "middle" or "end"."""
+    rng, items, texts = np.random.default_rng(seed), [], []
+    start = {"front": 0, "middle": (n - k) // 2, "end": n - k}.get(places)
     for _ in range(trials):
-        item = [b"w%d" % x for x in rng.integers(0, 10_000, n)]
-        text = list(item)
-        for _ in range(k):
-            at, kind = int(rng.integers(0, len(text))), int(rng.integers(0, 3))
+        items.append([b"w%d" % x for x in rng.integers(0, 100_000, n)])
+        text = list(items[-1])
+        for i in range(k):
+            at, kind = int(rng.integers(0, len(text))) if start is None else min(start + i, len(text)), int(rng.integers(0, 3))
             text[at : at + (kind != 1)] = [] if kind == 2 else [b"v%d" % rng.integers(0, 10_000)]
         around = [b"x%d" % x for x in rng.integers(0, 10_000, n)]
-        hits += bool(ItemIndex([(0, item)], seed=int(rng.integers(0, 1 << 30))).search([around + text + around]))
-    return hits / trials
+        texts.append(around + text + around)
+    found = ItemIndex(list(enumerate(items)), seed=seed).search(texts)
+    return sum(t == i for t, i, *_ in found) / trials
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block: int) -> Iterator[list[tuple[int | None, list[bytes]]]]:
-    """The items in blocks, one of which the driver holds at a time; warns of the number of items not searched."""
+    """The items in blocks, one of which the driver holds at a time."""
     some: list[tuple[int | None, list[bytes]]] = []
-    short = 0
+    words = 0
     for r in benchmark.select(F.col(item_col).cast("long").alias("i"), doc_text(text_col).alias("t")).toLocalIterator():
         some.append((r.i, split_words(r.t)))
-        short += 0 < len(some[-1][1]) < MIN_WORDS
-        if len(some) == block:
+        words += len(some[-1][1])
+        if len(some) == block or words >= BLOCK_WORDS:
             yield some
-            some = []
+            some, words = [], 0
     if some:
         yield some
-    if short:
-        warnings.warn(f"{short} benchmark items of fewer than {MIN_WORDS} words are not searched", stacklevel=2)
-
-
-def not_searched(benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """item_id, n_words of the items that have words, but too few to be looked for."""
-
-    @F.pandas_udf("long")
-    def size(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: len(split_words(t))).astype("int64")
-
-    return benchmark.select(F.col(item_col).cast("long").alias("item_id"), size(doc_text(item_text)).alias("n_words")).where(f"n_words BETWEEN 1 AND {MIN_WORDS - 1}")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block: int = BLOCK) -> DataFrame:
     """doc_id, item_id, start_word, n_words, edits, similarity: the closest run of words for each item in each document.
 
-    n_words is the item's number of words and similarity the share of it that is not edits; start_word is where the run begins.
+    n_words is the item's number of words and similarity the share of it that is not edits; start_word is where the run
+    begins. With more than one block of items the blocks are searched one after the other and their results written.
     """
     spark = docs.sparkSession
     small_batches(spark)
     schema = "doc_id long, item_id long, start_word long, n_words long, edits long"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), doc_text(text_col).alias("text"))
-    out = None
-    for items in _blocks(benchmark, item_col, item_text, block):
-        sent = spark.sparkContext.broadcast(ItemIndex(items))
 
-        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+    def found(sent) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             index = sent.value
             for pdf in batches:
-                found = index.search(list(map(split_words, pdf["text"])))
-                ids = pd.array([hit[1] for hit in found], dtype="Int64")
-                frame = pd.DataFrame([(t, s, n, d) for t, _, s, n, d in found], columns=["row", "start_word", "n_words", "edits"], dtype="int64")
+                hits = index.search(list(map(split_words, pdf["text"])))
+                ids = pd.array([hit[1] for hit in hits], dtype="Int64")
+                frame = pd.DataFrame([(t, s, n, d) for t, _, s, n, d in hits], columns=["row", "start_word", "n_words", "edits"], dtype="int64")
                 frame.insert(1, "item_id", ids)
                 frame.insert(0, "doc_id", pdf["doc_id"].array[frame.pop("row").to_numpy()])
                 yield frame
 
-        part = rows.mapInPandas(run, schema)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = spark.createDataFrame([], schema)
+        return rows.mapInPandas(run, schema)
+
+    out, folder, last = None, None, None
+    for i, items in enumerate(_blocks(benchmark, item_col, item_text, block)):
+        if last is not None:  # its result is written before the next block's index is sent
+            folder = folder or shared_folder(spark)
+            part = written(found(last), folder, f"block-{i}")
+            out = part if out is None else out.unionByName(part)
+            last.destroy()
+        last = spark.sparkContext.broadcast(ItemIndex(items))
+    if last is None:
+        return spark.createDataFrame([], f"{schema}, similarity double")
+    out = found(last) if out is None else out.unionByName(found(last))
     return out.withColumn("similarity", 1 - F.col("edits") / F.col("n_words"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` less the documents that hold a benchmark item; of rows that share an id, only those that do."""
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """`docs` less the documents that hold a benchmark item; of rows that share an id, only those that do. With more than
+    one block of items, what a block leaves is written for the next one."""
     spark = docs.sparkSession
     small_batches(spark)
-    index_of = [spark.sparkContext.broadcast(ItemIndex(items)) for items in _blocks(benchmark, "item_id", "text", BLOCK)]
-
-    @F.pandas_udf("boolean")
-    def clean(texts: pd.Series) -> pd.Series:
-        words, found = list(map(split_words, texts)), np.ones(len(texts), bool)
-        for sent in index_of:
-            found[[hit[0] for hit in sent.value.search(words)]] = False
-        return pd.Series(found)
 
-    return docs.where(clean(doc_text(text_col)))
+    def left(docs: DataFrame, sent) -> DataFrame:
+        @F.pandas_udf("boolean")
+        def clean(texts: pd.Series) -> pd.Series:
+            found = np.ones(len(texts), bool)
+            found[[hit[0] for hit in sent.value.search(list(map(split_words, texts)))]] = False
+            return pd.Series(found)
+
+        return docs.where(clean(doc_text(text_col)))
+
+    folder, last = None, None
+    for i, items in enumerate(_blocks(benchmark, "item_id", "text", block)):
+        if last is not None:
+            folder = folder or shared_folder(spark)
+            docs = written(left(docs, last), folder, f"left-{i}")
+            last.destroy()
+        last = spark.sparkContext.broadcast(ItemIndex(items))
+    return docs if last is None else left(docs, last)
 
 
 def op4_decontaminate(spark, sf_dir: str) -> DataFrame:
