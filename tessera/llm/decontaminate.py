@@ -17,9 +17,11 @@ wrongly.
 
 Every word position of every document starts a window, also those that a text's start or end cuts off. Windows as
 long as the item, and only those that can be within the limit, are embedded: of an item's r words that occur in at
-most t items, a text within k edits has at least r - k, for every t. As walks over long strings with many edits drift
+most t items, a text within k edits has at least r - k, for every t, also in the window; and of its n - 1 pairs of
+neighbours at most 2k are not there. As walks over long strings with many edits drift
 apart, an item of over SEGMENT words is cut into segments, each with windows of its own: of a passage within the limit
-at least one segment is within its share of it. Segments of similar length share a window length.
+at least one segment is within its share of it. Segments of one length are searched together, so a block has at most
+SEGMENT + MIN_WORDS such searches, however many items it has.
 
 The benchmark is taken in blocks of up to BLOCK items and BLOCK_WORDS words; the index of one block at a time is sent to
 the workers. It takes about 2 KB an item and 100 bytes a word, so its size is bounded however many and however long
@@ -37,6 +39,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -50,17 +53,17 @@ SHARE = 0.2
 #: Items with fewer words count as exact copies only.
 MIN_WORDS = 8
 #: Walks, half of them backwards, sampled keys of each, words in a key, and steps of a walk for each word.
-WALKS, KEYS, KEY_WORDS, STEPS = 8, 16, 3, 2.0
+WALKS, KEYS, KEY_WORDS, STEPS = 8, 16, 3, 1.5
+#: Bits of the hash by which pairs of neighbours are known.
+PAIR_BITS = 22
 #: Words in a segment of an item at most.
 SEGMENT = 64
 #: Items and words in a block.
 BLOCK, BLOCK_WORDS = 5_000, 1_000_000
-#: Lengths up to this times the shortest share a window length.
-RATIO = 1.15
 #: Numbers of items up to which a word of the benchmark counts as rare, from the rarest words to all of them.
 TIERS = (1, 2, 4, 8, 16, 1 << 30)
 #: Words searched, and windows embedded, at once.
-CHUNK, WINDOWS = 400_000, 50_000
+CHUNK, WINDOWS = 400_000, 20_000
 
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -149,60 +152,59 @@ class ItemIndex:
         rng = np.random.default_rng(seed)
         #: a random number for each word and the filler; with a step's number it gives the bit of the step and the word
         self.numbers = rng.integers(0, 1 << 64, self.other + 2, np.uint64)
+        self.pairs = np.zeros(1 << PAIR_BITS, bool)
+        for _, ids in self.items:
+            self.pairs[self._pairs(ids)] = True
         #: segments: item, offset, length and edits to spare
         cuts = [(m, np.linspace(0, n, -(-n // SEGMENT) + 1).astype(int)) for m, n in enumerate(self.sizes.tolist())]
         self.seg = np.array([(m, a, b - a, 0 if self.most[m] == 0 else int(share * (b - a))) for m, cut in cuts for a, b in zip(cut, cut[1:])], np.int64).reshape(-1, 4).T
+        #: a number for each walk and step
+        self.steps = rng.integers(0, 1 << 64, (WALKS, int(STEPS * self.seg[2].max(initial=1))), np.uint64) | np.uint64(1)
         self.groups = []
-        order = np.lexsort((self.seg[2], self.seg[3] > 0))
-        while len(order):
-            # segments that must be whole stay apart from those with edits to spare
-            few, lengths = self.seg[3][order] > 0, self.seg[2][order]
-            members = order[: int(np.argmin(np.append((few == few[0]) & (lengths <= lengths[0] * RATIO), False)))]
-            order = order[len(members) :]
-            self.groups.append(self._group(members, rng))
+        # of a length, those that must be whole stay apart from those with edits to spare
+        for size, k in sorted(set(zip(*self.seg[2:].tolist(), strict=True))):
+            self.groups.append(self._group(np.flatnonzero((self.seg[2] == size) & (self.seg[3] == k)), rng))
+
+    def _pairs(self, ids: np.ndarray) -> np.ndarray:
+        """The hashes of all pairs of neighbours."""
+        numbers = self.numbers[ids]
+        return _mix(numbers[:-1] * np.uint64(3) + numbers[1:]) >> np.uint64(64 - PAIR_BITS)
 
     def _group(self, members: np.ndarray, rng: np.random.Generator) -> tuple:
-        """Of segments of similar length: window length, edits, least length, least counts, and by walk its steps'
-        numbers and its keys with their segments."""
-        item, offset, sizes, most = self.seg[:, members]
-        size, least, k = int(sizes.max()), int(sizes.min()), int(most.max())
-        words = [self.items[m][1][a : a + n] for m, a, n in zip(item, offset, sizes, strict=True)]
-        flat, stop = np.concatenate(words), sizes.cumsum()
-        needs = np.array([[int((self.spread[ids] <= t).sum()) for ids in words] for t in TIERS]) - most
-        walks = []
+        """Of segments of one length: their length, edits, least counts, and by walk its steps' numbers and its keys with
+        their segments."""
+        (item, offset), (size, k) = self.seg[:2, members], self.seg[2:, members[0]].tolist()
+        words = np.stack([self.items[m][1][a : a + size] for m, a in zip(item, offset, strict=True)])
+        flat, stop = words.ravel(), size * np.arange(1, len(members) + 1)
+        needs = np.array([(self.spread[words] <= t).sum(axis=1) for t in TIERS]) - k
+        walks, last = [], max(int(STEPS * size), 1)  # of each walk: the steps of its keys, the keys and their segments
         for w in range(WALKS):
-            last = max(int(STEPS * least), 1)
-            steps = rng.integers(0, 1 << 64, last, np.uint64)
-            picked = [np.sort(rng.choice(last, min(KEY_WORDS, last), replace=False)) for _ in range(KEYS)]
-            outputs = self._walk(flat, stop - sizes, stop, w % 2 == 1, steps, picked)
-            tables = []
-            for some in picked:
-                real = np.any([outputs[x] != self.other + 1 for x in some], axis=0)  # not filler alone
-                keys = self._key(outputs, some)[real]
-                at = np.argsort(keys, kind="stable")
-                tables.append((some, keys[at], members[real][at]))
-            walks.append((steps, picked, tables))
-        return size, k, least, needs.min(axis=1), walks
-
-    def _walk(self, ids: np.ndarray, low: np.ndarray, high: np.ndarray, backwards: bool, steps: np.ndarray, picked: list[np.ndarray]) -> dict[int, np.ndarray]:
-        """The outputs, at the picked steps, of a walk over each window ids[low:high]."""
-        wanted, out = {int(x) for some in picked for x in some}, {}
+            outputs = self._walk(flat, stop - size, stop, w, last)
+            picked = np.sort(np.stack([rng.choice(last, min(KEY_WORDS, last), replace=False) for _ in range(KEYS)]), axis=1)
+            real = np.any(outputs[picked] != self.other + 1, axis=1)  # not filler alone
+            keys, owners = self._keys(outputs[picked])[real], np.broadcast_to(members, real.shape)[real]
+            at = np.argsort(keys, kind="stable")
+            walks.append((picked, keys[at], owners[at]))
+        return size, k, needs.min(axis=1), walks
+
+    def _walk(self, ids: np.ndarray, low: np.ndarray, high: np.ndarray, walk: int, steps: int) -> np.ndarray:
+        """The outputs of a walk's first steps, a row for each, over each window ids[low:high]."""
+        out, backwards = np.empty((steps, len(low)), np.int32), walk % 2 == 1
         at = high - 1 if backwards else low.copy()
-        for step in range(max(wanted) + 1):
-            inside = (at >= low) & (at < high)
-            word = np.where(inside, ids[np.where(inside, at, 0)], self.other + 1)
-            if step in wanted:
-                out[step] = word
-            bit = (_mix(self.numbers[word] ^ steps[step]) >> np.uint64(63)).astype(np.int64)
-            at += -bit if backwards else bit
+        for step in range(steps):
+            word = ids[np.minimum(at, len(ids) - 1)]
+            np.putmask(word, (at < low) if backwards else (at >= high), self.other + 1)
+            out[step] = word
+            bit = (self.numbers[word] * self.steps[walk, step] >> np.uint64(63)).astype(np.int64)
+            at = np.maximum(at - bit, low - 1) if backwards else np.minimum(at + bit, high)
         return out
 
-    def _key(self, outputs: dict[int, np.ndarray], some: np.ndarray) -> np.ndarray:
-        """A hash of the outputs at some steps."""
-        key = np.zeros(len(outputs[int(some[0])]), np.uint64)
-        for x in some:
-            key = _mix(key * np.uint64(3) + self.numbers[outputs[int(x)]])
-        return key
+    def _keys(self, outputs: np.ndarray) -> np.ndarray:
+        """A hash for each key and window of outputs (key, word, window)."""
+        keys = np.repeat(np.arange(1, len(outputs) + 1, dtype=np.uint64)[:, None], outputs.shape[2], axis=1)
+        for x in range(outputs.shape[1]):
+            keys = _mix(keys * np.uint64(3) + self.numbers[outputs[:, x]])
+        return keys
 
     def search(self, texts: list[list[bytes]]) -> list[tuple[int, int, int, int, int]]:
         """(text, item id, start word, words, edits): the closest run of words for each item in each text."""
@@ -217,10 +219,14 @@ class ItemIndex:
 
     def _search(self, texts: list[tuple[int, list[bytes]]]) -> list[tuple[int, int, int, int, int]]:
         get, other = self.vocab.get, self.other
-        gap = max((size + k - least for size, k, least, _, _ in self.groups), default=0)
+        gap = int(self.seg[3].max(initial=0))
         filler = [other + 1] * gap  # before each text, so that windows may begin before it
         lengths = np.array([gap + len(words) for _, words in texts], np.int64)
-        ids = np.array([i for _, words in texts for i in (*filler, *(get(w, other) for w in words))], np.int64)
+        flat: list[int] = []
+        for _, words in texts:
+            flat += filler
+            flat += map(get, words, repeat(other))
+        ids = np.array(flat, np.int64)
         if not self.groups or not len(ids):
             return []
         stops = lengths.cumsum()
@@ -228,18 +234,20 @@ class ItemIndex:
         owner = np.repeat(np.arange(len(texts)), lengths)
         spread = np.append(self.spread, 1 << 40)[ids]
         counts = [np.concatenate(([0], (spread <= t).cumsum())) for t in TIERS]
+        pairs = np.concatenate(([0], self.pairs[self._pairs(ids)].cumsum(), [0]))  # pairs[i]: known ones that begin before i
+        pairs[-1] = pairs[-2]
+        starts = [self._windows(owner, begins, stops, counts, pairs, group) for group in self.groups]
+        first, group = np.concatenate(starts), np.repeat(np.arange(len(starts)), [len(x) for x in starts])
         places = []
-        for group in self.groups:
-            first = self._windows(owner, begins, stops, counts, group)
-            for at in range(0, len(first), WINDOWS):
-                places += self._candidates(ids, first[at : at + WINDOWS], owner, begins, stops, counts, group)
+        for at in range(0, len(first), WINDOWS):
+            places += self._candidates(ids, first[at : at + WINDOWS], group[at : at + WINDOWS], owner, begins, stops, counts)
         if not places:
             return []
         place = np.unique(np.concatenate(places, axis=1), axis=1)
         best: dict[tuple[int, int], tuple[int, int]] = {}
         # places of an item that meet are searched as one
         new = np.ones(place.shape[1], bool)
-        new[1:] = (place[:2, 1:] != place[:2, :-1]).any(axis=0) | (place[2, 1:] > np.maximum.accumulate(place[3])[:-1])
+        new[1:] = (place[:2, 1:] != place[:2, :-1]).any(axis=0) | (place[2, 1:] > place[3, :-1])
         heads = np.flatnonzero(new)
         for o, item, low, high in zip(*place[:3, heads].tolist(), np.maximum.reduceat(place[3], heads).tolist() if len(heads) else (), strict=True):
             at, words = (o, item), self.items[item][1].tolist()
@@ -248,48 +256,50 @@ class ItemIndex:
                 best[at] = (found[0], low + found[1])
         return [(texts[o][0], self.items[i][0], s - int(begins[o]), len(self.items[i][1]), d) for (o, i), (d, s) in sorted(best.items())]
 
-    def _windows(self, owner: np.ndarray, begins: np.ndarray, stops: np.ndarray, counts: list[np.ndarray], group: tuple) -> np.ndarray:
-        """Starts of the group's windows that can be within the limit. A run that begins or ends with its window lies
-        at most k words beyond it, and a segment shorter than the window leaves room."""
-        size, k, least, needs, _ = group
-        # the condition that leaves fewest windows comes first, the rest only see what it leaves
-        order = sorted((t for t in range(len(TIERS)) if needs[t] > 0), key=lambda t: (counts[t][-1] + 1) / needs[t])
-        total = len(owner)
-        if order:
-            upto, ahead = counts[order[0]], min(size + k, total)
-            high = np.concatenate((upto[ahead:], np.full(ahead, upto[-1])))[:total]
-            low = np.concatenate((np.zeros(min(k, total), np.int64), upto[: total - min(k, total)]))
-            first = np.flatnonzero(high - low >= needs[order[0]])
+    def _windows(self, owner: np.ndarray, begins: np.ndarray, stops: np.ndarray, counts: list[np.ndarray], pairs: np.ndarray, group: tuple) -> np.ndarray:
+        """Starts of the group's windows that can be within the limit: a run with k edits that begins, or ends, with a
+        window has all but k of the segment's words inside it, as each word that it is longer is an edit."""
+        size, k, needs, _ = group
+        total, ahead = len(owner), min(size - 1, len(owner))
+        if size - 1 > 2 * k:
+            high = np.concatenate((pairs[ahead:], np.full(ahead, pairs[-1])))[:total]
+            first = np.flatnonzero(high - pairs[:total] >= size - 1 - 2 * k)
         else:
             first = np.arange(total)
         begin, stop = begins[owner[first]], stops[owner[first]]
-        first = first[(begin - first <= size + k - least) & (stop - first >= least - k)]
-        for t in order:
+        first = first[(begin - first <= k) & (stop - first >= size - k)]
+        for count, need in zip(counts, needs.tolist(), strict=True):
             begin, stop = begins[owner[first]], stops[owner[first]]
-            first = first[counts[t][np.minimum(first + size + k, stop)] - counts[t][np.maximum(first - k, begin)] >= needs[t]]
+            first = first[count[np.minimum(first + size, stop)] - count[np.maximum(first, begin)] >= need]
         return first
 
-    def _candidates(self, ids: np.ndarray, first: np.ndarray, owner: np.ndarray, begins: np.ndarray, stops: np.ndarray, counts: list[np.ndarray], group: tuple) -> list[np.ndarray]:
-        """(text, item, low, high) of the places where a window shares a key with an item and has enough of its words."""
-        size, _, _, _, walks = group
+    def _candidates(self, ids: np.ndarray, first: np.ndarray, group: np.ndarray, owner: np.ndarray, begins: np.ndarray, stops: np.ndarray, counts: list[np.ndarray]) -> list[np.ndarray]:
+        """(text, item, low, high) of the places where a window, of the groups in their order, shares a key with an item
+        and has enough of its words."""
         out, text = [], owner[first]
         begin, stop = begins[text], stops[text]
-        low, high = np.maximum(first, begin), np.minimum(first + size, stop)
-        for w, (steps, picked, tables) in enumerate(walks):
-            outputs = self._walk(ids, low, high, w % 2 == 1, steps, picked)
-            for some, keys, members in tables:
-                mine = self._key(outputs, some)
+        sizes = np.array([size for size, *_ in self.groups])
+        low, high = np.maximum(first, begin), np.minimum(first + sizes[group], stop)
+        present = np.unique(group)
+        for w in range(WALKS):
+            outputs = self._walk(ids, low, high, w, max(int(STEPS * sizes[present[-1]]), 1))
+            for g in present:
+                a, b = np.searchsorted(group, [g, g + 1])
+                picked, keys, members = self.groups[g][3][w]
+                mine = self._keys(outputs[picked, a:b]).ravel()
                 left = np.searchsorted(keys, mine)
-                at = np.flatnonzero(keys[np.minimum(left, len(keys) - 1)] == mine) if len(keys) else np.zeros(0, np.int64)
+                at = np.flatnonzero(keys[np.minimum(left, len(keys) - 1)] == mine)
+                if not len(at):
+                    continue
                 times = np.searchsorted(keys, mine[at], "right") - left[at]
                 part = times.cumsum() // CHUNK  # a key of many items that comes often is taken in parts
-                for x in range(int(part[-1]) + 1 if len(part) else 0):
+                for x in range(int(part[-1]) + 1):
                     hit, n = at[part == x], times[part == x]
                     item, offset, length, _ = self.seg[:, members[np.repeat(left[hit] - n.cumsum() + n, n) + np.arange(n.sum())]]
-                    hit = np.repeat(hit, n)
+                    hit = a + np.repeat(hit % (b - a), n)
                     # where the whole item can lie around its segment
                     most, rest = self.most[item], self.sizes[item] - offset - length
-                    lows, highs = np.maximum(first[hit] - offset - most, begin[hit]), np.minimum(first[hit] + size + rest + most, stop[hit])
+                    lows, highs = np.maximum(first[hit] - offset - most, begin[hit]), np.minimum(first[hit] + length + rest + most, stop[hit])
                     fits = np.ones(len(hit), bool)
                     for t, count in enumerate(counts):
                         fits &= count[highs] - count[lows] >= self.needs[t][item]
