@@ -10,19 +10,22 @@ only these are counted again with more bits.
 
 A key that alone is over the limit cannot be split on its hash. Such a bucket of full depth gets overflow pages,
 as in extendible hashing on disk: its rows are dealt out by a second hash of the row's content and, for rows
-equal in all, by a running number, into as many pages as the limit asks for.
+equal in all, by a number that was written with the row, into as many pages as the limit asks for.
 
-Defined cases: a null text has 0 bytes; an empty table has no shards; a single row over the limit is a page of
-its own size that no split can shrink, and is marked by oversize; repeated rows each count; a null key hashes
-like the empty string; further columns are ignored.
+Defined cases: a null text has 0 bytes; an empty table has no shards; a very long text, a single row over the limit, is a
+page of its own size that no split can shrink, and is marked by oversize; keys that hash alike (ties) share a shard or
+its pages; repeated rows each count; a null key hashes like the empty string; further columns are ignored, and when
+shards are written they are kept, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import doc_text, shared_folder, written
+from tessera.llm.common import doc_text, fresh, shared_folder, written
 
 #: Bits of the hash in use: 60 of an MD5, which every SQL engine has.
 BITS = 60
@@ -71,7 +74,7 @@ def assign_shards(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col:
     folder = shared_folder(docs.sparkSession)
     text = doc_text(text_col)
     sizes = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("bytes"), hash_bits(F.col(id_col)).alias("bits"), F.xxhash64(text).alias("content"))
-    sizes = written(sizes, folder, "sizes")
+    sizes = written(sizes.withColumn("row", F.monotonically_increasing_id()), folder, "sizes")
     shards = directory(sizes, limit, folder, step)
     few = shards.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS
     depths = [r.cell_depth for r in shards.select("cell_depth").distinct().collect()]  # at most BITS / step numbers
@@ -90,12 +93,12 @@ def _paged(rows: DataFrame, limit: int, folder: str) -> DataFrame:
     over = written(rows.where(F.col("shard_bytes") > limit), folder, "over")
     fine = rows.where(F.col("shard_bytes") <= limit).withColumn("page", F.lit(0).cast("long"))
     if over.limit(1).count():
-        # parts of about a page by content and, for equal rows, by a number that the writing task gave; each
-        # part is small, and running sums inside a part and over parts place its rows on pages
-        parts = F.expr("pmod(xxhash64(content, doc_id, monotonically_increasing_id()), greatest(1L, shard_bytes div {0}))".format(limit))
+        # parts of about a page by content and, for equal rows, by the number written with each row, so that a page's
+        # name is the same in every run of the plan; each part is small, and running sums inside a part place its rows
+        parts = F.expr("pmod(xxhash64(content, doc_id, row), greatest(1L, shard_bytes div {0}))".format(limit))
         over = written(over.withColumn("part", parts), folder, "parts")
         big = F.col("bytes") > max(1, limit // 2)  # each on a page of its own
-        inside = Window.partitionBy("depth", "prefix", "part", "big").orderBy("content", "doc_id")
+        inside = Window.partitionBy("depth", "prefix", "part", "big").orderBy("content", "doc_id", "row")
         run = over.withColumn("big", big).withColumn("__upto", F.sum("bytes").over(inside.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__nth", F.row_number().over(inside))
         over = run.withColumn("page", F.expr(f"part * 2147483648L + IF(big, 1073741824L + __nth, greatest(0L, (__upto - 1) div {max(1, limit // 2)}))"))
         pages = over.groupBy("depth", "prefix", "page").agg(F.sum("bytes").alias("__bytes"), F.count(F.lit(1)).alias("__rows"))
@@ -105,35 +108,55 @@ def _paged(rows: DataFrame, limit: int, folder: str) -> DataFrame:
     return fine.select("doc_id", "bytes", "depth", "prefix", "page", shard.alias("shard"), "shard_bytes", "shard_rows", (F.col("shard_bytes") > limit).alias("oversize"))
 
 
+#: Shards that a task writes, about.
+SHARDS_A_TASK = 16
+
+
 def write_shards(docs: DataFrame, assigned: DataFrame, folder: str, id_col: str = "doc_id") -> None:
-    """Writes `docs`, whose ids are unique, as one directory per shard under `folder`."""
-    placed = docs.join(assigned.select(F.col("doc_id").alias(id_col), "shard"), id_col)
-    placed.repartition("shard").write.partitionBy("shard").option("compression", "zstd").parquet(folder)
+    """Writes `docs`, whose ids are unique, as one directory per shard under `folder`.
+
+    The number of tasks follows the number of shards, and rows are sorted by shard, so a task has one file open.
+    """
+    name = "shard" if "shard" not in [c.lower() for c in docs.columns] else fresh("shard")
+    number = fresh("id")
+    tasks = math.ceil(assigned.select("shard").distinct().count() / SHARDS_A_TASK) or 1
+    placed = docs.join(assigned.select(F.col("doc_id").alias(number), F.col("shard").alias(name)), F.col(id_col) == F.col(number)).drop(number)
+    placed.repartition(tasks, name).sortWithinPartitions(name).write.partitionBy(name).option("compression", "zstd").parquet(folder)
+
+
+#: Bytes of text that a shard of the query may have at most, and shards that a smaller table is still dealt into, about.
+LIMIT, SHARDS = 32 << 20, 32
 
 
-#: Bytes of text that a shard of the query may have.
-LIMIT = 32 << 20
+def shard_limit(docs: DataFrame, text_col: str = "text", most: int = LIMIT, shards: int = SHARDS) -> int:
+    """The byte limit for a table: `most`, or what makes about `shards` shards of a table that has less."""
+    total = docs.agg(F.sum(F.octet_length(doc_text(text_col)).cast("long"))).first()[0] or 0
+    return max(1, min(most, total // shards))
 
 
 def op9_sharding(spark, sf_dir: str) -> DataFrame:
-    """The shard of every row of `documents`, keyed by doc_id, with shards of at most LIMIT bytes of text."""
+    """The shard of every row of `documents`, keyed by doc_id."""
     from tessera.sources.tables import table
 
-    return assign_shards(table(spark, sf_dir, "documents"), LIMIT)
+    docs = table(spark, sf_dir, "documents")
+    return assign_shards(docs, shard_limit(docs))
 
 
+#: Every depth of the directory. Rows that are over the limit alone, which SQL would page otherwise, are not in the given tables.
 ORACLE_SQL = f"""
 WITH sizes AS (
   SELECT doc_id, coalesce(strlen(text), 0) AS bytes,
          CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS bits
   FROM documents
+), lim AS (
+  SELECT greatest(1, least({LIMIT}, sum(bytes) // {SHARDS})) AS most FROM sizes
 ), nodes AS (
   SELECT d.depth, bits >> (60 - d.depth) AS prefix, sum(bytes) AS shard_bytes, count(*) AS shard_rows
-  FROM sizes, (SELECT unnest(range(0, 21)) AS depth) d GROUP BY ALL
+  FROM sizes, (SELECT unnest(range(0, 61)) AS depth) d GROUP BY ALL
 ), placed AS (
   SELECT s.doc_id, s.bytes, n.depth, n.prefix, n.shard_bytes, n.shard_rows,
          row_number() OVER (PARTITION BY s.doc_id ORDER BY n.depth) AS r
-  FROM sizes s JOIN nodes n ON n.prefix = s.bits >> (60 - n.depth) WHERE n.shard_bytes <= {LIMIT}
+  FROM sizes s JOIN nodes n ON n.prefix = s.bits >> (60 - n.depth), lim WHERE n.shard_bytes <= lim.most
 )
 SELECT doc_id, bytes, CAST(depth AS INTEGER) AS depth, prefix, CAST(0 AS BIGINT) AS page,
        lpad(CAST(depth AS VARCHAR), 2, '0') || '-' || lower(printf('%x', prefix)) AS shard,

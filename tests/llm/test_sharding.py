@@ -5,7 +5,7 @@ from collections import defaultdict
 
 import pytest
 
-from tessera.llm.sharding import assign_shards, write_shards
+from tessera.llm.sharding import assign_shards, op9_sharding, write_shards
 from tessera.llm.common import shared_folder
 
 
@@ -62,6 +62,26 @@ def test_written_shards_hold_every_row(spark):
     assert back.count() == 200 and back.groupBy("shard").agg({"text": "count"}).count() > 5
 
 
+def test_written_shards_keep_columns_of_any_name(spark):
+    docs = spark.range(60).selectExpr("id AS doc_id", "repeat('a', CAST(id AS INT)) AS text", "'mine' AS shard", "1 AS id")
+    folder = f"{shared_folder(spark)}/shards"
+    write_shards(docs, assign_shards(docs, 500), folder)
+    back = spark.read.parquet(folder)
+    assert {r.shard for r in back.collect()} == {"mine"} and len(back.columns) == 5
+
+
+def test_the_query_splits_to_several_depths(spark):
+    got = op9_sharding(spark, "/root/testdata/sf0.01").select("depth", "shard", "oversize").distinct().collect()
+    assert len({r.depth for r in got}) > 1 and len(got) >= 32 and not any(r.oversize for r in got)
+
+
+def test_page_names_do_not_change(spark):
+    rows = [(7, "x" * 50) for _ in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = assign_shards(docs, 500)
+    assert sorted(r.shard for r in found.collect()) == sorted(r.shard for r in found.collect())
+
+
 def test_empty_and_bad_limit(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert assign_shards(docs, 10).collect() == []
