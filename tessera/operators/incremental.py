@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.lineage import cut
-from tessera.operators.numbering import running_sum
+from tessera.operators.numbering import last_known, previous, running_sum
 
 
 def changes(writes: DataFrame, value: str = "value") -> DataFrame:
@@ -14,19 +14,19 @@ def changes(writes: DataFrame, value: str = "value") -> DataFrame:
 
     A NaN never equals the value before it, so it always counts as a change.
     """
-    before = F.lag(F.struct(F.col(value).alias("v"))).over(Window.partitionBy("key").orderBy("version"))
-    same = before.isNotNull() & F.col(value).eqNullSafe(before["v"])
+    rows = previous(writes, "__before", "key", "version", F.struct(F.col(value).alias("v")))
+    same = F.col("__before").isNotNull() & F.col(value).eqNullSafe(F.col("__before.v"))
     if dict(writes.dtypes)[value] in ("double", "float"):
         same = same & ~F.coalesce(F.isnan(value), F.lit(False))
-    return writes.withColumn("changed", ~same)
+    return rows.withColumn("changed", ~same).drop("__before")
 
 
 def revisions(writes: DataFrame, value: str = "value") -> DataFrame:
     """Writes with the revision after them, which only real changes move on, and the key's changed_at."""
     rows = changes(writes, value).withColumn("__one", F.col("changed").cast("long"))
     rows = running_sum(rows, "revision", "__one", "version").drop("__one")
-    upto = Window.partitionBy("key").orderBy("version").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("changed_at", F.max(F.when(F.col("changed"), F.col("revision"))).over(upto))
+    # revisions grow with versions, so the key's last change has its largest one
+    return last_known(rows, "changed_at", "key", "version", F.when(F.col("changed"), F.col("revision")))
 
 
 def first_changed_dependency(deps: DataFrame) -> DataFrame:

@@ -1,43 +1,85 @@
-"""Global numbering without a global sort in one task."""
+"""Global numbering, and looks at the row before, without a global sort or a whole key's history in one task."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges that rows are dealt into; the driver holds that many bounds.
-RANGES = 64
+from tessera.operators.lineage import cut
+
+#: Rows in a range, about; the number of ranges follows the number of rows.
+ROWS = 1_000_000
+#: Orders (versions, commits) in a block of a key's history.
+BLOCK = 1 << 20
+
+
+def _ranged(rows: DataFrame, by: Column, then: list[str], ranges: int | None) -> DataFrame:
+    """`rows`, sorted, with __range and __index: ranges by (`by`, `then`) and places from 0 inside them.
+
+    The ranges are Spark's, by sampled bounds; `then` splits equal values of `by`. They are written before anything is
+    made of them, as bounds sampled a second time would be others.
+    """
+    if ranges is None:
+        ranges = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows.count() / ROWS))
+    keyed = rows.withColumn("__by", by).repartitionByRange(ranges, "__by", *then).sortWithinPartitions("__by", *then)
+    # the number has the partition above bit 33 and the place in it below
+    placed = cut(keyed.drop("__by").withColumn("__at", F.monotonically_increasing_id()))
+    return placed.withColumns({"__range": F.shiftright("__at", 33), "__index": F.col("__at").bitwiseAND((1 << 33) - 1)}).drop("__at")
+
 
+def _before(ranged: DataFrame, size: Column) -> DataFrame:
+    """__range, __before: the sum of the sizes of the ranges before; one row for each range meets in one place."""
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy("__range").agg(size.alias("__size"))
+    return sizes.select("__range", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__before"))
 
-def numbered(rows: DataFrame, number: str, by: Column, then: list[str], ranges: int = RANGES) -> DataFrame:
+
+def numbered(rows: DataFrame, number: str, by: Column, then: list[str], ranges: int | None = None) -> DataFrame:
     """`rows` with the 1-based rank by (`by`, a long, then the columns `then`) in `number`.
 
-    Bounds of equal depth split the rows into ranges; a row's number is the size of the ranges before its own plus
-    its rank inside it, so each task sorts one range and only the ranges' sizes meet in one place.
+    A row's number is the size of the ranges before its own plus its place inside it, so each task sorts one range
+    of about ROWS rows, and the ranges' sizes, a row for each, are all that is broadcast.
     """
-    keyed = rows.withColumn("__by", by)
-    bounds = keyed.agg(F.percentile_approx("__by", [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or []
-    at = F.lit(0)
-    if bounds:
-        at = F.expr(f"size(filter(array({', '.join(f'{b}L' for b in sorted(set(bounds)))}), b -> b < __by))")
-    keyed = keyed.withColumn("__range", at)
-    sizes = keyed.groupBy("__range").agg(F.count(F.lit(1)).alias("__size"))
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
-    sizes = sizes.select("__range", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__before"))
-    inside = Window.partitionBy("__range").orderBy("__by", *then)
-    ranked = keyed.withColumn("__rank", F.row_number().over(inside)).join(F.broadcast(sizes), "__range")
-    return ranked.withColumn(number, (F.col("__before") + F.col("__rank")).cast("long")).drop("__by", "__range", "__before", "__rank")
-
-
-def running_sum(rows: DataFrame, out: str, value: str, by: str, ranges: int = RANGES) -> DataFrame:
+    ranged = _ranged(rows, by, then, ranges)
+    placed = ranged.join(F.broadcast(_before(ranged, F.count(F.lit(1)))), "__range")
+    return placed.withColumn(number, (F.col("__before") + F.col("__index") + 1).cast("long")).drop("__range", "__index", "__before")
+
+
+def running_sum(rows: DataFrame, out: str, value: str, by: str, ranges: int | None = None) -> DataFrame:
     """`rows` with the sum of `value` over all rows up to each by the unique long `by`, without one global window."""
-    bounds = rows.agg(F.percentile_approx(by, [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or []
-    at = F.lit(0)
-    if bounds:
-        at = F.expr(f"size(filter(array({', '.join(f'{b}L' for b in sorted(set(bounds)))}), b -> b < {by}))")
-    keyed = rows.withColumn("__range", at)
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = keyed.groupBy("__range").agg(F.sum(value).alias("__sum")).select("__range", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
-    inside = Window.partitionBy("__range").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
-    run = keyed.withColumn("__run", F.sum(value).over(inside)).join(F.broadcast(sums), "__range")
-    return run.withColumn(out, (F.col("__before") + F.col("__run")).cast("long")).drop("__range", "__run", "__before")
+    ranged = _ranged(rows, F.col(by), [], ranges)
+    inside = Window.partitionBy("__range").orderBy("__index").rowsBetween(Window.unboundedPreceding, 0)
+    run = ranged.withColumn("__run", F.sum(value).over(inside)).join(F.broadcast(_before(ranged, F.sum(value))), "__range")
+    return run.withColumn(out, (F.col("__before") + F.col("__run")).cast("long")).drop("__range", "__index", "__run", "__before")
+
+
+def _carried(rows: DataFrame, out: str, key: str, order: str, inside: Column, end: Column, over: Column, join: Column) -> DataFrame:
+    """`rows` with `out`: `inside` its block of a key's history, or, where `join` says so, what other blocks hand on.
+    `end` sums a block up, `over` looks at the blocks, of which a key has one for each BLOCK orders."""
+    blocked = rows.withColumn("__block", F.floor(F.col(order) / BLOCK).cast("long")).withColumn(out, inside)
+    ends = blocked.groupBy(F.col(key).alias("__key"), F.col("__block").alias("__of")).agg(end.alias("__end"))
+    handed = ends.select("__key", "__of", over.alias("__carry"))
+    both = blocked.join(handed, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__block") == F.col("__of")))
+    return both.withColumn(out, join).drop("__block", "__key", "__of", "__carry")
+
+
+def previous(rows: DataFrame, out: str, key: str, order: str, what: Column) -> DataFrame:
+    """`rows` with the struct `what` of the key's row before by the unique long `order`; null for its first."""
+    inside, blocks = Window.partitionBy(key, "__block").orderBy(order), Window.partitionBy("__key").orderBy("__of")
+    return _carried(rows, out, key, order, F.lag(what).over(inside), F.max_by(what, order), F.lag("__end").over(blocks), F.coalesce(out, "__carry"))
+
+
+def following(rows: DataFrame, out: str, key: str, order: str, what: Column) -> DataFrame:
+    """`rows` with the struct `what` of the key's row after by the unique long `order`; null for its last."""
+    inside, blocks = Window.partitionBy(key, "__block").orderBy(order), Window.partitionBy("__key").orderBy("__of")
+    return _carried(rows, out, key, order, F.lead(what).over(inside), F.min_by(what, order), F.lead("__end").over(blocks), F.coalesce(out, "__carry"))
+
+
+def last_known(rows: DataFrame, out: str, key: str, order: str, what: Column) -> DataFrame:
+    """`rows` with the last non-null `what` of the key up to each row by the unique long `order`."""
+    inside = Window.partitionBy(key, "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    blocks = Window.partitionBy("__key").orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)
+    end = F.max_by(what, F.when(what.isNotNull(), F.col(order)))
+    return _carried(rows, out, key, order, F.last(what, ignorenulls=True).over(inside), end, F.last("__end", ignorenulls=True).over(blocks), F.coalesce(out, "__carry"))

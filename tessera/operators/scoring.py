@@ -49,8 +49,7 @@ def partial_credit(measured: Column, full_at: Column, zero_at: Column) -> Column
 
 def worst(rows: DataFrame, name: str, value: str) -> DataFrame:
     """worst, at: the largest value and where it is; of equal ones the first name."""
-    top = rows.agg(F.max(F.struct(F.col(value).alias("v"))).alias("m"))
-    return rows.join(F.broadcast(top), F.struct(F.col(value).alias("v")) == F.col("m")).agg(F.max(value).alias("worst"), F.min(name).alias("at"))
+    return rows.groupBy(value).agg(F.min(name).alias("__name")).agg(F.max(value).alias("worst"), F.max_by("__name", value).alias("at"))
 
 
 def expansion_bound(size: Column) -> Column:

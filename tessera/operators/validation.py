@@ -64,19 +64,19 @@ def unsafe_path(path: Column) -> Column:
 
 
 def shortest_cover(paths: DataFrame, path: str, required: list[str]) -> DataFrame:
-    """prefix: the shortest folder (of equal depth the shortest name) below which all required names are."""
+    """prefix: the shortest folder (of equal depth the shortest name, then the first one) below which all required names are."""
     parts = F.split(path, "/")
     levels = paths.select(path, F.explode(F.sequence(F.lit(0), F.size(parts) - 1)).alias("depth"))
     cut = levels.select("depth", F.array_join(F.slice(parts, F.lit(1), F.col("depth")), "/").alias("prefix"), F.array_join(F.slice(parts, F.col("depth") + 1, F.size(parts)), "/").alias("rest"))
     full = cut.where(F.col("rest").isin(required)).groupBy("depth", "prefix").agg(F.countDistinct("rest").alias("n")).where(F.col("n") == len(required))
-    return full.agg(F.min_by("prefix", F.struct("depth", F.length("prefix"))).alias("prefix"))
+    return full.agg(F.min_by("prefix", F.struct("depth", F.length("prefix"), "prefix")).alias("prefix"))
 
 
 def repaired(paths: DataFrame, path: str, prefix: str, junk: list[str]) -> DataFrame:
     """Paths with the wrapper prefix stripped, without junk and folders."""
     rows = paths.where(~F.element_at(F.split(path, "/"), -1).isin(junk) & ~F.col(path).endswith("/"))
     cut = F.when(F.startswith(F.col(path), F.lit(f"{prefix}/")), F.substr(F.col(path), F.lit(len(prefix) + 2))).otherwise(F.col(path))
-    return rows.select(F.col(path), cut.alias("repaired"))
+    return rows.withColumn("repaired", cut)
 
 
 def content_hash(column: Column) -> Column:

@@ -10,9 +10,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.numbering import following, last_known, previous
+
+#: Commits in a block of a key's history.
+COMMITS = 1024
 #: Limits of a key's and of a value's size in bytes.
 MAX_KEY, MAX_VALUE = 4096, 1 << 20
 
@@ -62,11 +66,15 @@ def overlay(base: DataFrame, writes: DataFrame) -> DataFrame:
 def conflicts_pairwise(writes: DataFrame) -> DataFrame:
     """txn, other, key of writes (txn, key, begin, commit) whose key another transaction wrote and committed between.
 
-    This compares pairs as they are; a transaction that lost still counts here (see commit_fold for the outcome).
+    This compares pairs as they are; a transaction that lost still counts here (see commit_fold for the outcome). The
+    join is on the key and a block of COMMITS commits, and a write asks only for the blocks that its lifetime meets, so
+    neither the history of a hot key nor its pairs meet in one task.
     """
-    other = writes.select("key", F.col("txn").alias("other"), F.col("commit").alias("__committed"))
+    other = writes.select("key", F.col("txn").alias("other"), F.col("commit").alias("__committed"), F.floor(F.col("commit") / COMMITS).alias("__block"))
+    blocks = F.sequence(F.floor((F.col("begin") + 1) / COMMITS), F.floor((F.col("commit") - 1) / COMMITS))
+    asks = writes.where("commit - begin > 1").withColumn("__block", F.explode(blocks))
     late = (F.col("__committed") > F.col("begin")) & (F.col("__committed") < F.col("commit"))
-    return writes.join(other, "key").where(late & (F.col("other") != F.col("txn"))).select("txn", "other", "key").distinct()
+    return asks.join(other, ["key", "__block"]).where(late & (F.col("other") != F.col("txn"))).select("txn", "other", "key").distinct()
 
 
 def commit_fold(writes: DataFrame, group: str) -> DataFrame:
@@ -116,10 +124,27 @@ def horizon(checkpoint: int, active: list[int]) -> int:
 def prune(log: DataFrame, upto: int) -> DataFrame:
     """The log without versions that no snapshot at or above `upto` can see: of each key the newest row at or
     below it and all above stay, and a delete that would be left alone goes."""
-    chain = Window.partitionBy("key").orderBy("version")
-    rows = log.withColumn("__next", F.lead("version").over(chain)).where(F.col("__next").isNull() | (F.col("__next") > upto))
-    alone = (F.count(F.lit(1)).over(Window.partitionBy("key")) == 1) & F.col("is_delete") & (F.col("version") <= upto)
-    return rows.withColumn("__alone", alone).where(~F.col("__alone")).drop("__next", "__alone")
+    rows = following(log, "__next", "key", "version", F.struct("version"))
+    after = F.col("__next.version")
+    stays = after.isNull() | (after > upto)
+    alone = after.isNull() & F.col("is_delete") & (F.col("version") <= upto)  # nothing above it, and it hides what is below
+    return rows.where(stays & ~alone).drop("__next")
+
+
+def asof_join(asked: DataFrame, log: DataFrame, at: str = "at") -> DataFrame:
+    """The rows of `asked` (key, a long column `at`, and more) with found_version and value: what each one's key has as
+    of its own version; null where the key does not live then.
+
+    Questions are put in line with the log's rows of their key, each after the version it asks for, and take the
+    last row before them; histories are taken in blocks, so a hot key does not meet in one task. A question whose
+    key is null finds nothing.
+    """
+    told = log.select("key", (2 * F.col("version")).alias("__order"), F.struct("version", "value", "is_delete").alias("__row"), F.lit(None).cast(asked.schema).alias("__asked"))
+    what = F.struct(*(F.col(c) for c in asked.columns))
+    line = told.unionByName(asked.select("key", (2 * F.col(at) + 1).alias("__order"), F.lit(None).cast(told.schema["__row"].dataType).alias("__row"), what.alias("__asked")))
+    found = last_known(line, "__found", "key", "__order", F.col("__row")).where("__asked IS NOT NULL")
+    lives = F.col("key").isNotNull() & F.col("__found").isNotNull() & ~F.col("__found.is_delete")
+    return found.select("__asked.*", F.when(lives, F.col("__found.version")).alias("found_version"), F.when(lives, F.col("__found.value")).alias("value"))
 
 
 def valid_prefix(log: DataFrame) -> DataFrame:
@@ -135,9 +160,8 @@ def replay(checkpoint: DataFrame, log: DataFrame, upto: int) -> DataFrame:
 
 def delete_existed(log: DataFrame) -> DataFrame:
     """key, version, existed of each delete: whether the key lived just before. Every delete takes a version."""
-    chain = Window.partitionBy("key").orderBy("version")
-    rows = log.select("key", "version", "is_delete", F.lag("is_delete").over(chain).alias("before"))
-    return rows.where("is_delete").select("key", "version", F.coalesce(~F.col("before"), F.lit(False)).alias("existed"))
+    rows = previous(log.select("key", "version", "is_delete"), "__before", "key", "version", F.struct("is_delete"))
+    return rows.where("is_delete").select("key", "version", F.coalesce(~F.col("__before.is_delete"), F.lit(False)).alias("existed"))
 
 
 def stats(log: DataFrame) -> DataFrame:

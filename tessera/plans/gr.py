@@ -193,18 +193,31 @@ def tl_path_predicates(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", tl.unsafe_path(path).alias("unsafe"), F.get(F.split(path, "/"), F.lit(1)).rlike(tl.KEBAB).alias("slug"))
 
 
-ARCHIVE = ["wrap/task/a.toml", "wrap/task/b.md", "wrap/task/src/a.toml", "wrap/task/.DS_Store", "wrap/c.md", "wrap/task/tests/", "wrap/other/b.md", "wrap/task/src/b.md"]
-IN_ARCHIVE = "(SELECT unnest([" + ", ".join(f"'{p}'" for p in ARCHIVE) + "]) AS path)"
+#: Paths of an archive made of `pages`: host, language and page, some with junk names, a folder for each host.
+ARCHIVE = """
+(SELECT page_id, 'wrap/' || split_part(split_part(regexp_replace(url, '^https?://', ''), '/', 1), '.', 1) || '/' ||
+   CASE page_id % 5 WHEN 0 THEN 'a.toml' WHEN 1 THEN 'b.md' WHEN 2 THEN '.DS_Store' WHEN 3 THEN 'tests/' ELSE 'src/a.toml' END AS path FROM pages) p
+"""
+
+
+def _archive(spark, sf_dir) -> DataFrame:
+    host = "split_part(split_part(regexp_replace(url, '^https?://', ''), '/', 1), '.', 1)"
+    name = "element_at(array('a.toml', 'b.md', '.DS_Store', 'tests/', 'src/a.toml'), CAST(1 + page_id % 5 AS INT))"
+    return table(spark, sf_dir, "pages").selectExpr("page_id", f"concat('wrap/', {host}, '/', {name}) AS path")
 
 
-@register("tl_shortest_cover", "SELECT 'wrap/task' AS prefix")
+@register("tl_shortest_cover", f"""
+WITH levels AS (SELECT path, unnest(range(0, len(string_split(path, '/')))) AS depth FROM {ARCHIVE}),
+cut AS (SELECT depth, array_to_string(string_split(path, '/')[1:depth], '/') AS prefix, array_to_string(string_split(path, '/')[depth + 1:], '/') AS rest FROM levels),
+full_ AS (SELECT depth, prefix FROM cut WHERE rest IN ('a.toml', 'b.md') GROUP BY depth, prefix HAVING count(DISTINCT rest) = 2)
+SELECT (SELECT prefix FROM full_ ORDER BY depth, length(prefix), prefix LIMIT 1) AS prefix""")
 def tl_shortest_cover(spark, sf_dir):
-    return tl.shortest_cover(spark.createDataFrame([(p,) for p in ARCHIVE], "path string"), "path", ["a.toml", "b.md"])
+    return tl.shortest_cover(_archive(spark, sf_dir), "path", ["a.toml", "b.md"])
 
 
-@register("tl_repaired_paths", f"SELECT path, CASE WHEN path LIKE 'wrap/task/%' THEN substr(path, 11) ELSE path END AS repaired FROM {IN_ARCHIVE} WHERE path NOT LIKE '%/' AND path NOT LIKE '%.DS_Store'")
+@register("tl_repaired_paths", f"SELECT page_id, path, CASE WHEN path LIKE 'wrap/m/%' THEN substr(path, 8) ELSE path END AS repaired FROM {ARCHIVE} WHERE path NOT LIKE '%/' AND path NOT LIKE '%.DS_Store'")
 def tl_repaired_paths(spark, sf_dir):
-    return tl.repaired(spark.createDataFrame([(p,) for p in ARCHIVE], "path string"), "path", "wrap/task", [".DS_Store"])
+    return tl.repaired(_archive(spark, sf_dir), "path", "wrap/m", [".DS_Store"])
 
 
 @register("tl_conditional_mode", "SELECT p_partkey, (p_size % 3 = 0 AND p_type = 'ECONOMY') OR (p_size % 3 <> 0 AND p_type = 'SMALL') AS broken FROM part")

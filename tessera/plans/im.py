@@ -121,24 +121,28 @@ def im_hierarchical_rollup(spark, sf_dir):
     return im.hierarchy(table(spark, sf_dir, "events"), "event_id", F.round(F.col("value") * 100).cast("long"), 10, 3)
 
 
-EDGES = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "d"), ("e", "f"), ("f", "gone"), ("h", "e"), ("k", "l"), ("l", "m")]
-NODES = "abcdefhklm"
-GRAPH = "WITH RECURSIVE e AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in EDGES) + ") t(node, dep)), n AS (SELECT * FROM (VALUES " + ", ".join(f"('{x}')" for x in NODES) + ") t(node))"
-
-
-@register("im_drop_dangling", GRAPH + """
-, bad AS (SELECT node FROM e WHERE dep NOT IN (SELECT node FROM n) UNION SELECT e.node FROM e JOIN bad ON e.dep = bad.node) SELECT node FROM n WHERE node NOT IN (SELECT node FROM bad)""")
+@register("im_drop_dangling", """
+WITH RECURSIVE n AS (SELECT o_orderkey AS node FROM orders WHERE o_orderkey % 40 NOT IN (21, 39)), e AS (SELECT o_orderkey AS node, o_orderkey + 1 AS dep FROM orders WHERE o_orderkey % 8 <> 7 AND o_orderkey % 40 NOT IN (21, 39)
+  UNION ALL SELECT o_orderkey, o_orderkey - 8 FROM orders WHERE o_orderkey % 16 = 8),
+bad AS (SELECT node FROM e WHERE dep NOT IN (SELECT node FROM n) UNION SELECT e.node FROM e JOIN bad ON e.dep = bad.node) SELECT node FROM n WHERE node NOT IN (SELECT node FROM bad)""")
 def im_drop_dangling(spark, sf_dir):
-    return im.drop_dangling(spark.createDataFrame(EDGES, "node string, dep string"), spark.createDataFrame([(x,) for x in NODES], "node string"))
+    """Orders in chains of eight, some chains on others; what rests, over any number of steps, on a missing order goes."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node"))
+    nodes = orders.where("node % 40 NOT IN (21, 39)")
+    edges = nodes.where("node % 8 <> 7").select("node", (F.col("node") + 1).alias("dep")).unionByName(orders.where("node % 16 = 8").select("node", (F.col("node") - 8).alias("dep")))
+    return im.drop_dangling(edges, nodes)
 
 
-@register("im_cycle_paths", GRAPH + """
-, p AS (SELECT node AS start, [node] AS path, false AS closed FROM n UNION ALL
+@register("im_cycle_paths", """
+WITH RECURSIVE n AS (SELECT n_nationkey AS node FROM nation), e AS (SELECT node, (node * 3 + 1) % 25 AS dep FROM n UNION ALL SELECT node, (node + 7) % 25 FROM n WHERE node % 6 = 0),
+p AS (SELECT node AS start, [node] AS path, false AS closed FROM n UNION ALL
   SELECT p.start, list_append(p.path, e.dep), list_contains(p.path, e.dep) FROM p JOIN e ON e.node = p.path[-1] WHERE NOT p.closed)
 SELECT start, array_to_string(path, '>') AS path FROM p WHERE closed""")
 def im_cycle_paths(spark, sf_dir):
-    edges, nodes = spark.createDataFrame(EDGES, "node string, dep string"), spark.createDataFrame([(x,) for x in NODES], "node string")
-    return im.cycle_paths(edges, nodes, len(NODES)).select("start", F.array_join("path", ">").alias("path"))
+    """Walks over nations, a graph of 25 nodes; the number of walks can grow with the power of a graph's branches."""
+    nodes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("node"))
+    edges = nodes.select("node", ((F.col("node") * 3 + 1) % 25).alias("dep")).unionByName(nodes.where("node % 6 = 0").select("node", ((F.col("node") + 7) % 25).alias("dep")))
+    return im.cycle_paths(edges, nodes, 25).select("start", F.array_join("path", ">").alias("path"))
 
 
 @register("im_differential", """

@@ -91,16 +91,34 @@ def kv_conflicts_pairwise(spark, sf_dir):
     return kv.conflicts_pairwise(order_txns(spark, sf_dir))
 
 
-@register("kv_commit_fold", TXNS.replace("WITH t", "WITH RECURSIVE t") + """
-, fold AS (
-  SELECT key, txn, commit, true AS committed, commit AS last FROM t WHERE commit = 1
+WRITE_SETS = TXNS.replace("WITH t", "WITH RECURSIVE t") + """
+, w AS (SELECT t.txn, t.key AS part, t.commit, t.begin, list(DISTINCT l_linenumber) AS keys FROM t JOIN lineitem ON l_orderkey = t.txn GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY commit) AS nth FROM w),
+f AS (
+  SELECT part, txn, nth, true AS committed, [CASE WHEN list_contains(keys, x) THEN commit ELSE 0 END FOR x IN range(1, 8)] AS last FROM o WHERE nth = 1
   UNION ALL
-  SELECT t.key, t.txn, t.commit, f.last <= t.begin, CASE WHEN f.last <= t.begin THEN t.commit ELSE f.last END
-  FROM fold f JOIN t ON t.key = f.key AND t.commit = f.commit + 1
-) SELECT key, txn, committed FROM fold""")
+  SELECT part, txn, nth, ok, CASE WHEN ok THEN [CASE WHEN list_contains(keys, x) THEN commit ELSE last[x] END FOR x IN range(1, 8)] ELSE last END
+  FROM (SELECT o.*, f.last, list_max([f.last[x] FOR x IN o.keys]) <= o.begin AS ok FROM f JOIN o ON o.part = f.part AND o.nth = f.nth + 1)
+) SELECT part, txn, committed FROM f"""
+
+
+@register("kv_commit_fold", WRITE_SETS)
 def kv_commit_fold(spark, sf_dir):
-    rows = order_txns(spark, sf_dir).select(F.col("key").alias("part"), "txn", F.col("key"), "begin", "commit")
-    return kv.commit_fold(rows, "part").withColumnRenamed("part", "key")
+    """A transaction for each order with lines: it writes the line numbers (up to 7 keys) of its customer, who is the part."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+    rows = order_txns(spark, sf_dir).withColumnRenamed("key", "part").join(lines, F.col("txn") == F.col("l_orderkey"))
+    return kv.commit_fold(rows.select("part", "txn", F.col("l_linenumber").alias("key"), "begin", "commit"), "part")
+
+
+@register("kv_asof_join", LOG + """
+, q AS (SELECT event_id, key, version - 1 AS at FROM log WHERE event_type IN ('click', 'error'))
+SELECT q.event_id, q.key, q.at, CASE WHEN NOT l.is_delete THEN l.version END AS found_version, CASE WHEN NOT l.is_delete THEN l.value END AS value
+FROM q ASOF LEFT JOIN log l ON q.key = l.key AND q.at >= l.version""")
+def kv_asof_join(spark, sf_dir):
+    """For each click and error, what its user's key had just before: every row asks at a version of its own."""
+    log = event_log(spark, sf_dir)
+    asked = log.where("event_type IN ('click', 'error')").select("event_id", "key", (F.col("version") - 1).alias("at"))
+    return kv.asof_join(asked, log.select("key", "version", "value", "is_delete"))
 
 
 @register("kv_prune_versions", LOG + """

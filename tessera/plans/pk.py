@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import versions as v
 from tessera.operators import constraints as pk
+from tessera.operators import solver
 from tessera.plans.registry import register
 from tessera.sources.tables import table
 
@@ -55,19 +56,24 @@ def pk_version_parse(spark, sf_dir):
 
 
 @register("pk_range_canonical", """
-SELECT * FROM (VALUES (1, '*', true), (2, '*', true), (3, '>=1.0.0,<2.0.0', false), (4, '>=1.0.0,<2.0.0', false), (5, '>1.2.0,!=1.2.3', false), (6, NULL, NULL), (7, NULL, NULL), (8, '==10.0.0', false)) t(id, canonical, is_any)""")
+SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN '*' WHEN 1 THEN '>=' || p_size || '.0.0,<' || (p_size + 2) || '.0.0' WHEN 2 THEN '>=' || p_size || '.0.0,<' || (p_size + 2) || '.0.0'
+  WHEN 3 THEN '>' || p_size || '.2.0,!=' || p_size || '.2.3' END AS canonical, CASE WHEN p_partkey % 6 < 4 THEN p_partkey % 6 = 0 END AS is_any FROM part""")
 def pk_range_canonical(spark, sf_dir):
-    specs = [(1, "*"), (2, " "), (3, "<2.0.0, >=1.0.0"), (4, ">=1.0.0,<2.0.0,>=1.0.0"), (5, "!=1.2.3,> 1.2.0"), (6, "~1.0.0"), (7, ">=1.0"), (8, "== 10.0.0")]
-    rows = spark.createDataFrame(specs, "id int, spec string").select("id", v.version_range(F.col("spec")).alias("r"))
-    return rows.select("id", v.range_text(F.col("r")).alias("canonical"), (F.size("r") == 0).alias("is_any")).select("id", F.when(F.col("is_any").isNotNull(), F.col("canonical")).alias("canonical"), "is_any")
+    """Ranges written in another order, with blanks and twice over have one canonical text; two kinds are no ranges."""
+    spec = F.expr("CASE p_partkey % 6 WHEN 0 THEN IF(p_size % 2 = 0, '*', ' ') WHEN 1 THEN concat('<', p_size + 2, '.0.0, >=', p_size, '.0.0') WHEN 2 THEN concat('>=', p_size, '.0.0,<', p_size + 2, '.0.0,>=', p_size, '.0.0') "
+                  "WHEN 3 THEN concat('!=', p_size, '.2.3,> ', p_size, '.2.0') WHEN 4 THEN concat('~', p_size, '.0.0') ELSE concat('>=', p_size, '.0') END")
+    rows = table(spark, sf_dir, "part").select("p_partkey", v.version_range(spec).alias("r"))
+    return rows.select("p_partkey", F.when(F.col("r").isNotNull(), v.range_text(F.col("r"))).alias("canonical"), F.when(F.col("r").isNotNull(), F.size("r") == 0).alias("is_any"))
 
 
 @register("pk_requirement_parse", """
-SELECT * FROM (VALUES (1, 'core', '*'), (2, 'my-lib2', '>=1.0.0'), (3, NULL, NULL), (4, NULL, NULL), (5, 'a', '!=2.0.0,<=3.0.0')) t(id, package, canonical)""")
+SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'lib' || p_size WHEN 1 THEN 'my-lib' || p_size WHEN 4 THEN 'a' END AS package,
+  CASE p_partkey % 5 WHEN 0 THEN '*' WHEN 1 THEN '>=' || p_size || '.0.0' WHEN 4 THEN '!=' || p_size || '.0.0,<=' || (p_size + 1) || '.0.0' END AS canonical FROM part""")
 def pk_requirement_parse(spark, sf_dir):
-    specs = [(1, "core"), (2, " my-lib2  >=1.0.0 "), (3, "My-lib *"), (4, "lib >=x"), (5, "a <=3.0.0,!=2.0.0")]
-    rows = spark.createDataFrame(specs, "id int, spec string").select("id", v.requirement(F.col("spec")).alias("q"))
-    return rows.select("id", "q.package", F.when(F.col("q").isNotNull(), v.range_text(F.col("q.range"))).alias("canonical"))
+    spec = F.expr("CASE p_partkey % 5 WHEN 0 THEN concat('lib', p_size) WHEN 1 THEN concat(' my-lib', p_size, '  >=', p_size, '.0.0 ') WHEN 2 THEN concat('My-lib', p_size, ' *') "
+                  "WHEN 3 THEN concat('lib >=x', p_size) ELSE concat('a <=', p_size + 1, '.0.0,!=', p_size, '.0.0') END")
+    rows = table(spark, sf_dir, "part").select("p_partkey", v.requirement(spec).alias("q"))
+    return rows.select("p_partkey", "q.package", F.when(F.col("q").isNotNull(), v.range_text(F.col("q.range"))).alias("canonical"))
 
 
 @register("pk_range_match", RELEASES + f"SELECT test, package AS target, {TEXT} AS version FROM releases, tests WHERE {INSIDE}")
@@ -115,70 +121,93 @@ def pk_learned_window(spark, sf_dir):
     return rows.select("package", "target", F.explode("allowed").alias("a")).select("package", "target", v.version_text(F.col("a")).alias("allowed"))
 
 
-#: Small universes: (universe, package, version, target, spec); a null target is a release that asks nothing.
-UNIVERSE = [
-    (1, "app", "1.0.0", None, None), (1, "app", "2.0.0", "util", ">=1.0.0"), (1, "util", "1.0.0", None, None), (1, "util", "1.1.0", None, None),
-    (2, "aa", "1.0.0", "zz", "*"), (2, "aa", "2.0.0", "zz", "*"), (2, "aa", "3.0.0", "zz", "<=1.0.0"), (2, "zz", "1.0.0", None, None), (2, "zz", "2.0.0", None, None),
-    (3, "mid", "1.0.0", "aaa", "*"), (3, "aaa", "1.0.0", None, None), (3, "aaa", "2.0.0", None, None), (3, "lone", "1.0.0", None, None),
-    (4, "alpha", "1.0.0", "shared", ">=2.0.0"), (4, "beta", "1.0.0", "shared", "<2.0.0"), (4, "shared", "1.0.0", None, None), (4, "shared", "2.0.0", None, None),
-    (5, "a", "1.0.0", None, None), (5, "a", "2.0.0", "a", "<=1.0.0"), (5, "b", "1.0.0", "a", "*"),
-    (6, "lib", "1.0.0", None, None), (6, "lib", "2.0.0", None, None), (6, "lib", "3.0.0", None, None), (6, "lib", "4.0.0", None, None),
-]
-ROOTS = [(1, "app", "*"), (2, "aa", "*"), (2, "zz", "*"), (3, "mid", "*"), (4, "alpha", "*"), (4, "beta", "*"), (5, "a", "*"), (6, "lib", "!=3.0.0,<=3.0.0")]
-
-
-def fixture(spark):
-    """releases, requirements and roots of the small universes, each with its universe."""
-    rows = spark.createDataFrame(UNIVERSE, "universe int, package string, version string, target string, spec string").withColumn("version", v.version(F.col("version")))
-    releases = rows.select("universe", "package", "version").distinct()
-    requirements = rows.where("target IS NOT NULL").select("universe", "package", "version", "target", v.version_range(F.col("spec")).alias("range"), F.lit(0).alias("pos"))
-    roots = spark.createDataFrame(ROOTS, "universe int, target string, spec string").select("universe", "target", v.version_range(F.col("spec")).alias("range"))
-    return releases, requirements, roots
-
-
-def _values(rows) -> str:
-    return ", ".join("(" + ", ".join("NULL" if x is None else str(x) if isinstance(x, int) else f"'{x}'" for x in r) + ")" for r in rows)
-
-
-FIXTURE = f"WITH RECURSIVE rel AS (SELECT * FROM (VALUES {_values(UNIVERSE)}) t(universe, package, version, target, spec)), roots AS (SELECT * FROM (VALUES {_values(ROOTS)}) t(universe, target, spec))"
-
-
-@register("pk_closure", FIXTURE + """
-, c AS (SELECT universe, target AS package FROM roots UNION SELECT c.universe, rel.target FROM c JOIN rel ON rel.universe = c.universe AND rel.package = c.package AND rel.target IS NOT NULL)
-SELECT universe, package FROM c""")
+#: A universe for each brand u. Its packages a, b and c have as major versions the sizes, by 4, of its parts. Every a x asks for
+#: b >= (x + u) % 4 and, if x is odd, for c <= x; a b x from 2 on asks for c >= 1 but not (x + u) % 4; c 3 asks for a >= 2.
+#: The roots ask for a, of universes divisible by 5 for a 3, and, if u is even, for b < 3.
+UNIVERSES = """
+WITH RECURSIVE rel AS (SELECT DISTINCT CAST(substr(p_brand, 7) AS INTEGER) AS u, ['a', 'b', 'c'][1 + p_partkey % 3] AS package, p_size % 4 AS x FROM part),
+req AS (
+  SELECT u, package, x, 'b' AS target, '>=' || ((x + u) % 4) || '.0.0' AS spec FROM rel WHERE package = 'a'
+  UNION ALL SELECT u, package, x, 'c', '<=' || x || '.0.0' FROM rel WHERE package = 'a' AND x % 2 = 1
+  UNION ALL SELECT u, package, x, 'c', '>=1.0.0' FROM rel WHERE package = 'b' AND x >= 2
+  UNION ALL SELECT u, package, x, 'c', '!=' || ((x + u) % 4) || '.0.0' FROM rel WHERE package = 'b' AND x >= 2
+  UNION ALL SELECT u, package, x, 'a', '>=2.0.0' FROM rel WHERE package = 'c' AND x = 3),
+roots AS (SELECT DISTINCT u, 'a' AS target FROM rel UNION ALL SELECT DISTINCT u, 'b' FROM rel WHERE u % 2 = 0)
+"""
+SOLUTIONS = UNIVERSES + """
+, a AS (SELECT u, x FROM rel WHERE package = 'a'), b AS (SELECT u, x FROM rel WHERE package = 'b'), c AS (SELECT u, x FROM rel WHERE package = 'c' UNION ALL SELECT DISTINCT u, NULL FROM rel),
+valid AS (
+  SELECT a.u, a.x AS xa, b.x AS xb, c.x AS xc FROM a JOIN b USING (u) JOIN c USING (u)
+  WHERE (a.u % 5 <> 0 OR a.x = 3) AND b.x >= (a.x + a.u) % 4 AND (a.u % 2 <> 0 OR b.x < 3) AND (c.x IS NOT NULL) = (a.x % 2 = 1 OR b.x >= 2)
+    AND (c.x IS NULL OR ((a.x % 2 = 0 OR c.x <= a.x) AND (b.x < 2 OR (c.x >= 1 AND c.x <> (b.x + a.u) % 4)) AND (c.x < 3 OR a.x >= 2)))),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY xa DESC, xb DESC, xc DESC) AS r FROM valid) WHERE r = 1)
+"""
+CHOSEN = "SELECT u AS universe, 'a' AS package, xa || '.0.0' AS version FROM best UNION ALL SELECT u, 'b', xb || '.0.0' FROM best UNION ALL SELECT u, 'c', xc || '.0.0' FROM best WHERE xc IS NOT NULL"
+
+
+def universes(spark, sf_dir):
+    """releases, requirements and roots of the universes made of `part`, see UNIVERSES."""
+    made = table(spark, sf_dir, "part").selectExpr("CAST(substr(p_brand, 7) AS INT) AS universe", "element_at(array('a', 'b', 'c'), CAST(1 + p_partkey % 3 AS INT)) AS package", "p_size % 4 AS x").distinct()
+    asks = F.expr("""
+      CASE WHEN package = 'a' THEN concat(array(struct('b' AS target, concat('>=', (x + universe) % 4, '.0.0') AS spec)), IF(x % 2 = 1, array(struct('c' AS target, concat('<=', x, '.0.0') AS spec)), array()))
+           WHEN package = 'b' AND x >= 2 THEN array(struct('c' AS target, '>=1.0.0' AS spec), struct('c' AS target, concat('!=', (x + universe) % 4, '.0.0') AS spec))
+           WHEN package = 'c' AND x = 3 THEN array(struct('a' AS target, '>=2.0.0' AS spec)) ELSE array() END""")
+    made = made.withColumn("version", F.struct(F.col("x").cast("long").alias("major"), F.lit(0).cast("long").alias("minor"), F.lit(0).cast("long").alias("patch")))
+    requirements = made.select("universe", "package", "version", F.posexplode(asks)).select("universe", "package", "version", "col.target", v.version_range(F.col("col.spec")).alias("range"), "pos")
+    named = made.select("universe").distinct()
+    roots = named.select("universe", F.lit("a").alias("target"), v.version_range(F.expr("IF(universe % 5 = 0, '==3.0.0', '*')")).alias("range"))
+    roots = roots.unionByName(named.where("universe % 2 = 0").select("universe", F.lit("b").alias("target"), v.version_range(F.lit("<3.0.0")).alias("range")))
+    return made.select("universe", "package", "version"), requirements, roots
+
+
+@register("pk_closure", UNIVERSES + """
+, c AS (SELECT u, target AS package FROM roots UNION SELECT c.u, req.target FROM c JOIN req ON req.u = c.u AND req.package = c.package)
+SELECT u AS universe, package FROM c""")
 def pk_closure(spark, sf_dir):
-    _, requirements, roots = fixture(spark)
+    _, requirements, roots = universes(spark, sf_dir)
     name = lambda c: F.concat_ws(":", F.col("universe").cast("string"), F.col(c))
-    nodes = pk.closure(requirements.select(name("package").alias("src"), name("target").alias("dst")), roots.select(name("target").alias("node")))
+    nodes = pk.closure(requirements.select(name("package").alias("src"), name("target").alias("dst")).distinct(), roots.select(name("target").alias("node")))
     parts = F.split("node", ":")
     return nodes.select(parts[0].cast("int").alias("universe"), parts[1].alias("package"))
 
 
-@register("pk_fact_problems", """
-SELECT * FROM (VALUES ('f2', 'unpublished'), ('f3', 'not required')) t(fact, problem)""")
+@register("pk_fact_problems", UNIVERSES + """
+, told AS (SELECT p_partkey AS fact, CAST(substr(p_brand, 7) AS INTEGER) AS u, ['a', 'b', 'c'][1 + p_partkey % 3] AS package, p_size % 6 AS x, '>=' || (p_partkey % 4) || '.0.0' AS spec FROM part)
+SELECT fact, CASE WHEN NOT EXISTS (SELECT 1 FROM rel r WHERE r.u = t.u AND r.package = t.package AND r.x = t.x) THEN 'unpublished' ELSE 'not required' END AS problem FROM told t
+WHERE NOT EXISTS (SELECT 1 FROM req q WHERE q.u = t.u AND q.package = t.package AND q.x = t.x AND q.target = 'b' AND q.spec = t.spec)""")
 def pk_fact_problems(spark, sf_dir):
-    releases, requirements, _ = fixture(spark)
-    told = [("f1", "app", "2.0.0", "util", ">=1.0.0"), ("f2", "app", "9.0.0", "util", ">=1.0.0"), ("f3", "aa", "3.0.0", "zz", "*"), ("f4", "aa", "3.0.0", "zz", "<=1.0.0")]
-    facts = spark.createDataFrame(told, "fact string, package string, version string, target string, spec string")
-    facts = facts.select("fact", "package", v.version(F.col("version")).alias("version"), "target", v.version_range(F.col("spec")).alias("range"))
-    return pk.fact_problems(facts, releases.select("package", "version"), requirements.drop("universe", "pos"))
+    """Each part tells that a release of its brand asks for b in a range; some releases and some ranges are not so."""
+    releases, requirements, _ = universes(spark, sf_dir)
+    owned = lambda c: F.concat_ws(":", F.col("universe").cast("string"), F.col(c)).alias(c)
+    told = table(spark, sf_dir, "part").selectExpr("p_partkey AS fact", "CAST(substr(p_brand, 7) AS INT) AS universe", "element_at(array('a', 'b', 'c'), CAST(1 + p_partkey % 3 AS INT)) AS package",
+                                                   "named_struct('major', CAST(p_size % 6 AS LONG), 'minor', 0L, 'patch', 0L) AS version", "'b' AS target", "concat('>=', p_partkey % 4, '.0.0') AS spec")
+    facts = told.select("fact", owned("package"), "version", owned("target"), v.version_range(F.col("spec")).alias("range"))
+    return pk.fact_problems(facts, releases.select(owned("package"), "version"), requirements.select(owned("package"), "version", owned("target"), "range"))
 
 
-def _valid(spark):
-    releases, requirements, roots = fixture(spark)
+def _valid(spark, sf_dir):
+    releases, requirements, roots = universes(spark, sf_dir)
     return pk.valid_assignments(pk.assignments(releases, "universe"), requirements, roots, "universe"), requirements, roots
 
 
-@register("pk_all_solutions", """
-SELECT * FROM (VALUES (1, 'app=1.0.0'), (1, 'app=2.0.0 util=1.0.0'), (1, 'app=2.0.0 util=1.1.0'), (2, 'aa=1.0.0 zz=1.0.0'), (2, 'aa=1.0.0 zz=2.0.0'), (2, 'aa=2.0.0 zz=1.0.0'), (2, 'aa=2.0.0 zz=2.0.0'), (2, 'aa=3.0.0 zz=1.0.0'),
- (3, 'aaa=1.0.0 mid=1.0.0'), (3, 'aaa=2.0.0 mid=1.0.0'), (5, 'a=1.0.0'), (6, 'lib=1.0.0'), (6, 'lib=2.0.0')) t(universe, chosen)""")
+@register("pk_all_solutions", SOLUTIONS + "SELECT u AS universe, 'a=' || xa || '.0.0 b=' || xb || '.0.0' || coalesce(' c=' || xc || '.0.0', '') AS chosen FROM valid")
 def pk_all_solutions(spark, sf_dir):
     pairs = F.transform(F.array_sort(F.map_entries("chosen")), lambda e: F.concat(e["key"], F.lit("="), v.version_text(e["value"])))
-    return _valid(spark)[0].select("universe", F.array_join(pairs, " ").alias("chosen"))
+    return _valid(spark, sf_dir)[0].select("universe", F.array_join(pairs, " ").alias("chosen"))
 
 
-@register("pk_preferred", """
-SELECT * FROM (VALUES (1, 'app', '2.0.0'), (1, 'util', '1.1.0'), (2, 'aa', '3.0.0'), (2, 'zz', '1.0.0'), (3, 'aaa', '2.0.0'), (3, 'mid', '1.0.0'), (5, 'a', '1.0.0'), (6, 'lib', '2.0.0')) t(universe, package, version)""")
+@register("pk_preferred", SOLUTIONS + CHOSEN)
 def pk_preferred(spark, sf_dir):
-    valid, requirements, roots = _valid(spark)
+    valid, requirements, roots = _valid(spark, sf_dir)
     return pk.preferred(valid, requirements, roots, "universe").select("universe", "package", v.version_text(F.col("version")).alias("version"))
+
+
+@register("pk_solve", SOLUTIONS + f"SELECT universe, true AS solved, package, version FROM ({CHOSEN}) UNION ALL SELECT DISTINCT u, false, NULL, NULL FROM rel WHERE u NOT IN (SELECT u FROM valid)")
+def pk_solve(spark, sf_dir):
+    return solver.resolve(*universes(spark, sf_dir), "universe").drop("cause").distinct()
+
+
+@register("pk_explain")
+def pk_explain(spark, sf_dir):
+    """universe, cause of the universes without a solution; the causes have none together and one without any of them."""
+    return solver.resolve(*universes(spark, sf_dir), "universe").where("NOT solved").select("universe", "cause")

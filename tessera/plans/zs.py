@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import bytes_stats as zs
-from tessera.operators import solver
-from tessera.plans.pk import fixture
 from tessera.plans.registry import register
 from tessera.sources.tables import table
 
@@ -77,19 +75,6 @@ def zs_ratio(spark, sf_dir):
     return docs.groupBy("lang").agg(F.sum("n").alias("bytes"), F.sum("coded").alias("coded"), F.bool_and(F.col("coded") <= expansion_bound(F.col("n"))).alias("within"))
 
 
-SOLVED = """
-SELECT * FROM (VALUES (1, true, 'app', '2.0.0', NULL), (1, true, 'util', '1.1.0', NULL), (2, true, 'aa', '3.0.0', NULL), (2, true, 'zz', '1.0.0', NULL), (3, true, 'aaa', '2.0.0', NULL), (3, true, 'mid', '1.0.0', NULL),
- (4, false, NULL, NULL, 'root: alpha *'), (4, false, NULL, NULL, 'root: beta *'), (4, false, NULL, NULL, 'alpha 1.0.0: shared >=2.0.0'), (4, false, NULL, NULL, 'beta 1.0.0: shared <2.0.0'),
- (5, true, 'a', '1.0.0', NULL), (6, true, 'lib', '2.0.0', NULL)) t(universe, solved, package, version, cause)
-"""
-
-
-@register("pk_solve", SOLVED)
-def pk_solve(spark, sf_dir):
-    releases, requirements, roots = fixture(spark)
-    return solver.resolve(releases, requirements, roots, "universe")
-
-
 @register("cg_telemetry_profiles")
 def cg_telemetry_profiles(spark, sf_dir):
     """profile, lines, bytes of each generated profile, with as many records as there are events."""
