@@ -117,3 +117,59 @@ def test_whole_table(spark):
     group = plain_components(fps)
     want = {(r.doc_id, f"{f:016x}", min(x.doc_id for x, h in zip(rows, group) if h == g)) for r, f, g in zip(rows, fps, group)}
     assert {tuple(r) for r in simhash.op3_simhash(spark, sf).collect()} == want
+
+
+def plain_word_fingerprints(text, rounds):
+    counts = {}
+    for w in (text or "").translate(LOW).split():
+        counts[w] = counts.get(w, 0) + 1
+    out = []
+    for t in range(rounds):
+        odd, ones = int(simhash._ROUND[t]), [0.0] * 64
+        for w, c in counts.items():
+            h = xxhash.xxh64_intdigest(w.encode(), 42) * odd % (1 << 64)
+            h = (h ^ h >> 32) * odd % (1 << 64)
+            h ^= h >> 29
+            for b in range(64):
+                ones[b] += (1 + np.log2(c)) * (h >> b & 1)
+        out.append(sum(1 << b for b in range(64) if 2 * ones[b] > sum(1 + np.log2(c) for c in counts.values())))
+    return out
+
+
+@pytest.mark.parametrize("text", ["", None, "one", "a A a b", "to be or not to be " * 30 + "that is the question"])
+def test_word_fingerprints(text):
+    assert simhash.word_fingerprints(text, 3).view(np.uint64).tolist() == plain_word_fingerprints(text, 3)
+
+
+def test_near_copies_are_the_components_over_all_rounds(spark):
+    rng = random.Random(4)
+    texts = [None, "", "", "x", "X"]
+    for _ in range(12):
+        base = [f"w{rng.randrange(300)}" for _ in range(rng.randint(5, 60))]
+        for _ in range(rng.randint(1, 12)):
+            more = list(base)
+            for _ in range(rng.randint(0, 3)):
+                more[rng.randrange(len(more))] = f"w{rng.randrange(300)}"
+            texts.append(" ".join(more))
+    rows = [(i, t, "own", 1) for i, t in enumerate(texts)] + [(3, "y z", "own", 1), (None, texts[9], "own", 1), (None, "nobody else", "own", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `__mark` string, node long").repartition(4)
+    prints = [plain_word_fingerprints(t, 2) for _, t, *_ in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if any((x ^ y).bit_count() <= 3 for x, y in zip(prints[i], prints[j])):
+                root[find(i)] = find(j)
+    groups = {}
+    for i, (d, *_) in enumerate(rows):
+        groups.setdefault(find(i), []).append(d)
+    want = sorted((repr(d), repr(min((x for x in groups[find(i)] if x is not None), default=None))) for i, (d, *_) in enumerate(rows))
+    assert sorted((repr(r.doc_id), repr(r.component_id)) for r in simhash.near_copies(docs, rounds=2).collect()) == want
+    left = simhash.drop_near_copies(docs)
+    assert left.columns == docs.columns and {r["__mark"] for r in left.collect()} == {"own"}
+    assert simhash.near_copies(docs.limit(0)).collect() == [] and simhash.drop_near_copies(docs.limit(0)).collect() == []
