@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import bpe, decontaminate, exact_dedup, quality, simhash
-from tessera.llm.common import shared_folder, written
+from tessera.llm.common import folders_made, release, shared_folder, written
 from tessera.sources.tables import table
 
 
@@ -25,7 +25,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest id."""
+    """Of each group of near copies, at a similarity of 0.8 over five words, the document with the smallest id."""
     return simhash.drop_near_copies(docs)
 
 
@@ -52,8 +52,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies STAGES to `documents`; every stage's result is written as Parquet and read again."""
+    """Applies STAGES to `documents`; every stage's result is written as Parquet and read again, and its working folders go."""
     docs, folder = table(spark, sf_dir, "documents"), shared_folder(spark)
     for name, stage in STAGES[:-1]:
+        mark = folders_made()
         docs = written(stage(spark, docs, sf_dir), folder, name)
+        release(spark, mark)
     return STAGES[-1][1](spark, docs, sf_dir)
