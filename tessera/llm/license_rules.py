@@ -20,7 +20,7 @@ mit | 2 | expat license | (?:the )?expat license
 mit | 3 | mit license | (?:the )?mit license
 mit | 3 | mit licensed | mit licensed
 mit | 3 | mit licence | (?:the )?mit licence
-mit | 4 | under mit | under mit
+mit | 4 | under mit | (?:licensed|licenced|released|distributed|available|provided|published) under mit
 mit-0 | 3 | mit no attribution | mit no attribution(?: license)?
 mit-0 | 3 | mit 0 | mit 0 license
 x11 | 3 | x11 license | (?:mit )?x11 license
@@ -45,7 +45,7 @@ gpl-2.0 | 2 | general public license v2 | (?:gnu )?general public license v2(?:
 gpl-2.0 | 2 | of the gnu general public license | version 2 (?:only )?of the gnu general public license
 gpl-2.0 | 3 | gplv2 | (?:gnu )?gplv2
 gpl-2.0 | 3 | gpl v2 | (?:gnu )?gpl v2
-gpl-2.0 | 3 | gpl 2 | (?:gnu )?gpl 2(?: 0)?(?: only| or later)?
+gpl-2.0 | 3 | gpl 2 | gnu gpl 2(?: 0)?(?: only| or later)?|gpl 2 0(?: only| or later)?|gpl 2 (?:only|or later|license|licence|licensed)|(?:licensed|released|distributed|available|under|the|license|licence) gpl 2(?: only| or later)?
 gpl-2.0 | 3 | gpl version 2 | (?:gnu )?gpl version 2
 gpl-3.0 | 1 | either version 3 of the license | (?:terms of the gnu general public license as published by the free software foundation )?either version 3 of the license or at your option any later version
 gpl-3.0 | 1 | tivoized | tivoized
@@ -54,7 +54,7 @@ gpl-3.0 | 2 | general public license v3 | (?:gnu )?general public license v3(?:
 gpl-3.0 | 2 | of the gnu general public license | version 3 (?:only )?of the gnu general public license
 gpl-3.0 | 3 | gplv3 | (?:gnu )?gplv3
 gpl-3.0 | 3 | gpl v3 | (?:gnu )?gpl v3
-gpl-3.0 | 3 | gpl 3 | (?:gnu )?gpl 3(?: 0)?(?: only| or later)?
+gpl-3.0 | 3 | gpl 3 | gnu gpl 3(?: 0)?(?: only| or later)?|gpl 3 0(?: only| or later)?|gpl 3 (?:only|or later|license|licence|licensed)|(?:licensed|released|distributed|available|under|the|license|licence) gpl 3(?: only| or later)?
 gpl-3.0 | 3 | gpl version 3 | (?:gnu )?gpl version 3
 gpl | 1 | your freedom to share and change | the licenses for most software (?:and other practical works )?are designed to take away your freedom to share and change
 gpl | 2 | you should have received a copy of the gnu general public license | you should have received a copy of the gnu general public license
@@ -194,7 +194,7 @@ cc-by-nc-nd-4.0 | 2 | cc by nc nd 4 0 | cc by nc nd 4 0
 cc-by-nc-nd | 3 | attribution noncommercial noderivatives | (?:creative commons )?attribution noncommercial noderivatives(?: 4 0)?(?: international)?(?: license)?
 cc-by-nc-nd | 4 | cc by nc nd | cc by nc nd
 cc-by | 3 | creative commons attribution | creative commons attribution(?: license| licence)?
-cc-by | 4 | cc by | cc by
+cc-by | 4 | cc by | (?:licensed|licenced|released|distributed|available|shared|published) under (?:a |the )?cc by|cc by (?:license|licence|licensed)
 creative-commons | 3 | creative commons license | creative commons license
 creative-commons | 3 | creative commons licence | creative commons licence
 creative-commons | 4 | creativecommons org licenses | creativecommons org licenses(?: by(?: nc)?(?: nd| sa)?)?(?: [1234] [05])?

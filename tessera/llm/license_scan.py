@@ -3,11 +3,13 @@
 A text is normalised to its words in lower case with one space before each. Texts that hold none of the rules'
 gate words are done; in the others the rules whose keyword stands in the text are run, each as one regex whose
 places come from what lies between its matches. Detections are then resolved in one sweep by start: one that lies
-inside the interval of a detection of lower priority number, or of a longer one of its own priority, goes.
+inside the interval of a detection of lower priority number, or of a longer one of its own priority, goes. A
+reservation of all rights, which most license texts hold too, yields to every other detection of the text.
 Everything of a text happens in its row, so there is no shuffle.
 
-Defined cases: a null text counts as empty; an empty text has no words, no detections and score 0; repeated rows
-are scanned each; an empty table gives no rows; further columns are ignored. A word is a run of digits, letters
+Defined cases: a null text counts as empty; an empty text has no words, no detections and score 0; a very long text is
+scanned whole, in its row; of detections with the same place and priority (ties) the rule that stands first stays;
+repeated rows are scanned each; an empty table gives no rows; further columns are ignored. A word is a run of digits, letters
 a-z (A-Z are lowered) and non-ASCII characters.
 """
 
@@ -23,6 +25,8 @@ from tessera.llm.license_rules import rules
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Base phrases and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
+#: What yields to every other detection.
+RESERVATION = "all rights reserved"
 #: Confidence of a kept detection by priority.
 CONFIDENCE = (1.0, 0.98, 0.95, 0.8, 0.5)
 
@@ -94,7 +98,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table=
     held = F.when(F.contains(F.col("__words"), F.lit(" license ")), F.expr("split(trim(__words), ' ')")).alias("w")
     rows = rows.select("doc_id", "n_words", held, found.alias("__found"))
     rows = rows.select("doc_id", "n_words", F.when(F.col("w").isNotNull(), F.expr(base)).alias("base"), F.when(F.size("__found") > 0, F.expr(_SWEEP.format(zeros=", ".join(["0"] * len(CONFIDENCE))))).alias("kept"))
-    return rows
+    weak = F.array(*(F.lit(n) for n, _, _, keyword, _ in table if keyword == RESERVATION)).cast("array<int>")
+    own = F.filter("kept", lambda d: ~F.array_contains(weak, d["rule"]))
+    return rows.withColumn("kept", F.when(F.size(own) > 0, own).otherwise(F.col("kept")))
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,7 +4,7 @@ import re
 from re import _parser
 
 from tessera.llm.license_rules import rules
-from tessera.llm.license_scan import CONFIDENCE, gate_words, op1_license_scan, scan, spans
+from tessera.llm.license_scan import CONFIDENCE, RESERVATION, gate_words, op1_license_scan, scan, spans
 
 LOW = {c: c + 32 for c in range(65, 91)}
 PHRASES = {("mit", "license"): "mit", ("apache", "license"): "apache", ("general", "public", "license"): "gpl"}
@@ -25,6 +25,8 @@ def plain(text):
             found += [(m.start(), m.end(), priority, n, label) for m in re.finditer(f" (?:{regex})(?= )", joined)]
     beats = lambda e, d: (e[2], -(e[1] - e[0]), e[3]) < (d[2], -(d[1] - d[0]), d[3])
     kept = [d for d in found if not any(e[0] <= d[0] and e[1] >= d[1] and beats(e, d) for e in found)]
+    weak = {n for n, _, _, keyword, _ in rules() if keyword == RESERVATION}
+    kept = [d for d in kept if d[3] not in weak] or kept
     return len(words), base, sorted(kept)
 
 
@@ -115,3 +117,11 @@ def test_whole_table(spark):
         labels = {x for _, x in base}
         assert (r.n_words, r.n_base, r.first_word, r.last_word) == (n, len(base), min(places, default=None), max(places, default=None))
         assert r.base_labels == ",".join(sorted(labels)) and r.labels == ",".join(sorted(labels | {d[4] for d in kept})) and 0 <= r.score <= 1
+
+
+def test_mentions_need_a_license_word_and_reservations_yield(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
+    rows = [(1, f"Copyright X. All rights reserved. {mit}"), (2, "Copyright X. All rights reserved."), (3, "they sit under mit supervision and cc by mail, gpl 2 apples"),
+            (4, "released under MIT, shared under CC BY"), (5, "GPL-2.0-only or the gpl 2, CC-BY licence"), (6, "see GNU GPL 2")]
+    got = {r.doc_id: sorted({d.label for d in r.kept or []}) for r in scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ["mit"], 2: ["proprietary"], 3: [], 4: ["cc-by", "mit"], 5: ["cc-by", "gpl-2.0"], 6: ["gpl-2.0"]}
