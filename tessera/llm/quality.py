@@ -13,7 +13,8 @@ the score, as the logistic loss makes it an estimate of the chance of label 1.
 Labels, lang, source and ids are no inputs of a score. Both samples are bounded (SAMPLE rows each, the smallest by
 a hash of the id), so the model fits in the driver; scores are made for every row in one pass.
 
-Defined cases: a null text counts as empty, and an empty text has a score like any other; a table without
+Defined cases: a null text counts as empty, and an empty text has a score like any other; a very long text is scored
+whole; rows that share an id (ties) give a sample one row, the one with the smallest features; a table without
 labelled positives gives the prior 0.5 to every row; null labels are no labels; rows with a null id are never
 sampled; repeated rows are scored each; further columns are ignored.
 """
@@ -125,30 +126,37 @@ def fold(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string").cast("binary"))
 
 
-def _matrix(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> np.ndarray:
-    """Features of the rows whose id is in `ids` (at most SAMPLE, so broadcast), in the order of their ids."""
+def _matrices(docs: DataFrame, samples: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """Features of the trusted positives and of the unlabelled rows, in the order of their ids, from one scan.
+
+    `samples` (the_id, trusted, everyone) has at most 2 SAMPLE ids, so it is broadcast. Of rows that share an id one
+    counts, the one with the smallest features, whatever the partitioning.
+    """
 
     @F.pandas_udf("array<double>")
     def stats(texts: pd.Series) -> pd.Series:
         return pd.Series([features(t) for t in texts])
 
-    rows = docs.join(F.broadcast(ids), docs[id_col].cast("long") == ids["__id"], "left_semi")
-    found = rows.select(F.col(id_col).cast("long").alias("id"), stats(doc_text(text_col)).alias("x")).limit(2 * SAMPLE).toPandas().sort_values("id", kind="stable")
-    return np.array(found["x"].tolist(), dtype=float).reshape(-1, N_FEATURES)
+    rows = docs.select(F.col(id_col).cast("long").alias("the_id"), doc_text(text_col).alias("text")).join(F.broadcast(samples), "the_id")
+    rows = rows.select("the_id", "trusted", "everyone", stats("text").alias("x"))
+    found = rows.groupBy("the_id", "trusted", "everyone").agg(F.min("x").alias("x")).toPandas().sort_values("the_id", kind="stable")
+    matrix = lambda mine: np.array(found["x"][mine].tolist(), dtype=float).reshape(-1, N_FEATURES)
+    return matrix(found["trusted"].astype(bool)), matrix(found["everyone"].astype(bool))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, fold_by: int = 5) -> PuModel:
     """Learns from the rows of `docs` outside fold 0; `labels` has the id column and quality."""
     small_batches(docs.sparkSession)
-    known = labels.select(F.col(id_col).cast("long").alias("__id"), F.col("quality").cast("int").alias("q")).where(F.col("q").isin(0, 1) & (fold(F.col("__id")) % fold_by != 0))
+    known = labels.select(F.col(id_col).cast("long").alias("the_id"), F.col("quality").cast("int").alias("q")).where(F.col("q").isin(0, 1) & (fold(F.col("the_id")) % fold_by != 0))
     counts = known.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("q"), F.lit(0)).alias("ones")).first()
     prior = (counts.ones + 1) / (counts.n + 2)
-    picked = lambda ids: ids.distinct().orderBy(F.xxhash64("__id"), "__id").limit(sample)
-    trusted = picked(known.where("q = 1").select("__id"))
-    everyone = picked(docs.select(F.col(id_col).cast("long").alias("__id")).where("__id IS NOT NULL").where(fold(F.col("__id")) % fold_by != 0))
     if not counts.ones:
         return PuModel(prior)
-    return fit(_matrix(docs, trusted, id_col, text_col), _matrix(docs, everyone, id_col, text_col), prior)
+    picked = lambda ids, name: ids.distinct().orderBy(F.xxhash64("the_id"), "the_id").limit(sample).withColumn(name, F.lit(True))
+    trusted = picked(known.where("q = 1").select("the_id"), "trusted")
+    everyone = picked(docs.select(F.col(id_col).cast("long").alias("the_id")).where("the_id IS NOT NULL").where(fold(F.col("the_id")) % fold_by != 0), "everyone")
+    samples = trusted.join(everyone, "the_id", "full_outer").select("the_id", F.coalesce("trusted", F.lit(False)).alias("trusted"), F.coalesce("everyone", F.lit(False)).alias("everyone"))
+    return fit(*_matrices(docs, samples, id_col, text_col), prior)
 
 
 def score_column(model: PuModel, text_col: str = "text") -> Column:
