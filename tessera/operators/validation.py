@@ -82,3 +82,11 @@ def repaired(paths: DataFrame, path: str, prefix: str, junk: list[str]) -> DataF
 def content_hash(column: Column) -> Column:
     """The first 16 hex digits of the SHA-256."""
     return F.substring(F.sha2(column, 256), 1, 16)
+
+
+def stale(rendered: DataFrame, stored: DataFrame, key: str, text: str) -> DataFrame:
+    """key, state of the records whose stored text is not what rendering gives now: stale, missing or left over."""
+    now, kept = rendered.select(key, F.struct(text).alias("__now")), stored.select(key, F.struct(text).alias("__kept"))
+    both = now.join(kept, key, "full_outer").where(~F.col("__now").eqNullSafe(F.col("__kept")))
+    state = F.when(F.col("__kept").isNull(), "missing").when(F.col("__now").isNull(), "left over").otherwise("stale")
+    return both.select(key, state.alias("state"))

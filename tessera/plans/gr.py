@@ -237,3 +237,13 @@ def tl_total_size(spark, sf_dir):
 def tl_render_record(spark, sf_dir):
     rows = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.col("r_regionkey") == F.col("n_regionkey"))
     return rows.select("n_nationkey", F.format_string("# %s\n\n- region: %s\n- key: %d", "n_name", "r_name", "n_nationkey").alias("rendered"))
+
+
+@register("tl_stale_records", """
+WITH now AS (SELECT n_nationkey, '# ' || n_name || chr(10) || chr(10) || '- region: ' || r_name || chr(10) || '- key: ' || n_nationkey AS t FROM nation JOIN region ON r_regionkey = n_regionkey)
+SELECT n_nationkey, CASE WHEN n_nationkey % 7 = 3 THEN 'missing' ELSE 'stale' END AS state FROM now WHERE n_nationkey % 7 = 3 OR n_nationkey % 5 = 1""")
+def tl_stale_records(spark, sf_dir):
+    """Rendered records against a stored copy that lacks some and has others with another line."""
+    now = tl_render_record(spark, sf_dir)
+    stored = now.where("n_nationkey % 7 <> 3").withColumn("rendered", F.when(F.col("n_nationkey") % 5 == 1, F.concat("rendered", F.lit("\n- old"))).otherwise(F.col("rendered")))
+    return tl.stale(now, stored, "n_nationkey", "rendered")

@@ -86,6 +86,15 @@ def good_length(path: str) -> int:
     return end
 
 
+def truncate_tail(path: str) -> int:
+    """Cuts a log file after its last good record, so that what is appended can be read again; returns the bytes cut."""
+    end = good_length(path)
+    cut = os.path.getsize(path) - end
+    if cut:
+        os.truncate(path, end)
+    return cut
+
+
 class _File(InputPartition):
     def __init__(self, path: str) -> None:
         self.path = path

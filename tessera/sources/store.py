@@ -29,6 +29,10 @@ class ConflictError(StoreError):
     """Another commit wrote a key of the transaction after its snapshot; its writes are dropped."""
 
 
+class CorruptStoreError(StoreError):
+    """A checkpoint cannot be read, or is not one."""
+
+
 class ClosedError(StoreError):
     """The transaction has ended."""
 
@@ -57,12 +61,23 @@ class VersionedStore:
         """The last commit's number, 0 before the first."""
         return max([0, *self._numbers("log", "version="), *self._numbers("checkpoint", "upto=")])
 
+    def _checkpoint(self, upto: int) -> DataFrame:
+        """A checkpoint's rows. The footers of its files are read first: a damaged one, or other columns, is an error."""
+        path = f"{self.folder}/checkpoint/upto={upto}"
+        try:
+            columns = self.spark.read.option("mergeSchema", True).parquet(path).columns
+        except Exception as e:  # of the footers' readers, in the driver or in a task
+            raise CorruptStoreError(f"the checkpoint at version {upto} cannot be read") from e
+        if set(columns) != {"key", "value", "is_delete", "version"}:
+            raise CorruptStoreError(f"the checkpoint at version {upto} has the columns {columns}")
+        return self.spark.read.schema(f"{ENTRY}, version long").parquet(path)
+
     def _rows(self, snapshot: int, after: int = -1) -> DataFrame:
         """key, version, value, is_delete of the commits up to a snapshot, on top of a checkpoint."""
         parts = []
         base = max([n for n in self._numbers("checkpoint", "upto=") if n <= snapshot], default=0)
         if base and after < base:
-            parts.append(self.spark.read.schema(f"{ENTRY}, version long").parquet(f"{self.folder}/checkpoint/upto={base}").where(F.col("version") > after))
+            parts.append(self._checkpoint(base).where(F.col("version") > after))
         log = [n for n in self._numbers("log", "version=") if max(base, after) < n <= snapshot]
         if log:
             read = self.spark.read.schema(f"{ENTRY}, version long").option("basePath", f"{self.folder}/log")

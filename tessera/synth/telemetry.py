@@ -64,4 +64,37 @@ def binlog(spark: SparkSession, n: int, seed: int) -> DataFrame:
     return r.select("id", F.unhex(F.concat(F.lit("9E5A"), F.lpad(F.hex("ts"), 16, "0"), F.lpad(F.hex(draw(seed, "host", len(HOSTS))), 2, "0"), F.lpad(F.hex(draw(seed, "svc", len(SERVICES))), 2, "0"), little)).alias("payload"))
 
 
-PROFILES = {"logfmt": logfmt, "csv": csv, "jsonl": jsonl, "opaque": opaque}
+def random(spark: SparkSession, n: int, seed: int) -> DataFrame:
+    """id, line of 64 hex digits, no two alike."""
+    return spark.range(n).select("id", F.sha2(F.concat(F.lit(f"{seed}/"), F.col("id")).cast("binary"), 256).alias("line"))
+
+
+def repeated(spark: SparkSession, n: int, seed: int) -> DataFrame:
+    """id, one line over and over."""
+    line = logfmt(spark, 1, seed).select("line")
+    return spark.range(n).join(F.broadcast(line))
+
+
+def cycle(spark: SparkSession, n: int, seed: int, period: int = 7) -> DataFrame:
+    """id, the first `period` lines of logfmt in turn."""
+    lines = logfmt(spark, period, seed).select(F.col("id").alias("of"), "line")
+    return spark.range(n).join(F.broadcast(lines), F.col("id") % period == F.col("of")).select("id", "line")
+
+
+def mixed(spark: SparkSession, n: int, seed: int, run: int = 64) -> DataFrame:
+    """id, lines of logfmt, csv, jsonl and opaque in runs of `run`."""
+    out, makes = None, (logfmt, csv, jsonl, opaque)
+    for k, make in enumerate(makes):
+        part = make(spark, n, seed).where(F.floor(F.col("id") / run) % len(makes) == k)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def edge(spark: SparkSession, n: int, seed: int) -> DataFrame:
+    """id, lines at the edges: empty, one byte, all bytes' worth of blanks, a long one, and letters of several bytes."""
+    long = F.repeat(F.lit("ab"), draw(seed, "long", 4096))
+    kinds = [F.lit(""), F.lit("x"), F.lit(" " * 256), long, F.lit("é日本")]
+    return spark.range(n).select("id", F.element_at(F.array(*kinds), (F.col("id") % len(kinds) + 1).cast("int")).alias("line"))
+
+
+PROFILES = {"logfmt": logfmt, "csv": csv, "jsonl": jsonl, "opaque": opaque, "random": random, "repeated": repeated, "cycle": cycle, "mixed": mixed, "edge": edge}
