@@ -129,9 +129,11 @@ LIMIT, SHARDS = 32 << 20, 32
 
 
 def shard_limit(docs: DataFrame, text_col: str = "text", most: int = LIMIT, shards: int = SHARDS) -> int:
-    """The byte limit for a table: `most`, or what makes about `shards` shards of a table that has less."""
-    total = docs.agg(F.sum(F.octet_length(doc_text(text_col)).cast("long"))).first()[0] or 0
-    return max(1, min(most, total // shards))
+    """The byte limit for a table: `most`, or what makes about `shards` shards of a table that has less and holds its
+    longest text."""
+    size = F.octet_length(doc_text(text_col)).cast("long")
+    found = docs.agg(F.coalesce(F.sum(size), F.lit(0)).alias("total"), F.coalesce(F.max(size), F.lit(0)).alias("longest")).first()
+    return max(1, min(most, max(found.total // shards, found.longest)))
 
 
 def op9_sharding(spark, sf_dir: str) -> DataFrame:
@@ -142,14 +144,14 @@ def op9_sharding(spark, sf_dir: str) -> DataFrame:
     return assign_shards(docs, shard_limit(docs))
 
 
-#: Every depth of the directory. Rows that are over the limit alone, which SQL would page otherwise, are not in the given tables.
+#: Every depth of the directory. Texts of over LIMIT bytes, which get pages, are not in it; the given tables have none.
 ORACLE_SQL = f"""
 WITH sizes AS (
   SELECT doc_id, coalesce(strlen(text), 0) AS bytes,
          CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS bits
   FROM documents
 ), lim AS (
-  SELECT greatest(1, least({LIMIT}, sum(bytes) // {SHARDS})) AS most FROM sizes
+  SELECT greatest(1, least({LIMIT}, greatest(sum(bytes) // {SHARDS}, max(bytes)))) AS most FROM sizes
 ), nodes AS (
   SELECT d.depth, bits >> (60 - d.depth) AS prefix, sum(bytes) AS shard_bytes, count(*) AS shard_rows
   FROM sizes, (SELECT unnest(range(0, 61)) AS depth) d GROUP BY ALL
