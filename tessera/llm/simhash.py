@@ -171,23 +171,26 @@ def links_of(distinct: DataFrame, folder: str, small: int = SMALL, block: int =
 def components(links: DataFrame, folder: str) -> DataFrame:
     """node, root: the smallest node that each linked node reaches, by rounds of large and small stars.
 
-    Every round is written to the shared folder; the driver sees only whether a round has changed a link.
+    Every round is written to the shared folder; the driver sees only whether a round has changed a link. The links of a
+    node with a large share of them stay where they are, and what its node needs is broadcast (`lookup`).
     """
     edges = written(links.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v"), folder, "edges-0")
     if not edges.limit(1).count():
         return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).limit(0)
     for turn in range(1, 200):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))  # v > m as m <= u
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = lookup(both, written(least, folder, f"least-{turn}"), "u", "n").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))  # v > m as m <= u
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-        lowest = down.groupBy("u").agg(F.min("v").alias("m"))
-        linked = down.join(lowest, "u")
+        down = written(down, folder, f"down-{turn}")
+        lowest = written(down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), folder, f"lowest-{turn}")
+        linked = lookup(down, lowest, "u", "n")
         small = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(lowest.select("u", F.col("m").alias("v"))).distinct()
         new = written(small, folder, f"edges-{turn}")
         done = not new.join(edges, ["u", "v"], "left_anti").limit(1).count() and new.count() == edges.count()
         edges = new
-        remove(links.sparkSession, f"{folder}/edges-{turn - 1}")
+        for old in (f"edges-{turn - 1}", f"least-{turn}", f"down-{turn}", f"lowest-{turn}"):
+            remove(links.sparkSession, f"{folder}/{old}")
         if done:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     raise RuntimeError("the components did not settle")
