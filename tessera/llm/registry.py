@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, chat, decontaminate, exact_dedup, katz, license_scan, merkle, quality, sharding, simhash, token_file
+from tessera.llm import bpe, chat, decontaminate, exact_dedup, katz, license_scan, merkle, quality, ranked, sharding, simhash, token_file, toxicity
 
 
 def queries() -> dict:
@@ -17,7 +17,9 @@ def queries() -> dict:
         "op8_katz": katz.op8_katz,
         "op9_sharding": sharding.op9_sharding,
         "op10_chat": chat.op10_chat,
+        "op11_ranked": ranked.op11_ranked,
         "op12_merkle": merkle.op12_merkle,
+        "op13_toxicity": toxicity.op13_toxicity,
     }
 
 
@@ -26,5 +28,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_exact_dedup": exact_dedup.ORACLE_SQL,
         "op9_sharding": sharding.ORACLE_SQL,
         "op10_chat": chat.ORACLE_SQL,
+        "op11_ranked": ranked.ORACLE_SQL,
         "op12_merkle": merkle.ORACLE_SQL,
     }
