@@ -13,9 +13,10 @@ size, gives the links of a spanning forest, which connect whatever all the pairs
 
 `near_dedup` has one fingerprint over word shingles, which small edits move by up to 11 bits at a similarity of 0.8.
 `near_copies` reaches such pairs with the same pruning: ROUNDS fingerprints of independent hashes over the words of a
-text, each word with a weight that grows with the logarithm of its count. Its fingerprints of two texts that share 0.8 of their
-five-word shingles differ in 3 bits or fewer in one round or another for over nine pairs in ten, and those of other texts
-in 13 or more (README).
+text, each word with a weight that grows with the logarithm of its count, make candidate groups: of two texts that share 0.8 of
+their five-word shingles, those of one round or another differ in 3 bits or fewer for over nine pairs in ten. Texts of one
+language can be that close without a common shingle, so a group says nothing yet: inside it, the sets of
+shingles decide, exactly, in blocks of bounded size.
 
 Defined cases: a null text counts as empty; a text without words has fingerprint zero; fewer words than a
 shingle make one shingle; a very long text is hashed in slices; repeated rows and equal fingerprints (ties) are in one
@@ -26,6 +27,7 @@ columns are ignored.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -40,6 +42,11 @@ SEGMENTS, WIDTH, MAX_BITS = 4, 16, 3
 SMALL, BLOCK = 16, 2048
 #: Fingerprints of a text in `near_copies`.
 ROUNDS = 4
+#: Words of a shingle in `near_copies`, and its similarity, (PARTS - 1) of PARTS.
+WORDS, PARTS = 5, 5
+SIMILAR = (PARTS - 1) / PARTS
+#: Shingles of a candidate group's block, about.
+SHINGLES = 1 << 18
 #: Shingles hashed at once, which bounds the memory that a very long text takes.
 SLICE = 1 << 15
 
@@ -99,11 +106,11 @@ def word_fingerprints(text: str | None, rounds: int = ROUNDS) -> np.ndarray:
 
 
 def words_column(text_col: str = "text", rounds: int = ROUNDS) -> Column:
-    """The fingerprints of a text's words as an array of signed longs."""
+    """fps, n_words: the fingerprints of a text's words as an array of signed longs, and the number of words."""
 
-    @F.pandas_udf("array<long>")
-    def fps(texts: pd.Series) -> pd.Series:
-        return pd.Series([word_fingerprints(t, rounds) for t in texts])
+    @F.pandas_udf("fps array<long>, n_words long")
+    def fps(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"fps": [word_fingerprints(t, rounds) for t in texts], "n_words": [len(t.encode("utf-8", "surrogatepass").split()) for t in texts]})
 
     return fps(doc_text(text_col))
 
@@ -210,16 +217,82 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return lookup(rows, facts, "fp", "n").select("doc_id", "fp", "component_id")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, fps, component_id for every row: texts are linked if their words' fingerprints of some round differ in at
-    most MAX_BITS bits. Texts with equal fingerprints in all rounds are one node; those with one of them equal hang on the
-    first of these nodes, so no group is expanded into its pairs."""
-    small_batches(docs.sparkSession)
-    folder = shared_folder(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), words_column(text_col, rounds).alias("fps"))
-    rows = written(rows, folder, "fingerprints")
-    nodes = rows.groupBy("fps").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).withColumn("node", F.monotonically_increasing_id())
-    nodes = written(nodes, folder, "nodes")
+def shingle_set(text: str | None, shingle: int = WORDS) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of a whole text's word shingles; fewer words make one shingle, none no shingle."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    digest = xxhash.xxh64_intdigest
+    if len(words) < shingle:
+        found = [digest(b" ".join(words), 42)] if words else []
+    else:
+        found = {digest(b" ".join(words[i : i + shingle]), 42) for i in range(len(words) - shingle + 1)}
+    return np.unique(np.fromiter(found, np.uint64, len(found)).view(np.int64))
+
+
+def similar_forest(nodes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links of a spanning forest of the nodes whose sets have a Jaccard similarity of SIMILAR or more; exact.
+
+    A node is compared with all others at once, by counting its shingles' owners. Empty sets are alike.
+    """
+    nodes, first = np.unique(nodes, return_index=True)
+    sets = [sets[i] for i in first]
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    ends = sizes.cumsum()
+    _, number = np.unique(np.concatenate(sets), return_inverse=True)
+    owners = np.repeat(np.arange(len(sets)), sizes)[np.argsort(number, kind="stable")]
+    holders = np.bincount(number, minlength=1) if len(number) else np.zeros(1, np.int64)
+    begin = holders.cumsum() - holders
+    left, links = np.ones(len(nodes), bool), []
+    for start in range(len(nodes)):
+        if not left[start]:
+            continue
+        left[start], queue = False, [start]
+        while queue and left.any():
+            at = queue.pop()
+            mine = number[ends[at] - sizes[at] : ends[at]]
+            n = holders[mine]
+            lists = owners[np.repeat(begin[mine] - (n.cumsum() - n), n) + np.arange(n.sum())]
+            shared = np.bincount(lists, minlength=len(nodes))
+            found = np.flatnonzero(left & (PARTS * shared >= (PARTS - 1) * (sizes[at] + sizes - shared)))
+            left[found] = False
+            links += [(int(nodes[at]), int(nodes[x])) for x in found]
+            queue.extend(found.tolist())
+    return links
+
+
+def verified_links(docs: DataFrame, members: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = SHINGLES) -> DataFrame:
+    """a, b: links that connect, inside each candidate group, all texts with a similarity of SIMILAR or more, and no others.
+
+    `members` has root, node, first_id and hash (of the row whose text it is) and n_words. A group is dealt into blocks of about `block` shingles, and every
+    pair of blocks is a task of bounded size, so a text is sent once for each block of its group.
+    """
+    blocks = members.groupBy("root").agg(F.ceil(F.sum("n_words") / block).cast("long").alias("blocks"), F.count(F.lit(1)).alias("n_nodes"))
+    blocks = blocks.withColumn("blocks", F.greatest("blocks", F.lit(1).cast("long")))
+    dealt = lookup(members, blocks, "root", "n_nodes").withColumn("own", F.expr("pmod(xxhash64(node), blocks)")).drop("n_nodes", "n_words")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), doc_text(text_col).alias("text")).withColumn("hash", F.xxhash64("text"))
+    rows = texts.join(dealt, (texts.hash == dealt.hash) & texts.doc_id.eqNullSafe(dealt.first_id)).select("node", "root", "own", "blocks", "text")
+    rows = rows.dropDuplicates(["node"])  # repeated rows
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = pdf.drop(columns="text")
+            out["shingles"] = [shingle_set(t) for t in pdf["text"]]
+            yield out
+
+    rows = rows.mapInPandas(hashed, "node long, root long, own long, blocks long, shingles array<long>")
+    spread = rows.select("root", "node", "shingles", "own", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("other"))
+    spread = spread.select("root", "node", "shingles", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+
+    def linked(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(similar_forest(pdf["node"].to_numpy(), list(pdf["shingles"])), columns=["a", "b"], dtype="int64")
+
+    return spread.groupBy("root", "low", "high").applyInPandas(linked, "a long, b long").distinct()
+
+
+def candidate_links(nodes: DataFrame, folder: str, rounds: int) -> DataFrame:
+    """a, b: links between `nodes` (node, fps) that connect all whose fingerprints of some round differ in at most MAX_BITS bits.
+
+    Nodes with an equal fingerprint hang on the first of them, so no group is expanded into its pairs.
+    """
     edges = None
     for t in range(rounds):
         mine = nodes.select("node", F.get("fps", F.lit(t)).alias("fp"))
@@ -229,20 +302,42 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         end = lambda c: firsts.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_node"))  # noqa: B023, E731
         close = close.join(end("a"), "a").join(end("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
         part = written(equal.unionByName(close), folder, f"pairs-{t}")
-        remove(docs.sparkSession, f"{folder}/round-{t}")
+        remove(nodes.sparkSession, f"{folder}/round-{t}")
         edges = part if edges is None else edges.unionByName(part)
-    roots = components(edges, folder).withColumnRenamed("node", "of")
-    named = nodes.join(roots, nodes.node == roots.of, "left").select("fps", "first_id", "n", F.coalesce("root", "node").alias("root"))
+    return edges
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
+    """doc_id, hash (of the text), component_id for every row: texts are linked if their five-word shingles have a Jaccard
+    similarity of SIMILAR or more; a component's name is its smallest id.
+
+    Candidate groups come from fingerprints over words, by any of the rounds. Inside a group, every two different texts are held
+    against each other by their shingles (`verified_links`), so no link rests on fingerprints alone.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    folder = shared_folder(spark)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(doc_text(text_col)).alias("hash"), words_column(text_col, rounds).alias("w"))
+    rows = written(rows.select("doc_id", "hash", "w.fps", "w.n_words"), folder, "fingerprints")
+    # two texts are one node only if 64 bits of hash and all fingerprints are equal
+    nodes = rows.groupBy("fps", "hash").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"), F.first("n_words").alias("n_words"))
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), folder, "nodes")
+    groups = written(components(candidate_links(nodes, folder, rounds), folder), folder, "groups")
+    groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
+    members = written(nodes.join(groups, "node").select("root", "node", "first_id", "hash", "n_words"), folder, "members")
+    links = written(verified_links(docs, members, id_col, text_col), folder, "verified")
+    roots = components(links, f"{folder}/verified-rounds").withColumnRenamed("node", "of")
+    named = nodes.join(roots, nodes.node == roots.of, "left").select("fps", "hash", "first_id", "n", F.coalesce("root", "node").alias("root"))
     named = written(named, folder, "named")
     names = named.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("size"))
-    facts = written(lookup(named, names, "root", "size").select("fps", "n", "component_id"), folder, "facts")
-    return lookup(rows, facts, "fps", "n").select("doc_id", "fps", "component_id")
+    facts = lookup(named, names, "root", "size").select(F.struct("fps", "hash").alias("key"), "n", "component_id")
+    return lookup(rows.withColumn("key", F.struct("fps", "hash")), written(facts, folder, "facts"), "key", "n").select("doc_id", "hash", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with one document of each group of near copies (see `near_copies`): the one with the smallest id."""
-    found = near_copies(docs, id_col, text_col).withColumnRenamed("fps", "mark").withColumn("kept", F.expr("doc_id <=> component_id"))
-    return apply_decisions(docs, found, words_column(text_col), False, id_col)
+    found = near_copies(docs, id_col, text_col).withColumnRenamed("hash", "mark").withColumn("kept", F.expr("doc_id <=> component_id"))
+    return apply_decisions(docs, found, F.xxhash64(doc_text(text_col)), False, id_col)
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import corpus_pipeline
 from tessera.llm import bpe
 from tessera.llm import decontaminate as dc
 from tessera.llm import quality as q
-from tessera.llm.simhash import word_fingerprints
+from tessera.llm.simhash import shingle_set, word_fingerprints
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,11 +29,17 @@ def test_stages_by_hand(spark):
             x = root[x]
         return x
 
-    for i in range(len(rows)):
-        for j in range(i):
-            if any((x ^ y).bit_count() <= 3 for x, y in zip(prints[i], prints[j])):
-                a, b = sorted((find(i), find(j)))
-                root[b] = a
+    def link(test):
+        for i in range(len(rows)):
+            for j in range(i):
+                if test(i, j):
+                    a, b = sorted((find(i), find(j)))
+                    root[b] = a
+
+    link(lambda i, j: any((x ^ y).bit_count() <= 3 for x, y in zip(prints[i], prints[j])))
+    group, root = [find(i) for i in range(len(rows))], list(range(len(rows)))
+    sets = [set(shingle_set(r.text).tolist()) for r in rows]
+    link(lambda i, j: group[i] == group[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))
     rows = [r for i, r in enumerate(rows) if find(i) == i]
     items = [(r.item_id, dc.split_words(r.text)) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     hit = {h[0] for h in dc.ItemIndex(items).search([dc.split_words(r.text) for r in rows])}

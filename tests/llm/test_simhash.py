@@ -141,7 +141,13 @@ def test_word_fingerprints(text):
     assert simhash.word_fingerprints(text, 3).view(np.uint64).tolist() == plain_word_fingerprints(text, 3)
 
 
-def test_near_copies_are_the_components_over_all_rounds(spark):
+def plain_similarity(a, b):
+    cut = lambda t: {tuple(w[i : i + 5]) for w in [(t or "").translate(LOW).split()] for i in range(max(1, len(w) - 4) if w else 0)}
+    a, b = cut(a), cut(b)
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def test_near_copies_are_the_similar_texts_of_candidate_groups(spark):
     rng = random.Random(4)
     texts = [None, "", "", "x", "X"]
     for _ in range(12):
@@ -153,7 +159,7 @@ def test_near_copies_are_the_components_over_all_rounds(spark):
             texts.append(" ".join(more))
     rows = [(i, t, "own", 1) for i, t in enumerate(texts)] + [(3, "y z", "own", 1), (None, texts[9], "own", 1), (None, "nobody else", "own", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, `__mark` string, node long").repartition(4)
-    prints = [plain_word_fingerprints(t, 2) for _, t, *_ in rows]
+    prints, texts_of = [plain_word_fingerprints(t, 2) for _, t, *_ in rows], [t for _, t, *_ in rows]
     root = list(range(len(rows)))
 
     def find(x):
@@ -165,6 +171,11 @@ def test_near_copies_are_the_components_over_all_rounds(spark):
         for j in range(i):
             if any((x ^ y).bit_count() <= 3 for x, y in zip(prints[i], prints[j])):
                 root[find(i)] = find(j)
+    candidates, root = [find(i) for i in range(len(rows))], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if candidates[i] == candidates[j] and plain_similarity(texts_of[i], texts_of[j]) >= 0.8:
+                root[find(i)] = find(j)
     groups = {}
     for i, (d, *_) in enumerate(rows):
         groups.setdefault(find(i), []).append(d)
@@ -173,3 +184,81 @@ def test_near_copies_are_the_components_over_all_rounds(spark):
     left = simhash.drop_near_copies(docs)
     assert left.columns == docs.columns and {r["__mark"] for r in left.collect()} == {"own"}
     assert simhash.near_copies(docs.limit(0)).collect() == [] and simhash.drop_near_copies(docs.limit(0)).collect() == []
+
+
+def test_texts_of_the_same_words_are_no_copies(spark):
+    """Long random texts over few words, the same words in another order, and lines alike but for numbers: close fingerprints, other texts."""
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(rng.choices(words, k=6000))) for i in range(6)]
+    rows += [(10, "the cat sat on the mat"), (11, "mat the on sat cat the")]
+    rows += [(20 + i, " ".join(f"invoice {rng.randrange(10**6)} was paid on time in full by the customer named below" for _ in range(12))) for i in range(30)]
+    rows += [(90, rows[0][1] + " more"), (91, "more " + rows[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = {r[0] for r in rows} - {90, 91}
+    assert all(plain_similarity(a[1], b[1]) < 0.8 for a in rows[:-2] for b in rows[:-2] if a[0] < b[0])
+    assert {r.doc_id for r in simhash.drop_near_copies(docs).collect()} == want
+
+
+@pytest.mark.parametrize("block", [simhash.SHINGLES, 200])
+def test_blocks_of_a_group_lose_no_link(spark, block):
+    rng = random.Random(2)
+    base = [f"w{rng.randrange(900)}" for _ in range(50)]
+    texts = []
+    for _ in range(70):
+        more = list(base)
+        for _ in range(rng.randint(0, 4)):
+            more[rng.randrange(50)] = f"w{rng.randrange(900)}"
+        texts.append(" ".join(more))
+    texts = sorted(set(texts))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    members = docs.selectExpr("0L AS root", "doc_id AS node", "doc_id AS first_id", "xxhash64(text) AS hash", "50L AS n_words")
+    links = {(r.a, r.b) for r in simhash.verified_links(docs, members, block=block).collect()}
+    assert all(plain_similarity(texts[a], texts[b]) >= 0.8 for a, b in links)
+    root = list(range(len(texts)))
+
+    def name(pairs):
+        root[:] = range(len(texts))
+        for a, b in pairs:
+            a, b = root[a], root[b]
+            root[:] = [min(a, b) if x in (a, b) else x for x in root]
+        return list(root)
+
+    assert name(links) == name([(a, b) for a in range(len(texts)) for b in range(a) if plain_similarity(texts[a], texts[b]) >= 0.8])
+    assert len(set(root)) > 1
+
+
+def test_whole_table_against_all_pairs(spark):
+    """Precision 1 and recall 0.9 or more of pairs that are in one component, over every text of a table."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    holders, sets = {}, {d: set(simhash.shingle_set(t).tolist()) for d, t in texts.items()}
+    for d, s in sets.items():
+        for x in s:
+            holders.setdefault(x, []).append(d)
+    root = {d: d for d in texts}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    true = []
+    for d, s in sets.items():
+        shared = {}
+        for x in s:
+            for e in holders[x]:
+                if e < d:
+                    shared[e] = shared.get(e, 0) + 1
+        near = [e for e, n in shared.items() if 5 * n >= 4 * (len(s) + len(sets[e]) - n)]
+        true += [(d, e) for e in near]
+        for e in near:
+            root[find(d)] = find(e)
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
+    groups = {}
+    for d in texts:
+        groups.setdefault(got[d], set()).add(find(d))
+    assert all(len(g) == 1 for g in groups.values())
+    different = [(a, b) for a, b in true if texts[a] != texts[b]]
+    assert len(different) > 30 and sum(got[a] == got[b] for a, b in different) >= 0.9 * len(different)
