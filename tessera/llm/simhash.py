@@ -46,7 +46,7 @@ ROUNDS = 4
 WORDS, PARTS = 5, 5
 SIMILAR = (PARTS - 1) / PARTS
 #: Shingles of a candidate group's block, about.
-SHINGLES = 1 << 18
+SHINGLES = 1 << 20
 #: Shingles hashed at once, which bounds the memory that a very long text takes.
 SLICE = 1 << 15
 
@@ -228,42 +228,53 @@ def shingle_set(text: str | None, shingle: int = WORDS) -> np.ndarray:
     return np.unique(np.fromiter(found, np.uint64, len(found)).view(np.int64))
 
 
-def similar_forest(nodes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links of a spanning forest of the nodes whose sets have a Jaccard similarity of SIMILAR or more; exact.
+class Similar:
+    """Texts by their shingle sets: which ones have a Jaccard similarity of SIMILAR or more, exactly.
 
-    A node is compared with all others at once, by counting its shingles' owners. Empty sets are alike.
+    A text is compared with all others at once, by counting its shingles' owners. Empty sets are alike.
     """
-    nodes, first = np.unique(nodes, return_index=True)
-    sets = [sets[i] for i in first]
-    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    ends = sizes.cumsum()
-    _, number = np.unique(np.concatenate(sets), return_inverse=True)
-    owners = np.repeat(np.arange(len(sets)), sizes)[np.argsort(number, kind="stable")]
-    holders = np.bincount(number, minlength=1) if len(number) else np.zeros(1, np.int64)
-    begin = holders.cumsum() - holders
-    left, links = np.ones(len(nodes), bool), []
-    for start in range(len(nodes)):
-        if not left[start]:
-            continue
-        left[start], queue = False, [start]
-        while queue and left.any():
-            at = queue.pop()
-            mine = number[ends[at] - sizes[at] : ends[at]]
-            n = holders[mine]
-            lists = owners[np.repeat(begin[mine] - (n.cumsum() - n), n) + np.arange(n.sum())]
-            shared = np.bincount(lists, minlength=len(nodes))
-            found = np.flatnonzero(left & (PARTS * shared >= (PARTS - 1) * (sizes[at] + sizes - shared)))
-            left[found] = False
-            links += [(int(nodes[at]), int(nodes[x])) for x in found]
-            queue.extend(found.tolist())
-    return links
-
-
-def verified_links(docs: DataFrame, members: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = SHINGLES) -> DataFrame:
+
+    def __init__(self, nodes: np.ndarray, sets: list[np.ndarray]) -> None:
+        self.nodes, first = np.unique(nodes, return_index=True)
+        sets = [sets[i] for i in first]
+        self.sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        self.ends = self.sizes.cumsum()
+        _, self.number = np.unique(np.concatenate(sets), return_inverse=True)
+        self.owners = np.repeat(np.arange(len(sets)), self.sizes)[np.argsort(self.number, kind="stable")]
+        self.holders = np.bincount(self.number) if len(self.number) else np.zeros(1, np.int64)
+        self.begin = self.holders.cumsum() - self.holders
+
+    def like(self, at: int) -> np.ndarray:
+        """For each text, whether it is similar to the one at `at`."""
+        mine = self.number[self.ends[at] - self.sizes[at] : self.ends[at]]
+        n = self.holders[mine]
+        lists = self.owners[np.repeat(self.begin[mine] - (n.cumsum() - n), n) + np.arange(n.sum())]
+        shared = np.bincount(lists, minlength=len(self.nodes))
+        return PARTS * shared >= (PARTS - 1) * (self.sizes[at] + self.sizes - shared)
+
+    def labels(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each text, the places of the first text of its component and of the similar one from which it was found."""
+        left, label, parent = np.ones(len(self.nodes), bool), np.arange(len(self.nodes)), np.arange(len(self.nodes))
+        for start in range(len(self.nodes)):
+            if not left[start]:
+                continue
+            left[start], queue = False, [start]
+            while queue and left.any():
+                at = queue.pop()
+                found = np.flatnonzero(left & self.like(at))
+                left[found], label[found], parent[found] = False, start, at
+                queue.extend(found.tolist())
+        return label, parent
+
+
+def verified_links(docs: DataFrame, members: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", block: int = SHINGLES) -> DataFrame:
     """a, b: links that connect, inside each candidate group, all texts with a similarity of SIMILAR or more, and no others.
 
-    `members` has root, node, first_id and hash (of the row whose text it is) and n_words. A group is dealt into blocks of about `block` shingles, and every
-    pair of blocks is a task of bounded size, so a text is sent once for each block of its group.
+    `members` has root, node, first_id and hash (of the row whose text it is) and n_words. A group is dealt into blocks of about
+    `block` shingles. First each block finds its components by itself. Of a group with several blocks, the first texts of
+    the blocks' largest components are held against each other, which makes the group's main component known; all
+    texts outside of it are then sent to every block of the group, those inside stay where they are, as they are linked
+    already. So what a group of many copies is sent follows its size, and every pair that could still add a link is compared.
     """
     blocks = members.groupBy("root").agg(F.ceil(F.sum("n_words") / block).cast("long").alias("blocks"), F.count(F.lit(1)).alias("n_nodes"))
     blocks = blocks.withColumn("blocks", F.greatest("blocks", F.lit(1).cast("long")))
@@ -278,14 +289,50 @@ def verified_links(docs: DataFrame, members: DataFrame, id_col: str = "doc_id",
             out["shingles"] = [shingle_set(t) for t in pdf["text"]]
             yield out
 
-    rows = rows.mapInPandas(hashed, "node long, root long, own long, blocks long, shingles array<long>")
-    spread = rows.select("root", "node", "shingles", "own", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("other"))
-    spread = spread.select("root", "node", "shingles", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    rows = written(rows.mapInPandas(hashed, "node long, root long, own long, blocks long, shingles array<long>"), folder, "shingles")
+
+    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = Similar(pdf["node"].to_numpy(), list(pdf["shingles"]))
+        label, parent = found.labels()
+        largest = np.bincount(label, weights=found.sizes + 1).argmax()
+        out = pd.DataFrame({"root": pdf["root"].iloc[0], "node": found.nodes, "label": found.nodes[label], "parent": found.nodes[parent], "shingles": None})
+        if pdf["blocks"].iloc[0] > 1:
+            out.at[largest, "shingles"] = pdf["shingles"].iloc[int(np.flatnonzero(pdf["node"].to_numpy() == found.nodes[largest])[0])]
+        return out
+
+    labelled = written(rows.groupBy("root", "own").applyInPandas(inside, "root long, node long, label long, parent long, shingles array<long>"), folder, "labelled")
+
+    def across(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = Similar(pdf["label"].to_numpy(), list(pdf["shingles"]))
+        label, parent = found.labels()
+        main = np.bincount(label).argmax()
+        return pd.DataFrame({"label": found.nodes, "parent": found.nodes[parent], "main": label == main})
+
+    firsts = labelled.where("shingles IS NOT NULL").select("root", "label", "shingles")
+    firsts = written(firsts.groupBy("root").applyInPandas(across, "label long, parent long, main boolean"), folder, "firsts-of-blocks")
+    links = labelled.where("node <> parent").select(F.col("parent").alias("a"), F.col("node").alias("b"))
+    links = links.unionByName(firsts.where("label <> parent").select(F.col("parent").alias("a"), F.col("label").alias("b")))
+    if not firsts.limit(1).count():
+        return links
+    sizes = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    mains = firsts.where("main").select("label").withColumn("main", F.lit(True)).join(sizes, "label", "right").withColumn("main", F.coalesce("main", F.lit(False)))
+    marked = lookup(labelled.select("node", "label"), mains, "label", "n").select("node", "main")
+    several = written(rows.where("blocks > 1").join(marked, "node"), folder, "several")
+    open_groups = several.where(~F.col("main")).groupBy("root").agg(F.count(F.lit(1)).alias("n_open"))
+    rest = several.join(open_groups, "root").withColumn("block", F.explode(F.when(F.col("main"), F.array("own")).otherwise(F.expr("sequence(0L, blocks - 1)"))))
 
     def linked(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(similar_forest(pdf["node"].to_numpy(), list(pdf["shingles"])), columns=["a", "b"], dtype="int64")
+        found, main = Similar(pdf["node"].to_numpy(), list(pdf["shingles"])), dict(zip(pdf["node"], pdf["main"], strict=True))
+        inner = np.array([main[x] for x in found.nodes.tolist()], bool)
+        out = []
+        for at in np.flatnonzero(~inner):
+            like = found.like(at)
+            others = np.flatnonzero(like & ~inner)
+            out += [(found.nodes[at], found.nodes[x]) for x in [*others[others > at], *np.flatnonzero(like & inner)[:1]]]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return spread.groupBy("root", "low", "high").applyInPandas(linked, "a long, b long").distinct()
+    more = rest.select("root", "block", "node", "shingles", "main").groupBy("root", "block").applyInPandas(linked, "a long, b long")
+    return links.unionByName(more.distinct())
 
 
 def candidate_links(nodes: DataFrame, folder: str, rounds: int) -> DataFrame:
@@ -325,7 +372,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = written(components(candidate_links(nodes, folder, rounds), folder), folder, "groups")
     groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
     members = written(nodes.join(groups, "node").select("root", "node", "first_id", "hash", "n_words"), folder, "members")
-    links = written(verified_links(docs, members, id_col, text_col), folder, "verified")
+    links = written(verified_links(docs, members, folder, id_col, text_col), folder, "verified")
     roots = components(links, f"{folder}/verified-rounds").withColumnRenamed("node", "of")
     named = nodes.join(roots, nodes.node == roots.of, "left").select("fps", "hash", "first_id", "n", F.coalesce("root", "node").alias("root"))
     named = written(named, folder, "named")

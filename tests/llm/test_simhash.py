@@ -200,8 +200,8 @@ def test_texts_of_the_same_words_are_no_copies(spark):
     assert {r.doc_id for r in simhash.drop_near_copies(docs).collect()} == want
 
 
-@pytest.mark.parametrize("block", [simhash.SHINGLES, 200])
-def test_blocks_of_a_group_lose_no_link(spark, block):
+@pytest.mark.parametrize("block", [simhash.SHINGLES, 900, 200])
+def test_blocks_of_a_group_lose_no_link(spark, tmp_path, block):
     rng = random.Random(2)
     base = [f"w{rng.randrange(900)}" for _ in range(50)]
     texts = []
@@ -213,7 +213,7 @@ def test_blocks_of_a_group_lose_no_link(spark, block):
     texts = sorted(set(texts))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     members = docs.selectExpr("0L AS root", "doc_id AS node", "doc_id AS first_id", "xxhash64(text) AS hash", "50L AS n_words")
-    links = {(r.a, r.b) for r in simhash.verified_links(docs, members, block=block).collect()}
+    links = {(r.a, r.b) for r in simhash.verified_links(docs, members, f"file://{tmp_path}", block=block).collect()}
     assert all(plain_similarity(texts[a], texts[b]) >= 0.8 for a, b in links)
     root = list(range(len(texts)))
 
