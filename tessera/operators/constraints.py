@@ -1,4 +1,4 @@
-"""Relational parts of dependency constraints: matching ranges, classes of equal releases, closures, solutions.
+"""Relational parts of dependency constraints: range joins, classes of equal releases, closures, solutions.
 
 Tables: releases (package, version), requirements (package, version, pos, target, range) and roots (target, range),
 with versions and ranges as in tessera.functions.versions.
@@ -6,25 +6,92 @@ with versions and ranges as in tessera.functions.versions.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.versions import contains
 from tessera.operators.lineage import cut
+from tessera.operators.numbering import running_count
 
 
-def matches(requirements: DataFrame, releases: DataFrame) -> DataFrame:
+#: Releases in a bin, and spans of requirements that meet a bin in one task.
+BIN, SPANS = 1024, 4096
+#: Before and after all versions.
+LEAST = "struct(struct(-1L AS major, -1L AS minor, -1L AS patch) AS version, 0 AS side)"
+MOST = "struct(struct(9223372036854775807L AS major, 0L AS minor, 0L AS patch) AS version, 2 AS side)"
+
+
+def spans_of(range_: str) -> Column:
+    """The disjoint intervals that a range admits, as an array of (start, end).
+
+    A place is (version, side): side 0 is just before the version, 2 just after it. Bounds cut from either end, and every != cuts
+    one version out of the middle.
+    """
+    at = lambda ops, after: f"transform(filter({range_}, c -> c.op IN ({ops})), c -> struct(c.version AS version, IF(c.op IN ({after}), 2, 0) AS side))"
+    low = f"array_max(concat(array({LEAST}), {at("'>=', '>', '=='", "'>'")}))"
+    high = f"array_min(concat(array({MOST}), {at("'<=', '<', '=='", "'<=', '=='")}))"
+    holes = f"array_sort(array_distinct(transform(filter({range_}, c -> c.op = '!='), c -> c.version)))"
+    starts = f"concat(array({low}), transform({holes}, v -> greatest({low}, struct(v AS version, 2 AS side))))"
+    ends = f"concat(transform({holes}, v -> least({high}, struct(v AS version, 0 AS side))), array({high}))"
+    return F.expr(f"filter(zip_with({starts}, {ends}, (s, e) -> struct(s AS start, e AS end)), p -> p.start < p.end)")
+
+
+def ordinal_spans(requirements: DataFrame, releases: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Three tables: the distinct (target, range) with a number `ask`; ask, low, high: the spans of ordinals from low to before
+    high that it admits, none of them empty; ordinal, version of the releases.
+
+    Ordinals number all releases by package and version, so a package's are contiguous. The ends of the intervals are put in
+    line with the releases, and a running count over ranges of that line gives each end its ordinal: no package meets in
+    one task, and no requirement meets a release yet.
+    """
+    asks = cut(requirements.select("target", "range").where("target IS NOT NULL AND range IS NOT NULL").distinct().withColumn("ask", F.monotonically_increasing_id()))
+    ends = asks.select("ask", "target", F.posexplode(spans_of("range")).alias("part", "span"))
+    ends = ends.select("ask", "part", F.col("target").alias("package"), F.explode(F.array(F.struct(F.col("span.start").alias("at"), F.lit(0).alias("end")), F.struct(F.col("span.end").alias("at"), F.lit(1).alias("end")))).alias("e"))
+    ends = ends.select("package", "e.at.version", "e.at.side", "ask", "part", "e.end")
+    offered = releases.select("package", "version", F.lit(1).alias("side"), F.lit(None).cast("long").alias("ask"), F.lit(None).cast("int").alias("part"), F.lit(None).cast("int").alias("end"))
+    line = running_count(offered.unionByName(ends), "ordinal", F.when(F.col("side") == 1, 1).otherwise(0), ["package", "version", "side", "ask", "part", "end"])
+    pick = lambda end: F.max(F.when(F.col("end") == end, F.col("ordinal")))
+    spans = line.where("ask IS NOT NULL").groupBy("ask", "part").agg(pick(0).alias("low"), pick(1).alias("high")).where("low < high")
+    return asks, spans.select("ask", "low", "high"), line.where("side = 1").select("ordinal", "version")
+
+
+def matches(requirements: DataFrame, releases: DataFrame, bin_size: int = BIN, share: int = SPANS) -> DataFrame:
     """Each requirement with each release of its target that it admits, in column `found`.
 
-    The join is by the target; the range is checked on its pairs, since != makes a range more than an interval.
+    A range join by bins: releases are gathered into bins of `bin_size` ordinals, spans ask for the bins that they meet, and a span takes
+    from a bin the slice that is its own, so only admitted pairs come out. A bin that many spans ask for is copied for
+    every `share` of them, so neither a package with many releases nor a range that many have makes a large task.
     """
-    offered = releases.select(F.col("package").alias("target"), F.col("version").alias("found"))
-    return requirements.join(offered, "target").where(contains(F.col("range"), F.col("found")))
+    asks, spans, placed = ordinal_spans(requirements, releases)
+    bins = placed.groupBy(F.expr(f"ordinal div {bin_size}").alias("bin")).agg(F.min("ordinal").alias("first"), F.sort_array(F.collect_list(F.struct("ordinal", "version"))).alias("held"))
+    wanted = spans.withColumn("bin", F.explode(F.expr(f"sequence(low div {bin_size}, (high - 1) div {bin_size})")))
+    wanted = wanted.withColumn("part", F.expr(f"pmod(xxhash64(ask, low), {PARTS})"))
+    # a bin's share of the PARTS: as many copies as it takes for `share` spans each
+    copies = wanted.groupBy("bin").agg(F.least(F.lit(PARTS), F.ceil(F.count(F.lit(1)) / share)).cast("int").alias("copies"))
+    wanted = wanted.join(copies, "bin").withColumn("copy", F.expr("pmod(part, copies)")).drop("part", "copies")
+    bins = bins.join(copies, "bin").withColumn("copy", F.explode(F.expr("sequence(0, copies - 1)"))).drop("copies")
+    inside = F.expr("slice(held, CAST(greatest(low - first, 0) + 1 AS INT), CAST(least(high - first, size(held)) - greatest(low - first, 0) AS INT))")
+    pairs = wanted.join(bins, ["bin", "copy"]).select("ask", F.explode(inside).alias("h")).select("ask", F.col("h.version").alias("found"))
+    return _asked(requirements, asks).join(pairs, "ask").drop("ask")
+
+
+#: Copies of a bin at most.
+PARTS = 1 << 16
+
+
+def _asked(requirements: DataFrame, asks: DataFrame) -> DataFrame:
+    """`requirements` with the number of their target and range."""
+    return requirements.join(asks, ["target", "range"]).select(*requirements.columns, "ask")
 
 
 def newest_match(requirements: DataFrame, releases: DataFrame, by: list[str]) -> DataFrame:
-    """The newest admitted release of each requirement, null if there is none; `by` names the requirement."""
-    best = matches(requirements, releases).groupBy(*by).agg(F.max("found").alias("newest"))
+    """The newest admitted release of each requirement, null if there is none; `by` names the requirement.
+
+    It is the last release of the last span: one row for each distinct range, no pairs.
+    """
+    asks, spans, placed = ordinal_spans(requirements, releases)
+    last = spans.groupBy("ask").agg((F.max("high") - 1).alias("ordinal")).join(placed, "ordinal").select("ask", F.col("version").alias("found"))
+    best = _asked(requirements, asks).join(last, "ask").groupBy(*by).agg(F.max("found").alias("newest"))
     return requirements.join(best, by, "left")
 
 

@@ -67,14 +67,32 @@ def hierarchy(rows: DataFrame, leaf: str, value: Column, fan_out: int, levels: i
 
 
 def drop_dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node: nodes (node) less those that depend, over any number of edges (node, dep), on a missing one."""
-    left = cut(nodes.select("node"))
+    """node: nodes (node) less those that depend, over any number of edges (node, dep), on a missing one.
+
+    Pointer jumping: an edge to a node that itself rests on one other only is led on to that other one, so chains shorten by
+    half in each round, and only the edges of nodes that are still open are kept, never all pairs of a closure. A node is
+    good when no edge of it is left, bad when an edge leads to a bad one. When a round settles no node, what is left
+    rests on cycles only and stays. Repeated edges count once, and so does an edge of a node to itself.
+    """
+    present = cut(nodes.select("node").distinct())
+    mine = edges.select("node", "dep").distinct().join(present, "node", "left_semi")
+    there = present.select(F.col("node").alias("dep"), F.lit(True).alias("there"))
+    open_ = cut(mine.join(there, "dep", "left").select("node", F.col("dep"), F.coalesce("there", F.lit(False)).alias("there")))
+    bad = cut(open_.where(~F.col("there")).select("node").distinct())
+    open_ = open_.where("there AND node <> dep").select("node", "dep").join(bad, "node", "left_anti")
+    open_ = cut(open_)
     while True:
-        bad = edges.join(left, "node", "left_semi").join(left.withColumnRenamed("node", "dep"), "dep", "left_anti").select("node").distinct()
-        fewer = cut(left.join(bad, "node", "left_anti"))
-        if fewer.count() == left.count():
-            return left
-        left = fewer
+        # what is known of the nodes that edges lead to: bad, good (without edges), or resting on one other only
+        alone = open_.groupBy(F.col("node").alias("dep")).agg(F.count(F.lit(1)).alias("n"), F.min("dep").alias("to"))
+        known = alone.select("dep", F.when(F.col("n") == 1, F.col("to")).alias("to"), F.lit("open").alias("state"))
+        known = known.unionByName(bad.select(F.col("node").alias("dep"), F.lit(None).cast(dict(edges.dtypes)["dep"]).alias("to"), F.lit("bad").alias("state")))
+        led = cut(open_.join(known, "dep", "left").select("node", F.coalesce("to", "dep").alias("dep"), F.coalesce("state", F.lit("good")).alias("state")))
+        falls = cut(led.where("state = 'bad'").select("node").distinct())
+        left = cut(led.where("state = 'open' AND node <> dep").select("node", "dep").distinct().join(falls, "node", "left_anti"))
+        settled = open_.select("node").distinct().count() - left.select("node").distinct().count()
+        bad, open_ = cut(bad.unionByName(falls)), left
+        if not settled:
+            return present.join(bad, "node", "left_anti")
 
 
 def cycle_paths(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
@@ -91,6 +109,83 @@ def cycle_paths(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     return out.distinct()
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """node, component: the strongly connected components of edges (node, dep) that hold a cycle; component is its smallest node.
+
+    Rounds of trimming and colours. Trimming takes away nodes without an edge in or out, again and again, which ends at once on
+    most of a graph. Then every node takes the smallest node that reaches it as its colour, and those that reach
+    the node of their own colour inside that colour are its component; they leave, and the rest goes on.
+    """
+    left, found = cut(edges.select("node", "dep").where("node IS NOT NULL AND dep IS NOT NULL").distinct()), None
+    loops = cut(left.where("node = dep").select("node"))
+    left = cut(left.where("node <> dep"))
+    while True:
+        left = trimmed(left)
+        if not left.limit(1).count():
+            break
+        colour = _spread(left.select(F.col("node").alias("src"), F.col("dep").alias("dst")), left.select(F.col("node").alias("at")).distinct().select("at", F.col("at").alias("colour")))
+        of = lambda c: colour.select(F.col("at").alias(c), F.col("colour").alias(f"{c}_colour"))
+        same = cut(left.join(of("node"), "node").join(of("dep"), "dep").where("node_colour = dep_colour").select("node", "dep", F.col("node_colour").alias("component")))
+        reached = frontier = cut(same.select(F.col("component").alias("node"), "component").distinct())
+        while True:  # backwards from each colour's own node, inside the colour
+            step = same.join(frontier.select(F.col("node").alias("dep"), "component"), ["dep", "component"]).select("node", "component").distinct()
+            frontier = cut(step.join(reached, ["node", "component"], "left_anti"))
+            if not frontier.limit(1).count():
+                break
+            reached = cut(reached.unionByName(frontier))
+        # a colour's node alone is no cycle
+        held = cut(reached.join(reached.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component"), "component", "left_semi").select("node", "component"))
+        found = held if found is None else found.unionByName(held)
+        gone = reached.select("node")
+        left = cut(left.join(gone, "node", "left_anti").join(gone.withColumnRenamed("node", "dep"), "dep", "left_anti").select("node", "dep"))
+    alone = loops.select("node", F.col("node").alias("component"))
+    return alone if found is None else found.unionByName(alone.join(found, "node", "left_anti"))
+
+
+def trimmed(edges: DataFrame) -> DataFrame:
+    """`edges` (node, dep) without the nodes that no cycle can hold: those with no edge in, or none out, over and over."""
+    while True:
+        ends = edges.select(F.col("dep").alias("node"))
+        fewer = edges.join(ends, "node", "left_semi").join(edges.select(F.col("node").alias("dep")), "dep", "left_semi").select("node", "dep")
+        fewer = cut(fewer)
+        if fewer.count() == edges.count():
+            return fewer
+        edges = fewer
+
+
+def _spread(edges: DataFrame, colour: DataFrame) -> DataFrame:
+    """at, colour: the smallest colour that reaches each node over edges (src, dst); only what has changed moves on."""
+    colour = moved = cut(colour)
+    while True:
+        sent = edges.join(moved, edges.src == moved.at).groupBy(F.col("dst").alias("goal")).agg(F.min("colour").alias("sent"))
+        moved = cut(colour.join(sent, colour.at == sent.goal).where("sent < colour").select("at", F.col("sent").alias("colour")))
+        if not moved.limit(1).count():
+            return colour
+        told = moved.select(F.col("at").alias("of"), F.col("colour").alias("told"))
+        colour = cut(colour.join(told, colour.at == told.of, "left").select("at", F.coalesce("told", "colour").alias("colour")))
+
+
+def witnesses(edges: DataFrame, held: DataFrame) -> DataFrame:
+    """component, path: one shortest cycle through each component's own node, from it back to it; the smallest of equal ones.
+
+    A search from that node inside its component, one level a round: a node is met once, with one path.
+    """
+    inside = edges.select("node", "dep").distinct().join(held, "node").join(held.select(F.col("node").alias("dep"), F.col("component").alias("c")), "dep").where("component = c").select("node", "dep", "component")
+    inside = cut(inside)
+    walks = cut(held.where("node = component").select("component", "node", F.array("node").alias("path")))
+    met, closed = walks.select("component", "node"), None
+    while True:
+        step = walks.join(inside, ["component", "node"]).select("component", F.col("dep").alias("node"), F.concat("path", F.array("dep")).alias("path"))
+        step = cut(step.groupBy("component", "node").agg(F.min("path").alias("path")))
+        back = step.where("node = component").select("component", "path")
+        closed = back if closed is None else closed.unionByName(back.join(closed, "component", "left_anti"))
+        closed = cut(closed)
+        walks = cut(step.join(met, ["component", "node"], "left_anti").join(closed, "component", "left_anti"))
+        if not walks.limit(1).count():
+            return closed
+        met = cut(met.unionByName(walks.select("component", "node")))
+
+
 def difference(model: DataFrame, engine: DataFrame, keys: list[str], value: str) -> DataFrame:
     """keys, model, engine of the rows in which two results differ, null-safe; a row missing on a side is null."""
     a, b = model.select(*keys, F.struct(value).alias("__a")), engine.select(*keys, F.struct(value).alias("__b"))

@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.numbering import following, last_known, previous
+from tessera.operators.lineage import cut
+from tessera.operators.numbering import following, largest_before, last_known, previous
 
 #: Commits in a block of a key's history.
 COMMITS = 1024
@@ -77,45 +78,86 @@ def conflicts_pairwise(writes: DataFrame) -> DataFrame:
     return asks.join(other, ["key", "__block"]).where(late & (F.col("other") != F.col("txn"))).select("txn", "other", "key").distinct()
 
 
-def commit_fold(writes: DataFrame, group: str) -> DataFrame:
+def commit_fold(writes: DataFrame, group: str, known: str | None = None) -> DataFrame:
     """group, txn, committed: first committer wins, in the order of the commits.
 
     `writes` has group, txn, key, begin, commit; groups share no key. Of a group, transactions are taken by their
     commit; one fails if a key of it was written by a transaction that succeeded after its begin. What failed wrote
-    nothing, so it fails nobody else, which is why the fold is sequential inside a group.
+    nothing, so it fails nobody else, which is why this fold is sequential inside a group (`commit_rounds` is not). A column
+    `known` may say of transactions that they are committed; they are taken as such and not returned.
     """
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at = txn = None  # the group and the transaction at hand; rows come in their order
         last: dict = {}
         keys: list = []
-        ok, commit, out = True, -1, []
+        ok, sure, commit, out = True, False, -1, []
 
         def end() -> None:
             if txn is not None:
-                out.append((at, txn, ok))
+                if not sure:
+                    out.append((at, txn, ok))
                 if ok:
                     last.update(dict.fromkeys(keys, commit))
 
         for pdf in batches:
-            for g, c, t, k, b in zip(*(pdf[x].tolist() for x in (group, "commit", "txn", "key", "begin")), strict=True):
+            for g, c, t, k, b, s in zip(*(pdf[x].tolist() for x in (group, "commit", "txn", "key", "begin", "__known")), strict=True):
                 if (g, t) != (at, txn):
                     end()
                     if g != at:
                         last = {}
-                    at, txn, commit, ok, keys = g, t, c, True, []
+                    at, txn, commit, ok, keys, sure = g, t, c, True, [], s
                 keys.append(k)
-                ok = ok and last.get(k, -1) <= b
+                ok = sure or ok and last.get(k, -1) <= b
             yield pd.DataFrame(out, columns=[group, "txn", "committed"])
             out = []
         end()
         yield pd.DataFrame(out, columns=[group, "txn", "committed"])
 
     # many groups share a task, and only one group's keys are held at a time
-    ordered = writes.select(group, "commit", "txn", "key", "begin").repartition(group).sortWithinPartitions(group, "commit", "txn", "key")
+    known = F.coalesce(F.col(known), F.lit(False)) if known else F.lit(False)
+    ordered = writes.select(group, "commit", "txn", "key", "begin", known.alias("__known")).repartition(group).sortWithinPartitions(group, "commit", "txn", "key")
     return ordered.mapInPandas(fold, f"{group} long, txn long, committed boolean")
 
 
+#: Rounds in which chains of transactions are decided together, before what is left of them is folded.
+ROUNDS = 12
+
+
+def commit_rounds(writes: DataFrame, group: str, rounds: int = ROUNDS) -> DataFrame:
+    """group, txn, committed as of `commit_fold`, for groups of any size.
+
+    A rival of a transaction is one that commits between its begin and its commit and writes a key of it. In each round,
+    a transaction fails that has a rival known to be committed, and one commits whose rivals have all failed; so
+    round n decides all that is n rivals deep, of all groups at once. No pairs are made: for every write the last
+    committed and the last undecided write of its key tell whether there is such a rival, and a key's history is looked at in
+    blocks. Failed transactions leave the table. What is still open after `rounds` rounds, long chains of transactions each of
+    which waits for the one before, is folded in order with what is known.
+    """
+    open_ = F.col("__state").isNull()
+    rows = writes.select(group, "txn", "key", "begin", "commit").distinct().withColumn("__history", F.struct(group, "key"))
+    rows = cut(rows.withColumn("__state", F.lit(None).cast("boolean")))
+    decided = None
+    for _ in range(rounds):
+        # commits grow along a history, so the last ones are the largest ones
+        seen = largest_before(rows, "__history", "commit", {"__won": F.when(F.col("__state"), F.col("commit")), "__waits": F.when(open_, F.col("commit"))})
+        late = lambda c: F.max(F.coalesce(F.col(c) > F.col("begin"), F.lit(False)))
+        asked = seen.where(open_).groupBy(group, "txn").agg(late("__won").alias("fails"), late("__waits").alias("waits"))
+        new = cut(asked.where("fails OR NOT waits").select(group, "txn", (~F.col("fails")).alias("committed")))
+        if not new.limit(1).count():
+            break
+        decided = new if decided is None else decided.unionByName(new)
+        told = new.withColumnRenamed("committed", "__told")
+        rows = rows.join(told, [group, "txn"], "left").withColumn("__state", F.coalesce("__state", "__told")).drop("__told")
+        rows = cut(rows.where(open_ | F.col("__state")))
+    if decided is None:
+        return rows.select(group, "txn", F.lit(True).alias("committed")).limit(0)
+    left = rows.where(open_).select(group).distinct()
+    if not left.limit(1).count():
+        return decided
+    return decided.unionByName(commit_fold(rows.join(left, group, "left_semi"), group, "__state").select(*decided.columns))
+
+
 def horizon(checkpoint: int, active: list[int]) -> int:
     """The version up to which history may be pruned: no open snapshot may lose what it sees."""
     return min([checkpoint, *active])

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.operators import incremental as im
+from tessera.operators.lineage import cut, shared_root
+from tessera.operators.numbering import numbered
+from tessera.operators.traces import Traces
 from tessera.plans.kv import event_log
 from tessera.plans.registry import register
 from tessera.sources.tables import table
@@ -133,6 +139,81 @@ def im_drop_dangling(spark, sf_dir):
     return im.drop_dangling(edges, nodes)
 
 
+def _rollup_body():
+    """Bodies of the rollup: a customer (kind sum) adds its orders in thousands, a nation (kind sum) its customers; a choice
+    (kind cond) reads its nation and, if that is even, the next one."""
+    none, total = F.array().cast("array<long>"), F.aggregate("read", F.lit(0).cast("long"), lambda a, r: a + r.value)
+    first, even = F.size("read") == 0, F.get("read", F.lit(0))["value"] % 2 == 0
+    more = F.when(first, F.slice("args", 1, 1)).when((F.size("read") == 1) & even, F.slice("args", 2, 1)).otherwise(none)
+    wants = F.when(F.col("kind") == "cond", more).otherwise(F.when(first, F.col("args")).otherwise(none))
+    value = F.when(F.col("kind") == "cond", F.try_element_at("read", F.lit(-1))["value"]).when(F.col("kind") == "customer", F.expr("aggregate(read, 0L, (a, r) -> a + r.value) div 100000")).otherwise(total)
+    return F.struct(wants.alias("wants"), value.alias("value"))
+
+
+@register("im_trace_verify", """
+WITH o AS (SELECT o_custkey AS c, CAST(round(o_totalprice * 100) AS BIGINT) AS old, CAST(round(o_totalprice * 100) AS BIGINT) + CASE WHEN o_orderkey % 50 = 3 THEN 30000 ELSE 0 END AS new, o_orderkey % 50 = 3 AS ch FROM orders),
+c AS (SELECT c_custkey AS c, c_nationkey AS n, coalesce(sum(old), 0) // 100000 AS old, coalesce(sum(new), 0) // 100000 AS new, coalesce(bool_or(ch), false) AS ran FROM customer LEFT JOIN o ON o.c = c_custkey GROUP BY ALL),
+n AS (SELECT n_nationkey AS n, coalesce(sum(old), 0) AS old, coalesce(sum(new), 0) AS new, coalesce(bool_or(c.old <> c.new), false) AS ran FROM nation LEFT JOIN c ON c.n = n_nationkey GROUP BY ALL),
+d AS (SELECT a.n, CASE WHEN a.new % 2 = 0 THEN b.new ELSE a.new END AS new, a.old <> a.new OR (a.old % 2 = 0 AND b.old <> b.new) AS ran FROM n a JOIN n b ON b.n = (a.n + 1) % 25)
+SELECT 'customer' AS kind, c AS id, CAST(new AS BIGINT) AS value, ran FROM c WHERE n IN (SELECT n FROM n) UNION ALL SELECT 'nation', n, CAST(new AS BIGINT), ran FROM n UNION ALL SELECT 'cond', n, CAST(new AS BIGINT), ran FROM d""")
+def im_trace_verify(spark, sf_dir):
+    """Order totals are inputs; customers, nations and a choice for each nation are verified, then one order in 50 grows and all choices are
+    asked for again: what was looked at the second time, and whether it ran. Ids are 4 times the key plus 0 to 3 for the kind."""
+    orders, customer, nation = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    inputs = orders.select((F.col("o_orderkey") * 4).alias("node"), F.round(F.col("o_totalprice") * 100).cast("long").alias("old"), (F.col("o_orderkey") % 50 == 3).alias("changed"), "o_custkey")
+    mine = inputs.groupBy("o_custkey").agg(F.sort_array(F.collect_list("node")).alias("args"))
+    of = lambda key, kind: (F.col(key).cast("long") * 4 + kind).alias("node")
+    empty = F.array().cast("array<long>")
+    customers = customer.join(mine, F.col("c_custkey") == F.col("o_custkey"), "left").select(of("c_custkey", 1), F.lit("customer").alias("kind"), F.coalesce("args", empty).alias("args"), "c_nationkey")
+    theirs = customers.groupBy("c_nationkey").agg(F.sort_array(F.collect_list("node")).alias("args"))
+    nations = nation.join(theirs, F.col("n_nationkey") == F.col("c_nationkey"), "left").select(of("n_nationkey", 2), F.lit("nation").alias("kind"), F.coalesce("args", empty).alias("args"))
+    next_one = ((F.col("n_nationkey").cast("long") + 1) % 25) * 4 + 2
+    choices = nation.select(of("n_nationkey", 3), F.lit("cond").alias("kind"), F.array(F.col("n_nationkey").cast("long") * 4 + 2, next_one).alias("args"))
+    traces = Traces(spark, f"{shared_root(spark)}/traces-{uuid.uuid4().hex}", _rollup_body)
+    traces.register(customers.drop("c_nationkey").unionByName(nations).unionByName(choices))
+    asked = choices.select("node")
+    traces.verify(asked, inputs.select("node", F.col("old").alias("value"), F.lit(0).cast("long").alias("changed_at")), 1, 0)
+    grown = inputs.select("node", (F.col("old") + F.when(F.col("changed"), 30000).otherwise(0)).alias("value"), F.when(F.col("changed"), 2).otherwise(0).cast("long").alias("changed_at"))
+    found = traces.verify(asked, grown, 2, 1)
+    kind = F.element_at(F.array(F.lit("customer"), F.lit("nation"), F.lit("cond")), (F.col("node") % 4).cast("int"))
+    return found.select(kind.alias("kind"), F.expr("node div 4").alias("id"), "value", "ran")
+
+
+@register("im_deep_chains", """
+WITH o AS (SELECT o_orderkey AS k, row_number() OVER (ORDER BY o_orderkey) AS r FROM orders),
+s AS (SELECT k, r, r % 5003 = 77 AS missing, count(*) FILTER (r % 7001 = 1) OVER (ORDER BY r) AS chain FROM o),
+b AS (SELECT k, missing, coalesce(bool_or(missing) OVER (PARTITION BY chain ORDER BY r), false) AS bad FROM s)
+SELECT k AS node FROM b WHERE NOT bad""")
+def im_deep_chains(spark, sf_dir):
+    """Orders in chains of 7001, each resting on the one before; one in 5003 is missing, and all above it in its chain go."""
+    orders = numbered(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node")), "r", F.col("node"), [])
+    orders = cut(orders)
+    nodes = orders.where("r % 5003 <> 77")
+    below = orders.select(F.col("node").alias("dep"), (F.col("r") + 1).alias("r"))
+    edges = nodes.where("r % 7001 <> 1").join(below, "r").select("node", "dep")
+    return im.drop_dangling(edges, nodes)
+
+
+@register("im_cycle_components", """
+WITH o AS (SELECT o_custkey AS c, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS r FROM orders)
+SELECT min(k) AS component, count(*) AS n, string_agg(k, '>' ORDER BY r) || '>' || min(k) AS path FROM o WHERE c % 3 = 0 GROUP BY c, r // 6""")
+def im_cycle_components(spark, sf_dir):
+    """Each order of every third customer rests on the next one of its six, the last on the first; orders of others on their
+    customer's first, and firsts on those of the next customer but for every sixth: the sixes are the cycles."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("customer"), F.col("o_orderkey").alias("node"))
+    rows = orders.withColumn("six", F.expr("(row_number() OVER (PARTITION BY customer ORDER BY node) - 1) div 6"))
+    six = Window.partitionBy("customer", "six")
+    rows = cut(rows.withColumn("next", F.lead("node").over(six.orderBy("node"))).withColumn("first", F.min("node").over(six)))
+    edges = rows.where("customer % 3 = 0").select("node", F.coalesce("next", "first").alias("dep"))
+    firsts = rows.where("six = 0 AND node = first").select("customer", "first")
+    edges = edges.unionByName(rows.where("customer % 3 <> 0").join(firsts.withColumnRenamed("first", "dep"), "customer").where("node <> dep").select("node", "dep"))
+    following = firsts.select((F.col("customer") - 1).alias("customer"), F.col("first").alias("dep"))
+    edges = cut(edges.unionByName(firsts.where("customer % 6 <> 5").join(following, "customer").select(F.col("first").alias("node"), "dep")))
+    held = cut(im.components(edges))
+    sizes = held.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    return im.witnesses(edges, held).join(sizes, "component").select("component", "n", F.array_join("path", ">").alias("path"))
+
+
 @register("im_cycle_paths", """
 WITH RECURSIVE n AS (SELECT n_nationkey AS node FROM nation), e AS (SELECT node, (node * 3 + 1) % 25 AS dep FROM n UNION ALL SELECT node, (node + 7) % 25 FROM n WHERE node % 6 = 0),
 p AS (SELECT node AS start, [node] AS path, false AS closed FROM n UNION ALL

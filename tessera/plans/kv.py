@@ -110,6 +110,29 @@ def kv_commit_fold(spark, sf_dir):
     return kv.commit_fold(rows.select("part", "txn", F.col("l_linenumber").alias("key"), "begin", "commit"), "part")
 
 
+@register("kv_commit_rounds", """
+WITH RECURSIVE t AS (SELECT o_orderkey AS txn, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS commit FROM orders),
+w AS (SELECT txn, commit, greatest(0, commit - 1 - txn % 8) AS begin, l_partkey AS key FROM t JOIN lineitem ON l_orderkey = txn GROUP BY ALL),
+rivals AS (SELECT DISTINCT a.txn, b.txn AS other FROM w a JOIN w b ON a.key = b.key AND b.commit > a.begin AND b.commit < a.commit),
+o AS (SELECT txn, row_number() OVER (ORDER BY commit) AS nth FROM (SELECT DISTINCT txn, commit FROM w)),
+r AS (SELECT o.txn, o.nth, coalesce(list(p.nth) FILTER (p.nth IS NOT NULL), []) AS before FROM o LEFT JOIN rivals ON rivals.txn = o.txn LEFT JOIN o p ON p.txn = rivals.other GROUP BY ALL),
+lone AS (SELECT txn FROM r WHERE len(before) = 0),
+deep AS (SELECT txn, before, row_number() OVER (ORDER BY nth) AS step, nth FROM r WHERE len(before) > 0),
+f AS (SELECT 0::BIGINT AS step, []::BIGINT[] AS failed, NULL::BIGINT AS txn, NULL::BOOLEAN AS committed
+  UNION ALL
+  SELECT deep.step, CASE WHEN len(list_filter(before, lambda x : NOT list_contains(failed, x))) > 0 THEN list_append(failed, deep.nth) ELSE failed END, deep.txn, len(list_filter(before, lambda x : NOT list_contains(failed, x))) = 0
+  FROM f JOIN deep ON deep.step = f.step + 1)
+SELECT 0::BIGINT AS part, txn, true AS committed FROM lone UNION ALL SELECT 0, txn, committed FROM f WHERE txn IS NOT NULL""")
+def kv_commit_rounds(spark, sf_dir):
+    """One group of all orders: a transaction writes the parts of its lines, and began up to 8 commits before its own."""
+    orders, lines = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    at = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', o_orderdate)")
+    txns = numbered(orders.withColumnRenamed("o_orderkey", "txn"), "commit", at, ["txn"])
+    txns = txns.withColumn("begin", F.greatest(F.lit(0).cast("long"), F.col("commit") - 1 - F.col("txn") % 8))
+    rows = txns.join(lines, txns.txn == lines.l_orderkey).select(F.lit(0).cast("long").alias("part"), "txn", F.col("l_partkey").alias("key"), "begin", "commit")
+    return kv.commit_rounds(rows, "part")
+
+
 @register("kv_asof_join", LOG + """
 , q AS (SELECT event_id, key, version - 1 AS at FROM log WHERE event_type IN ('click', 'error'))
 SELECT q.event_id, q.key, q.at, CASE WHEN NOT l.is_delete THEN l.version END AS found_version, CASE WHEN NOT l.is_delete THEN l.value END AS value

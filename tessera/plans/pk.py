@@ -82,6 +82,21 @@ def pk_range_match(spark, sf_dir):
     return pk.matches(asked(spark, releases), releases).select("test", "target", v.version_text(F.col("found")).alias("version"))
 
 
+@register("pk_range_join", """
+WITH releases AS (SELECT DISTINCT l_suppkey AS package, year(l_shipdate) AS a, month(l_shipdate) AS b, day(l_shipdate) AS c FROM lineitem),
+asks AS (SELECT p_partkey AS asker, CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 1 + p_partkey % 97 END AS target, 1992 + p_size % 6 AS y, 1 + p_partkey % 12 AS m FROM part)
+SELECT asker, target, a || '.' || b || '.' || c AS found FROM asks JOIN releases ON package = target
+WHERE (a, b, c) >= (y, m, 0) AND (a, b, c) < (y + 1, m, 0) AND NOT (a = y AND b = m AND c IN (3, 4))""")
+def pk_range_join(spark, sf_dir):
+    """Every part asks a supplier for the days of a year but two; half of the parts ask the same one."""
+    lines, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    day = F.struct(*(f("l_shipdate").cast("long").alias(n) for f, n in ((F.year, "major"), (F.month, "minor"), (F.dayofmonth, "patch"))))
+    releases = lines.select(F.col("l_suppkey").cast("string").alias("package"), day.alias("version")).distinct()
+    spec = F.expr("concat('>=', 1992 + p_size % 6, '.', 1 + p_partkey % 12, '.0,<', 1993 + p_size % 6, '.', 1 + p_partkey % 12, '.0,!=', 1992 + p_size % 6, '.', 1 + p_partkey % 12, '.3,!=', 1992 + p_size % 6, '.', 1 + p_partkey % 12, '.4')")
+    asks = part.select(F.col("p_partkey").alias("asker"), F.expr("IF(p_partkey % 2 = 0, 1, 1 + p_partkey % 97)").cast("string").alias("target"), v.version_range(spec).alias("range"))
+    return pk.matches(asks, releases).select("asker", F.col("target").cast("long").alias("target"), v.version_text(F.col("found")).alias("found"))
+
+
 @register("pk_newest_match", RELEASES + f"""
 SELECT test, package AS target, first({TEXT} ORDER BY a DESC, b DESC, c DESC) FILTER ({INSIDE}) AS newest FROM releases, tests GROUP BY test, package""")
 def pk_newest_match(spark, sf_dir):
