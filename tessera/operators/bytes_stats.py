@@ -96,6 +96,13 @@ def varint_length(value: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.length(F.bin(value)) / 7)).cast("int")
 
 
+def varint_hex(value: Column) -> Column:
+    """The groups of seven bits of a non-negative long as hex, the lowest first; all but the last have their top bit set."""
+    last = varint_length(value) - 1
+    group = lambda i: F.call_function("shiftright", value, 7 * i).bitwiseAND(127).bitwiseOR(F.when(i < last, 128).otherwise(0))
+    return F.array_join(F.transform(F.sequence(F.lit(0), last), lambda i: F.lpad(F.hex(group(i)), 2, "0")), "")
+
+
 def bucket(value: Column, base: list[int]) -> tuple[Column, Column]:
     """The number of the last base at or below a value, and what is left over for extra bits."""
     below = F.filter(F.array(*map(F.lit, base)), lambda b: b <= value)

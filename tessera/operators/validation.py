@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A rule: severity ("error" or "warning"), the expression that holds where it is broken, its message.
@@ -79,6 +79,50 @@ def repaired(paths: DataFrame, path: str, prefix: str, junk: list[str]) -> DataF
     return rows.withColumn("repaired", cut)
 
 
+def artefact(path: Column, folders: list[str], parents: list[str], names: list[str], suffixes: list[str]) -> Column:
+    """Whether a path is something that a run leaves behind: a part of it is in `folders`, a folder of it in `parents`, or its
+    name is in `names` or ends in one of `suffixes`, the name being more than the suffix."""
+    parts = F.split(path, "/")
+    name = F.element_at(parts, -1)
+    listed = lambda words: F.array(*map(F.lit, words)).cast("array<string>")
+    ends = F.lit(False)
+    for suffix in suffixes:
+        ends = ends | (F.endswith(name, F.lit(suffix)) & (F.length(name) > len(suffix)))
+    above = F.slice(parts, F.lit(1), F.size(parts) - 1)
+    return F.arrays_overlap(parts, listed(folders)) | F.arrays_overlap(above, listed(parents)) | F.array_contains(listed(names), name) | ends
+
+
+def key_rules(keys: str, required: list[str], forbidden: list[str]) -> Rules:
+    """Rules for a column of keys: each required one is there, no forbidden one is."""
+    there = lambda k: F.coalesce(F.array_contains(keys, k), F.lit(False))
+    return {f"{k}_required": ("error", ~there(k)) for k in required} | {f"{k}_forbidden": ("error", there(k)) for k in forbidden}
+
+
+def threshold_rule(column: str) -> Rules:
+    """A threshold lies above 0 and is 1 at most; a missing one is no threshold."""
+    value = F.col(column)
+    return {f"{column}_threshold": ("error", ~F.coalesce((value > 0) & (value <= 1), F.lit(False)))}
+
+
+#: What a scan of identifiers cuts a text into: comments and quoted strings first, then words, then all else, one piece after the other.
+LEXEMES = r"""(?s)<!--.*?-->|/\*.*?\*/|"[^"\n]*"|'[^'\n]*'|[A-Za-z_][A-Za-z0-9_]*|[^A-Za-z_<"'/]+|."""
+WORD = "^[A-Za-z_][A-Za-z0-9_]*$"
+
+
+def identifiers(rows: DataFrame, key: str, text: str, allowed: DataFrame | None = None) -> DataFrame:
+    """key, start, word: the words of each text outside of comments and strings, with their places from 1, but for `allowed` (word).
+
+    One expression cuts a text into lexemes from left to right, so a quote inside a comment, or a comment's sign inside a
+    string, opens nothing; an open comment or quote without an end is a character like others. Lexemes lose no
+    character, so a running sum of their lengths, inside the text, gives the places.
+    """
+    pieces = rows.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(LEXEMES), F.lit(0))).alias("__at", "word"))
+    before = Window.partitionBy(key).orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    words = pieces.withColumn("start", (F.coalesce(F.sum(F.length("word")).over(before), F.lit(0)) + 1).cast("long")).where(F.col("word").rlike(WORD))
+    words = words.select(key, "start", "word")
+    return words if allowed is None else words.join(allowed.select("word"), "word", "left_anti").select(key, "start", "word")
+
+
 def content_hash(column: Column) -> Column:
     """The first 16 hex digits of the SHA-256."""
     return F.substring(F.sha2(column, 256), 1, 16)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import scoring as gr
@@ -247,3 +248,39 @@ def tl_stale_records(spark, sf_dir):
     now = tl_render_record(spark, sf_dir)
     stored = now.where("n_nationkey % 7 <> 3").withColumn("rendered", F.when(F.col("n_nationkey") % 5 == 1, F.concat("rendered", F.lit("\n- old"))).otherwise(F.col("rendered")))
     return tl.stale(now, stored, "n_nationkey", "rendered")
+
+
+PATHS = "SELECT p_partkey, CASE p_partkey % 9 WHEN 0 THEN 'a/__pycache__/x' WHEN 1 THEN 'verifier/x.py' WHEN 2 THEN 'a/verifier' WHEN 3 THEN 'b/score.json' WHEN 4 THEN 'b/x.pyc' WHEN 5 THEN 'b/.pyc' WHEN 6 THEN 'scores.json' WHEN 7 THEN '.git' ELSE 'c/d' || p_size || '.py' END AS path FROM part"
+
+
+@register("tl_artefacts", f"SELECT p_partkey, path FROM ({PATHS}) WHERE p_partkey % 9 IN (0, 1, 3, 4, 7)")
+def tl_artefacts(spark, sf_dir):
+    """Paths made of `part` that are left behind by a run."""
+    table(spark, sf_dir, "part").createOrReplaceTempView("part")
+    rows = spark.sql(PATHS.replace("p_size ||", "CAST(p_size AS STRING) ||"))
+    return rows.where(tl.artefact(F.col("path"), ["__pycache__", ".git"], ["verifier"], ["score.json"], [".pyc"]))
+
+
+@register("tl_key_rules", """
+WITH r AS (SELECT p_partkey, list_filter(['name', 'size', 'secret'], lambda k : CASE k WHEN 'name' THEN p_partkey % 7 <> 0 WHEN 'size' THEN p_size > 5 ELSE p_partkey % 11 = 0 END) AS keys, (p_partkey % 13 - 1) / 10.0 AS pass FROM part)
+SELECT p_partkey, 'name_required' AS rule FROM r WHERE NOT list_contains(keys, 'name') UNION ALL SELECT p_partkey, 'size_required' FROM r WHERE NOT list_contains(keys, 'size')
+UNION ALL SELECT p_partkey, 'secret_forbidden' FROM r WHERE list_contains(keys, 'secret') UNION ALL SELECT p_partkey, 'pass_threshold' FROM r WHERE pass <= 0 OR pass > 1""")
+def tl_key_rules(spark, sf_dir):
+    """Keys and a threshold made of `part`: which rules each row breaks."""
+    part = table(spark, sf_dir, "part")
+    keys = F.array_compact(F.array(F.when(F.col("p_partkey") % 7 != 0, "name"), F.when(F.col("p_size") > 5, "size"), F.when(F.col("p_partkey") % 11 == 0, "secret")))
+    rows = part.select("p_partkey", keys.alias("keys"), ((F.col("p_partkey") % 13 - 1) / 10).alias("pass"))
+    rules = tl.key_rules("keys", ["name", "size"], ["secret"]) | tl.threshold_rule("pass")
+    broken = F.array_compact(F.array(*(F.when(condition, F.lit(name)) for name, (_, condition) in rules.items())))
+    return rows.select("p_partkey", F.explode(broken).alias("rule"))
+
+
+@register("tl_identifiers", """
+WITH p AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<!--.*?-->|/\\*.*?\\*/|"[^"\\n]*"|''[^''\\n]*''|[A-Za-z_][A-Za-z0-9_]*|[^A-Za-z_<"''/]+|.')) AS word, generate_subscripts(regexp_extract_all(html, '(?s)<!--.*?-->|/\\*.*?\\*/|"[^"\\n]*"|''[^''\\n]*''|[A-Za-z_][A-Za-z0-9_]*|[^A-Za-z_<"''/]+|.'), 1) AS nth FROM pages),
+s AS (SELECT page_id, word, 1 + coalesce(sum(length(word)) OVER (PARTITION BY page_id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM p)
+SELECT page_id, word, CAST(min(start) AS BIGINT) AS start, count(*) AS n FROM s WHERE regexp_matches(word, '^[A-Za-z_][A-Za-z0-9_]*$') AND word NOT IN ('p', 'a', 'li', 'ul', 'div', 'br', 'b', 'href', 'class') GROUP BY page_id, word""")
+def tl_identifiers(spark, sf_dir):
+    """The words of each page's source outside of comments and strings, but for some tags: first place and count."""
+    allowed = spark.createDataFrame([(w,) for w in ("p", "a", "li", "ul", "div", "br", "b", "href", "class")], "word string")
+    found = tl.identifiers(table(spark, sf_dir, "pages"), "page_id", "html", allowed)
+    return found.groupBy("page_id", "word").agg(F.min("start").alias("start"), F.count(F.lit(1)).alias("n"))

@@ -43,6 +43,14 @@ def zs_varint_length(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", zs.varint_length(value).alias("bytes"))
 
 
+@register("zs_varint_bytes", """
+SELECT o_orderkey, array_to_string(list_transform(range(n), lambda i : printf('%02X', ((v >> (7 * i)::INT) & 127) | CASE WHEN i < n - 1 THEN 128 ELSE 0 END)), '') AS bytes
+FROM (SELECT o_orderkey, v, CASE WHEN v < 128 THEN 1 WHEN v < 16384 THEN 2 WHEN v < 2097152 THEN 3 WHEN v < 268435456 THEN 4 ELSE 5 END AS n FROM (SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) * (o_orderkey % 5) AS v FROM orders))""")
+def zs_varint_bytes(spark, sf_dir):
+    value = F.round(F.col("o_totalprice") * 100).cast("long") * (F.col("o_orderkey") % 5)
+    return table(spark, sf_dir, "orders").select("o_orderkey", value.alias("v")).select("o_orderkey", zs.varint_hex(F.col("v")).alias("bytes"))
+
+
 #: The first length and the first distance of each code.
 LENGTH_BASE = [3, 4, 5, 6, 7, 8, 9, 10, 11, 13, 15, 17, 19, 23, 27, 31, 35, 43, 51, 59, 67, 83, 99, 115, 131, 163, 195, 227, 258]
 DISTANCE_BASE = [1, 2, 3, 4, 5, 7, 9, 13, 17, 25, 33, 49, 65, 97, 129, 193, 257, 385, 513, 769, 1025, 1537, 2049, 3073, 4097, 6145]

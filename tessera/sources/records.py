@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import tomllib
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 try:
@@ -13,16 +16,10 @@ except ImportError:  # not part of the standard library
     yaml = None
 
 
-def _texts(spark: SparkSession, paths: str) -> list[tuple[str, bytes]]:
-    """Path and contents of configuration files, which are few and small."""
-    rows = spark.read.format("binaryFile").load(paths).select("path", "content").limit(10_000).collect()
-    return [(r.path, bytes(r.content)) for r in rows]
-
-
 def _fit(value, schema):
     """A parsed value with the fields of a schema: missing ones are null, others are left out."""
     if isinstance(schema, StructType):
-        return None if value is None else tuple(_fit(value.get(f.name), f.dataType) for f in schema.fields)
+        return None if value is None else {f.name: _fit(value.get(f.name), f.dataType) for f in schema.fields}
     return value
 
 
@@ -30,15 +27,25 @@ def _with_path(schema: StructType) -> StructType:
     return StructType([*StructType.fromDDL("path string").fields, *schema.fields])
 
 
+def _parsed(spark: SparkSession, paths: str, schema: StructType, parse: Callable[[str], dict]) -> DataFrame:
+    """One row for each file, however many there are; each is parsed in the task that reads it."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [{"path": path.as_py(), **_fit(parse(content.as_py().decode()), schema)} for path, content in zip(batch["path"], batch["content"], strict=True)]
+            yield pa.RecordBatch.from_pylist(found, to_arrow_schema(whole))
+
+    whole = _with_path(schema)
+    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(rows, whole)
+
+
 def read_toml(spark: SparkSession, paths: str, schema: StructType) -> DataFrame:
     """path and the schema's columns, one row for each file."""
-    rows = [(path, *_fit(tomllib.loads(raw.decode()), schema)) for path, raw in _texts(spark, paths)]
-    return spark.createDataFrame(rows, _with_path(schema))
+    return _parsed(spark, paths, schema, tomllib.loads)
 
 
 def read_yaml(spark: SparkSession, paths: str, schema: StructType) -> DataFrame:
     """path and the schema's columns, one row for each file."""
     if yaml is None:
         raise RuntimeError("no YAML parser is installed")
-    rows = [(path, *_fit(yaml.safe_load(raw), schema)) for path, raw in _texts(spark, paths)]
-    return spark.createDataFrame(rows, _with_path(schema))
+    return _parsed(spark, paths, schema, yaml.safe_load)
