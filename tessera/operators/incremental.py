@@ -44,11 +44,6 @@ def affected(changed: DataFrame, steps: list[tuple[DataFrame, str, str]]) -> lis
     return out
 
 
-def apply_delta(totals: DataFrame, delta: DataFrame, key: str, value: str) -> DataFrame:
-    """Totals with a delta added by key; only keys of the delta are touched."""
-    return totals.join(delta.withColumnRenamed(value, "__delta"), key, "full_outer").select(key, (F.coalesce(value, F.lit(0)) + F.coalesce("__delta", F.lit(0))).alias(value))
-
-
 def cutoff(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
     """Keys of recomputed values that differ from the old ones; the others stop the propagation."""
     was = old.select(F.col(key).alias("__key"), F.col(value).alias("__was"))
