@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import apply_decisions, doc_text, lookup, remove, shared_folder, small_batches, written
+from tessera.llm.common import BROADCAST_IDS, apply_decisions, doc_text, lookup, remove, shared_folder, small_batches, written
 
 SEGMENTS, WIDTH, MAX_BITS = 4, 16, 3
 #: Fingerprints under one key up to which the pairs are compared in the plan, and those in a block beyond.
@@ -157,7 +157,7 @@ def links_of(distinct: DataFrame, folder: str, small: int = SMALL, block: int =
     """a, b: pairs of distinct fingerprints that connect all that differ in at most MAX_BITS bits."""
     keys = chain_keys(distinct.select("fp"))
     live = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = written(keys.join(live, "key"), folder, "members")
+    members = written(keys.join(live.hint("merge"), "key"), folder, "members")  # the same plan at every size
     few = members.where(F.col("n") <= small).groupBy("key").agg(F.sort_array(F.collect_set("fp")).alias("fps"))
     pairs = few.select(F.explode(F.expr("transform(slice(fps, 1, size(fps) - 1), (x, i) -> struct(x AS a, filter(slice(fps, i + 2, size(fps)), y -> {0}) AS rest))".format(ring_passes("x", "y")))).alias("p"))
     pairs = pairs.select("p.a", F.explode("p.rest").alias("b")).distinct()
@@ -280,6 +280,10 @@ def verified_links(docs: DataFrame, members: DataFrame, folder: str, id_col: str
     blocks = blocks.withColumn("blocks", F.greatest("blocks", F.lit(1).cast("long")))
     dealt = lookup(members, blocks, "root", "n_nodes").withColumn("own", F.expr("pmod(xxhash64(node), blocks)")).drop("n_nodes", "n_words")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), doc_text(text_col).alias("text")).withColumn("hash", F.xxhash64("text"))
+    asked = members.select("hash")
+    if asked.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:  # else all texts are shuffled, behind Spark's own Bloom filter
+        texts = texts.join(F.broadcast(asked.distinct()), "hash", "left_semi")
+    dealt = dealt.hint("merge")  # the same plan at every size
     rows = texts.join(dealt, (texts.hash == dealt.hash) & texts.doc_id.eqNullSafe(dealt.first_id)).select("node", "root", "own", "blocks", "text")
     rows = rows.dropDuplicates(["node"])  # repeated rows
 
