@@ -11,7 +11,8 @@ what the pieces encode to, so that a piece is normalised and encoded once.
 
 Defined cases: a null text counts as empty; an empty text has no ids and decodes to the empty string; strings of
 special tokens inside a text become those tokens, as the tokenizers library does; a symbol that the vocabulary
-lacks is dropped; repeated rows are encoded each; further columns are ignored.
+lacks is dropped, and its neighbours then stand side by side; a very long text is encoded whole, in its row; repeated rows (ties)
+are encoded each; an empty table gives no rows; further columns stay, and one that has the name of an output is an error.
 """
 
 from __future__ import annotations
@@ -34,8 +35,9 @@ from tessera.llm.common import doc_text, small_batches
 
 #: ASCII white space, where texts are cut.
 _CUT = re.compile(r"[ \t\n\r\f\v]+")
-#: Pieces that a worker keeps; when full, the older half of what it saw goes.
-CACHE = 800_000
+#: Pieces that a worker keeps, of KEEP characters at most each, which bounds the cache in bytes; when full, the older half of
+#: what it saw goes.
+CACHE, KEEP = 800_000, 64
 
 
 def default_path() -> str:
@@ -78,7 +80,11 @@ class PrefixCoder:
             if flat:
                 self.automaton.add_word(flat, (len(flat), token))
         self.automaton.make_automaton()
+        #: Symbols of the alphabet, and those that can end a word.
+        self.inner = {t for t in vocab if len(t) == 1}
+        self.final = {t[: -len(end)] for t in vocab if t.endswith(end) and len(t) == len(end) + 1} if end else self.inner
         self._pairs: dict[tuple[str, str], bool] = {}
+        self._whole: dict[str, bool] = {}
 
     def _edge(self, token: str, right: bool) -> list[tuple[str, int]]:
         """The parts of a token along one edge, from the token to its base symbol, each with the rank of
@@ -106,7 +112,15 @@ class PrefixCoder:
             found = self._pairs[left, right] = self._stay_apart(left, right)
         return found
 
-    def _stay_apart(self, left: str, right: str) -> bool:
+    def whole(self, token: str) -> bool:
+        """Whether merging a token's own symbols gives the token: its parts are whole and nothing but the last merge joins them."""
+        found = self._whole.get(token)
+        if found is None:
+            made = self.made.get(token)
+            found = self._whole[token] = made is None or self.whole(made[0]) and self.whole(made[1]) and self._stay_apart(made[0], made[1], but_at_last=True)
+        return found
+
+    def _stay_apart(self, left: str, right: str, but_at_last: bool = False) -> bool:
         a, b = self._edge(left, True), self._edge(right, False)
         rank = self.rank
         for x, x_upto in a:
@@ -114,7 +128,7 @@ class PrefixCoder:
             for y, y_upto in b:
                 y_from = self.made[y][2] if y in self.made else -1
                 joint = rank.get((x, y))
-                if joint is None or x_from >= y_upto or y_from >= x_upto:
+                if joint is None or but_at_last and x == left and y == right or x_from >= y_upto or y_from >= x_upto:
                     continue
                 # x is taken up by a merge to the left of the border, so at equal rank it goes first;
                 # y is taken up by one to the right of it, so at equal rank the border goes first
@@ -124,14 +138,19 @@ class PrefixCoder:
 
     def encode(self, word: str) -> list[str]:
         """The tokens of one pre-token, whose end mark is not in `word` yet."""
-        flat = word + "\0" if self.end else word
+        if word and (word[-1] not in self.final or not self.inner.issuperset(word[:-1])):
+            ended = word[-1] in self.final
+            word = "".join([c for c in word[:-1] if c in self.inner]) + (word[-1] if ended else "")
+        else:
+            ended = True
+        flat = word + "\0" if self.end and ended else word
         n = len(flat)
         # last[i]: the unique last token of the first i characters, and where it starts
         last: list[tuple[str, int] | None] = [None] * (n + 1)
         for stop, (size, token) in self.automaton.iter(flat):
             stop += 1
             start = stop - size
-            if last[stop] is not None:
+            if last[stop] is not None or not self.whole(token):
                 continue
             if start == 0:
                 last[stop] = (token, 0)
@@ -174,7 +193,9 @@ class BpeTokenizer:
         if ids is None:
             if len(self._words) > self.cache // 4:
                 self._words.clear()
-            ids = self._words[word] = tuple(self.vocab[t] for t in self.coder.encode(word))
+            ids = tuple(self.vocab[t] for t in self.coder.encode(word))
+            if len(word) <= KEEP:
+                self._words[word] = ids
         return ids
 
     def piece(self, piece: str) -> tuple[int, ...]:
@@ -191,6 +212,8 @@ class BpeTokenizer:
         if found is None:
             ids = self.piece(piece)
             found = (len(ids), " ".join(map(str, ids)), " ".join([self.by_id[i] for i in ids]))
+        if len(piece) > KEEP:
+            return found
         if len(self._pieces) >= self.cache // 2:
             self._older, self._pieces = self._pieces, {}
         self._pieces[piece] = found
@@ -244,9 +267,16 @@ def tokenizer(path: str) -> BpeTokenizer:
     return BpeTokenizer(path)
 
 
+def _new(df: DataFrame, column: str) -> str:
+    """`column`, which must not be a column of `df` yet (names differ in more than case)."""
+    if column.lower() in {c.lower() for c in df.columns}:
+        raise ValueError(f"the table has a column {column!r}; name another one in out_col")
+    return column
+
+
 def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", out_col: str = "ids") -> DataFrame:
-    """`docs` with the ids of each whole text as an array of ints."""
-    path = path or default_path()
+    """`docs` with the ids of each whole text as an array of ints; ValueError if it has a column `out_col`."""
+    path, out_col = path or default_path(), _new(docs, out_col)
 
     @F.pandas_udf("array<int>")
     def ids(texts: pd.Series) -> pd.Series:
@@ -257,8 +287,8 @@ def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", out
 
 
 def decode(rows: DataFrame, path: str | None = None, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """`rows` with the text that each array of ids decodes to; a null array counts as empty."""
-    path = path or default_path()
+    """`rows` with the text that each array of ids decodes to; a null array counts as empty; ValueError if it has a column `out_col`."""
+    path, out_col = path or default_path(), _new(rows, out_col)
 
     @F.pandas_udf("string")
     def text(ids: pd.Series) -> pd.Series:

@@ -62,27 +62,41 @@ def _array(table) -> str:
     return "array(" + ", ".join(f"struct({n} AS rule, {quoted(label)} AS label, {p} AS priority, {quoted(f' {k} ')} AS keyword, {quoted(f' (?:{r})(?= )')} AS regex)" for n, label, p, k, r in table) + ")"
 
 
-#: All matches of a rule in __words with their places: a fold over what lies between the matches.
-_PLACES = """
-transform(filter({rules}, r -> contains(__words, r.keyword)), r -> aggregate(
-  zip_with(slice(split(__words, r.regex, -1), 1, size(regexp_extract_all(__words, r.regex, 0))), regexp_extract_all(__words, r.regex, 0), (g, h) -> struct(g AS gap, h AS hit)),
-  struct(0 AS at, CAST(array() AS ARRAY<STRUCT<start INT, stop INT, priority INT, rule INT, label STRING>>) AS found),
-  (s, m) -> struct(s.at + length(m.gap) + length(m.hit) AS at,
-    concat(s.found, array(struct(s.at + length(m.gap) AS start, s.at + length(m.gap) + length(m.hit) AS stop, r.priority AS priority, r.rule AS rule, r.label AS label))) AS found),
-  s -> s.found))
-"""
+#: Detections that a fold appends one by one before they are joined to the rest.
+CHUNK = 512
+_DETECTIONS = "CAST(array() AS ARRAY<STRUCT<start INT, stop INT, priority INT, rule INT, label STRING>>)"
 
-#: One sweep: `ends` has for each priority the furthest end of what stays or stood before.
-_SWEEP = """
-aggregate(
-  array_sort(__found, (a, b) -> CASE WHEN a.start <> b.start THEN a.start - b.start WHEN a.priority <> b.priority THEN a.priority - b.priority
-    WHEN a.stop <> b.stop THEN b.stop - a.stop ELSE a.rule - b.rule END),
-  struct(array({zeros}) AS ends, CAST(array() AS ARRAY<STRUCT<start INT, stop INT, priority INT, rule INT, label STRING>>) AS kept),
-  (s, d) -> struct(
-    transform(s.ends, (e, p) -> IF(p = d.priority, greatest(e, d.stop), e)) AS ends,
-    IF(exists(slice(s.ends, 1, d.priority + 1), e -> e >= d.stop), s.kept, concat(s.kept, array(d))) AS kept),
-  s -> s.kept)
-"""
+
+def _folded(rows: str, start: str, step: str) -> str:
+    """SQL: `rows` folded from `start` by `step`, a lambda from (s, d) to the next (at, found), to all that was found.
+
+    An array grows by being copied, so one that grew with every row would cost the square of a long text's detections. Rows
+    are folded in chunks, and only a chunk's findings are joined to the rest.
+    """
+    part = f"aggregate(slice(every, CAST(k * {CHUNK} + 1 AS INT), {CHUNK}), struct(s.at AS at, {_DETECTIONS} AS found), {step})"
+    return f"""element_at(transform(array({rows}), every -> aggregate(sequence(0L, greatest(size(every) - 1, 0) div {CHUNK}),
+  struct({start} AS at, {_DETECTIONS} AS found),
+  (s, k) -> element_at(transform(array({part}), p -> struct(p.at AS at, concat(s.found, p.found) AS found)), 1),
+  s -> s.found)), 1)"""
+
+
+#: All matches of a rule in __words with their places: a fold over what lies between the matches.
+_PLACES = "transform(filter({rules}, r -> contains(__words, r.keyword)), r -> " + _folded(
+    "element_at(transform(array(regexp_extract_all(__words, r.regex, 0)), hits -> zip_with(slice(split(__words, r.regex, -1), 1, size(hits)), hits, (g, h) -> struct(g AS gap, h AS hit))), 1)",
+    "0",
+    """(t, m) -> struct(t.at + length(m.gap) + length(m.hit) AS at,
+    concat(t.found, array(struct(t.at + length(m.gap) AS start, t.at + length(m.gap) + length(m.hit) AS stop, r.priority AS priority, r.rule AS rule, r.label AS label))) AS found)""",
+) + ")"
+
+#: One sweep: `at` has for each priority the furthest end of what stays or stood before.
+_SWEEP = _folded(
+    """array_sort(__found, (a, b) -> CASE WHEN a.start <> b.start THEN a.start - b.start WHEN a.priority <> b.priority THEN a.priority - b.priority
+    WHEN a.stop <> b.stop THEN b.stop - a.stop ELSE a.rule - b.rule END)""",
+    "array({zeros})",
+    """(t, d) -> struct(
+    transform(t.at, (e, i) -> IF(i = d.priority, greatest(e, d.stop), e)) AS at,
+    IF(exists(slice(t.at, 1, d.priority + 1), e -> e >= d.stop), t.found, concat(t.found, array(d))) AS found)""",
+)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table=None) -> DataFrame:

@@ -68,3 +68,37 @@ def test_whole_table(spark, coder):
         ids = library_ids(coder, texts[r.doc_id])
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(coder.library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def small_vocabulary():
+    """A coder and the library's tokenizer over one small vocabulary that lacks most letters."""
+    from tokenizers import Tokenizer, models
+
+    vocab = {t: i for i, t in enumerate(["a", "b", "c", "a</w>", "b</w>", "ab", "ab</w>", "ca", "cab", "abc"])}
+    merges = [("a", "b"), ("a", "b</w>"), ("c", "a"), ("ca", "b"), ("ab", "c")]
+    return vocab, bpe.PrefixCoder(vocab, merges, "</w>"), Tokenizer(models.BPE(vocab=vocab, merges=merges, end_of_word_suffix="</w>"))
+
+
+def test_symbols_that_the_vocabulary_lacks_are_dropped():
+    vocab, coder, library = small_vocabulary()
+    rng = random.Random(5)
+    words = ["aqb", "q", "qa", "aq", "cqab", "abq", "cab", "abc", *("".join(rng.choice("abcq") for _ in range(rng.randint(1, 9))) for _ in range(800))]
+    for word in words:
+        assert [vocab[t] for t in coder.encode(word)] == library.encode(word).ids, word
+
+
+def test_columns_with_the_name_of_an_output_are_an_error(spark):
+    docs = spark.createDataFrame([(1, "a b", "mine")], "doc_id long, text string, IDS string")
+    with pytest.raises(ValueError, match="out_col"):
+        bpe.encode(docs)
+    row = bpe.decode(bpe.encode(docs, out_col="tokens"), ids_col="tokens").first()
+    assert row.IDS == "mine" and row.decoded
+    with pytest.raises(ValueError, match="out_col"):
+        bpe.decode(bpe.encode(docs, out_col="tokens"), ids_col="tokens", out_col="text")
+
+
+def test_long_pieces_are_not_kept():
+    coder = BpeTokenizer(default_path())
+    for n in range(100):
+        coder.digest("x" * (bpe.KEEP + 1 + n) + " short")
+    assert max(map(len, coder._pieces)) <= bpe.KEEP and max(map(len, coder._words)) <= bpe.KEEP

@@ -1,8 +1,11 @@
 """The license scan against its definition in plain Python."""
 
 import re
+import time
 from re import _parser
 
+from pyspark.sql import functions as F
+
 from tessera.llm.license_rules import rules
 from tessera.llm.license_scan import CONFIDENCE, RESERVATION, gate_words, op1_license_scan, scan, spans
 
@@ -125,3 +128,11 @@ def test_mentions_need_a_license_word_and_reservations_yield(spark):
             (4, "released under MIT, shared under CC BY"), (5, "GPL-2.0-only or the gpl 2, CC-BY licence"), (6, "see GNU GPL 2")]
     got = {r.doc_id: sorted({d.label for d in r.kept or []}) for r in scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: ["mit"], 2: ["proprietary"], 3: [], 4: ["cc-by", "mit"], 5: ["cc-by", "gpl-2.0"], 6: ["gpl-2.0"]}
+
+
+def test_many_mentions_in_one_text(spark):
+    docs = spark.createDataFrame([(1, "released under the mit license and the apache license version 2.0 or gpl 2 " * 50_000)], "doc_id long, text string")
+    scan(docs.limit(0)).collect()
+    began = time.time()
+    row = scan(docs).select("n_words", F.size("kept").alias("n"), F.size("base").alias("b")).first()
+    assert row.n_words == 15 * 50_000 and row.n >= 100_000 and row.b == 100_000 and time.time() - began < 60
