@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 #: Three numbers without leading zeros.
 VERSION = r"^(0|[1-9][0-9]*)\.(0|[1-9][0-9]*)\.(0|[1-9][0-9]*)$"
-#: Two-character operators come first, so that ">=" is not read as ">".
 COMPARATOR = r"^(==|!=|>=|<=|>|<)\s*((?:0|[1-9][0-9]*)\.(?:0|[1-9][0-9]*)\.(?:0|[1-9][0-9]*))$"
 PACKAGE = r"^[a-z][a-z0-9]*(-[a-z0-9]+)*$"
 

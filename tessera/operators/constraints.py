@@ -227,3 +227,45 @@ def preferred(valid: DataFrame, requirements: DataFrame, roots: DataFrame, group
     best = rows.where(F.size("chosen") > 0).groupBy(group).agg(F.max(order).alias("b"))
     pairs = F.explode(F.arrays_zip(F.col("b.decided").alias("package"), F.col("b.versions").alias("version")))
     return best.select(group, pairs.alias("p")).select(group, F.col("p.package").alias("package"), F.col("p.version").alias("version"))
+
+
+def untrue_facts(facts: DataFrame, releases: DataFrame, requirements: DataFrame) -> DataFrame:
+    """fact of those facts (fact, package, versions, target, range) that the registry does not bear out: a release of the package
+    in `versions` has no requirement on the target, or its requirements together admit a release of it that `range` does not."""
+    covered = cut(matches(facts.select("fact", F.col("package").alias("target"), F.col("versions").alias("range"), F.col("target").alias("on")), releases).select("fact", F.col("target").alias("package"), F.col("found").alias("version"), F.col("on").alias("target")))
+    declared = cut(covered.join(requirements.select("package", "version", "target", "range").distinct(), ["package", "version", "target"]))
+    silent = covered.join(declared, ["fact", "version"], "left_anti").select("fact")
+    asked = declared.groupBy("fact", "version").agg(F.count(F.lit(1)).alias("asked"))
+    met = matches(declared, releases).groupBy("fact", "version", "found").agg(F.count(F.lit(1)).alias("met"))
+    really = met.join(asked, ["fact", "version"]).where("met = asked").select("fact", "found").distinct()
+    escapes = really.join(matches(facts.select("fact", "target", "range"), releases), ["fact", "found"], "left_anti")
+    return silent.unionByName(escapes.select("fact")).distinct()
+
+
+def explanation_problems(facts: DataFrame, releases: DataFrame, requirements: DataFrame, roots: DataFrame, group: str) -> DataFrame:
+    """group, problem, fact: what is wrong with explanations of why universes have no solution.
+
+    Facts are group, fact, package, versions, target, range; a fact without a package cites a root. E2: a cited root that nobody
+    asked for; E3: a fact that is untrue of the registry. Of explanations without these, E4: some choice meets all facts (fact is null);
+    and of those without E4, E5: a fact that is not needed. One look at every choice decides both: an explanation is sufficient
+    if every choice breaks a fact, and a fact is needed if some choice breaks that one alone, so no fact is left out in turn.
+    Choices are enumerated as in `assignments`, so this is for small universes.
+    """
+    facts = cut(facts)
+    name = lambda c: F.concat_ws(":", F.col(group).cast("string"), F.col(c)).alias(c)
+    told = facts.select(group, F.struct(group, "fact").alias("fact"), name("package"), "versions", name("target"), "range", F.col("package").isNotNull().alias("dep"))
+    never = facts.where("package IS NULL").join(roots, [group, "target", "range"], "left_anti").select(group, F.lit("E2").alias("problem"), "fact")
+    false = untrue_facts(told.where("dep"), releases.select(name("package"), "version"), requirements.select(name("package"), "version", name("target"), "range"))
+    problems = cut(never.unionByName(false.select(f"fact.{group}", F.lit("E3").alias("problem"), "fact.fact")))
+    sound = roots.select(group).distinct().join(problems, group, "left_anti")
+    entry = F.struct("fact", "package", "versions", "target", "range")
+    cited = sound.join(facts, group, "left").groupBy(group).agg(F.collect_list(F.when(F.col("fact").isNotNull(), entry)).alias("cited"))
+    picked = lambda p: F.element_at("chosen", p)
+    admits = lambda r, p: F.map_contains_key("chosen", p) & F.coalesce(contains(r, picked(p)), F.lit(False))
+    broken = lambda f: F.when(f["package"].isNull(), ~admits(f["range"], f["target"])).otherwise(admits(f["versions"], f["package"]) & ~admits(f["range"], f["target"]))
+    rows = assignments(releases, group).join(cited, group).select(group, F.transform(F.filter("cited", broken), lambda f: f["fact"]).alias("broken"))
+    seen = cut(rows.where("size(broken) <= 1").select(group, F.get("broken", F.lit(0)).alias("fact")).distinct())
+    open_ = seen.where("fact IS NULL").select(group, F.lit("E4").alias("problem"), F.lit(None).cast(dict(facts.dtypes)["fact"]).alias("fact"))
+    sufficient = facts.join(sound, group, "left_semi").join(open_, group, "left_anti")
+    spare = sufficient.join(seen, [group, "fact"], "left_anti").select(group, F.lit("E5").alias("problem"), "fact")
+    return problems.unionByName(open_).unionByName(spare)

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessera.operators import dataflow
 from tessera.operators import incremental as im
 from tessera.operators.lineage import cut, shared_root
 from tessera.operators.numbering import numbered
@@ -237,3 +238,50 @@ def im_differential(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     counted = lambda df: df.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
     return im.difference(counted(events), counted(events.where("event_id % 101 <> 7")), ["user_id", "event_type"], "n")
+
+
+#: Levels of nodes above the inputs of the dataflow queries.
+LEVELS = 4
+#: Outcomes by level l and customer k, as `_dataflow_graph` builds the graph.
+DATAFLOW = f"""
+WITH RECURSIVE c AS (SELECT c_custkey AS k, CAST(floor(abs(c_acctbal)) AS BIGINT) % 12 AS x, (SELECT count(*) FROM customer) AS n FROM customer),
+o AS (
+  SELECT 0 AS l, k, CASE WHEN k % 97 <> 5 THEN x END AS v, CASE WHEN k % 97 = 5 THEN 'none' END AS e FROM c
+  UNION ALL
+  SELECT l, k, CASE WHEN err IS NULL THEN val END AS v, err AS e FROM (
+    SELECT l, k,
+      CASE t WHEN 1 THEN CASE WHEN v1 % 2 = 0 THEN v2 ELSE v3 END WHEN 2 THEN CASE ((v1 % 3) + 3) % 3 WHEN 0 THEN v2 WHEN 1 THEN v3 ELSE v4 END
+             WHEN 3 THEN CASE WHEN v1 % 3 = 0 THEN v1 ELSE v1 + v2 + v3 + v4 END ELSE v1 + v2 + v3 END AS raw,
+      CASE WHEN t = 3 AND v1 % 3 = 0 THEN raw ELSE ((raw % m) + m) % m END AS val,
+      CASE t WHEN 1 THEN coalesce(e1, CASE WHEN v1 % 2 = 0 THEN e2 ELSE e3 END) WHEN 2 THEN coalesce(e1, CASE ((v1 % 3) + 3) % 3 WHEN 0 THEN e2 WHEN 1 THEN e3 ELSE e4 END)
+             WHEN 3 THEN coalesce(e1, CASE WHEN v1 % 3 <> 0 THEN coalesce(e2, e3, e4) END)
+             WHEN 4 THEN coalesce(e1, e2, e3, CASE WHEN raw % 3 = 0 THEN 'bad-' || ((raw % 2) + 2) % 2 END) ELSE coalesce(e1, e2, e3) END AS err
+    FROM (
+      SELECT l, k, t, m, CASE WHEN h THEN coalesce(v1, -length(e1)) ELSE v1 END AS v1, CASE WHEN h THEN coalesce(v2, -length(e2)) ELSE v2 END AS v2,
+        CASE WHEN h THEN coalesce(v3, -length(e3)) ELSE v3 END AS v3, CASE WHEN h THEN coalesce(v4, -length(e4)) ELSE v4 END AS v4,
+        CASE WHEN NOT h THEN e1 END AS e1, CASE WHEN NOT h THEN e2 END AS e2, CASE WHEN NOT h THEN e3 END AS e3, CASE WHEN NOT h THEN e4 END AS e4
+      FROM (
+        SELECT p.l + 1 AS l, c.k, (c.k + p.l + 1) % 5 AS t, 2 + (c.k + p.l + 1) % 4 AS m, (c.k + 2 * (p.l + 1)) % 4 = 0 AS h,
+          p.v AS v1, p.e AS e1, q.v AS v2, q.e AS e2, r.v AS v3, r.e AS e3, s.v AS v4, s.e AS e4
+        FROM c JOIN o p ON p.k = c.k JOIN o q ON q.k = (c.k * 3 + 1) % c.n JOIN o r ON r.k = (c.k * 7 + 2) % c.n JOIN o s ON s.k = (c.k + p.l + 1) % c.n WHERE p.l < {LEVELS}))))
+"""
+
+
+def _dataflow_graph(spark, sf_dir):
+    """inputs and nodes: each customer's balance is an input, and on every level above each customer has a node, of a kind that its key and
+    level give, over nodes of the level below. Ids are 8 times the key plus the level."""
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("k"), "c_acctbal")
+    n = customers.count()
+    balance = F.when(F.col("k") % 97 != 5, F.floor(F.abs("c_acctbal")).cast("long") % 12)
+    inputs = customers.select((F.col("k") * 8).alias("node"), balance.alias("value"))
+    rows = customers.select("k", F.explode(F.expr(f"sequence(1L, {LEVELS}L)")).alias("l"))
+    keys = F.array(F.col("k"), (F.col("k") * 3 + 1) % n, (F.col("k") * 7 + 2) % n, (F.col("k") + F.col("l")) % n)
+    kind = F.element_at(F.array(*map(F.lit, dataflow.KINDS)), ((F.col("k") + F.col("l")) % 5 + 1).cast("int"))
+    args = F.transform(F.slice(keys, 1, F.when(kind.isin("select", "guard"), 4).otherwise(3)), lambda a: a * 8 + F.col("l") - 1)
+    return inputs, rows.select((F.col("k") * 8 + F.col("l")).alias("node"), kind.alias("kind"), args.alias("args"), (2 + (F.col("k") + F.col("l")) % 4).alias("m"), ((F.col("k") + 2 * F.col("l")) % 4 == 0).alias("handles"))
+
+
+@register("im_dataflow_outcomes", DATAFLOW + "SELECT k AS customer, l AS level, CAST(v AS BIGINT) AS value, e AS error FROM o WHERE l > 0")
+def im_dataflow_outcomes(spark, sf_dir):
+    inputs, nodes = _dataflow_graph(spark, sf_dir)
+    return dataflow.evaluate(nodes, inputs).select(F.expr("node div 8").alias("customer"), (F.col("node") % 8).cast("int").alias("level"), "value", "error")

@@ -226,3 +226,37 @@ def pk_solve(spark, sf_dir):
 def pk_explain(spark, sf_dir):
     """universe, cause of the universes without a solution; the causes have none together and one without any of them."""
     return solver.resolve(*universes(spark, sf_dir), "universe").where("NOT solved").select("universe", "cause")
+
+
+#: Explanations of the universes: all roots and requirements, one fact a release; those of u % 3 = 1 say nothing of b, of u % 4 = 2 cite a root on
+#: c, and of u % 4 = 3 that a 0 asks for c >= 2.
+@register("pk_explanation_problems", UNIVERSES + """
+, told AS (
+  SELECT u, 'root a' AS fact, NULL AS package, NULL AS x, 'a' AS target, CASE WHEN u % 5 = 0 THEN '==3.0.0' ELSE '*' END AS spec FROM (SELECT DISTINCT u FROM rel)
+  UNION ALL SELECT DISTINCT u, 'root b', NULL, NULL, 'b', '<3.0.0' FROM rel WHERE u % 2 = 0
+  UNION ALL SELECT DISTINCT u, 'root c', NULL, NULL, 'c', '*' FROM rel WHERE u % 4 = 2
+  UNION ALL SELECT DISTINCT u, 'a 0 c>=2.0.0', 'a', 0, 'c', '>=2.0.0' FROM rel WHERE u % 4 = 3
+  UNION ALL SELECT u, package || ' ' || x || ' ' || target || spec, package, x, target, spec FROM req),
+facts AS (SELECT *, regexp_extract(spec, '^[^0-9]+') AS op, TRY_CAST(regexp_extract(spec, '([0-9]+)[.]', 1) AS INTEGER) AS n FROM told WHERE u % 3 <> 1 OR target <> 'b'),
+early AS (SELECT u, 'E2' AS problem, fact FROM facts WHERE fact = 'root c' UNION ALL SELECT u, 'E3', fact FROM facts WHERE fact = 'a 0 c>=2.0.0' AND EXISTS (SELECT 1 FROM rel WHERE rel.u = facts.u AND rel.package = 'a' AND rel.x = 0)),
+sound AS (SELECT DISTINCT u FROM rel WHERE u NOT IN (SELECT u FROM early)),
+xs AS (SELECT DISTINCT u, package, x FROM rel UNION ALL SELECT DISTINCT u, package, NULL FROM (SELECT u FROM sound) CROSS JOIN (VALUES ('a'), ('b'), ('c')) t(package)),
+choices AS (SELECT a.u, a.x AS xa, b.x AS xb, c.x AS xc FROM xs a JOIN xs b ON a.u = b.u AND b.package = 'b' JOIN xs c ON a.u = c.u AND c.package = 'c' JOIN sound s ON s.u = a.u WHERE a.package = 'a'),
+held AS (
+  SELECT u, xa, xb, xc, fact, (package IS NULL OR coalesce(CASE package WHEN 'a' THEN xa WHEN 'b' THEN xb ELSE xc END = x, false))
+    AND NOT coalesce(CASE op WHEN '>=' THEN y >= n WHEN '<=' THEN y <= n WHEN '!=' THEN y <> n WHEN '==' THEN y = n WHEN '<' THEN y < n ELSE y IS NOT NULL END, false) AS broken
+  FROM (SELECT c.u, xa, xb, xc, fact, f.package, f.x, op, n, CASE f.target WHEN 'a' THEN xa WHEN 'b' THEN xb ELSE xc END AS y FROM choices c JOIN facts f ON f.u = c.u)),
+seen AS (SELECT DISTINCT u, one FROM (SELECT u, count(*) FILTER (broken) AS k, min(fact) FILTER (broken) AS one FROM held GROUP BY u, xa, xb, xc) WHERE k <= 1)
+SELECT u AS universe, problem, fact FROM early UNION ALL SELECT u, 'E4', NULL FROM seen WHERE one IS NULL
+UNION ALL SELECT f.u, 'E5', fact FROM facts f JOIN sound USING (u) WHERE f.u NOT IN (SELECT u FROM seen WHERE one IS NULL) AND NOT EXISTS (SELECT 1 FROM seen s WHERE s.u = f.u AND s.one = f.fact)""")
+def pk_explanation_problems(spark, sf_dir):
+    releases, requirements, roots = universes(spark, sf_dir)
+    only = lambda x: v.version_range(F.concat(F.lit("=="), x.cast("string"), F.lit(".0.0")))
+    none = F.lit(None).cast("string")
+    cited = roots.select("universe", F.concat(F.lit("root "), F.col("target")).alias("fact"), none.alias("package"), F.when(F.lit(False), F.col("range")).alias("versions"), "target", "range")
+    told = requirements.select("universe", F.concat_ws(" ", "package", F.col("version.major").cast("string"), F.concat("target", v.range_text(F.col("range")))).alias("fact"), "package", only(F.col("version.major")).alias("versions"), "target", "range")
+    named = roots.select("universe").distinct()
+    never = named.where("universe % 4 = 2").select("universe", F.lit("root c").alias("fact"), none.alias("package"), F.when(F.lit(False), v.version_range(F.lit("*"))).alias("versions"), F.lit("c").alias("target"), v.version_range(F.lit("*")).alias("range"))
+    false = named.where("universe % 4 = 3").select("universe", F.lit("a 0 c>=2.0.0").alias("fact"), F.lit("a").alias("package"), only(F.lit(0)).alias("versions"), F.lit("c").alias("target"), v.version_range(F.lit(">=2.0.0")).alias("range"))
+    facts = cited.unionByName(told).unionByName(never).unionByName(false).where("universe % 3 <> 1 OR target <> 'b'")
+    return pk.explanation_problems(facts, releases, requirements, roots, "universe")
