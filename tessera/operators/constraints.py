@@ -6,6 +6,8 @@ with versions and ranges as in tessera.functions.versions.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from tessera.operators.numbering import running_count
 
 #: Releases in a bin, and spans of requirements that meet a bin in one task.
 BIN, SPANS = 1024, 4096
+#: Pairs that one ask makes in a task, about, and rows of a table that may be broadcast.
+MADE, FEW = 1_000_000, 100_000
 #: Before and after all versions.
 LEAST = "struct(struct(-1L AS major, -1L AS minor, -1L AS patch) AS version, 0 AS side)"
 MOST = "struct(struct(9223372036854775807L AS major, 0L AS minor, 0L AS patch) AS version, 2 AS side)"
@@ -60,9 +64,11 @@ def matches(requirements: DataFrame, releases: DataFrame, bin_size: int = BIN, s
 
     A range join by bins: releases are gathered into bins of `bin_size` ordinals, spans ask for the bins that they meet, and a span takes
     from a bin the slice that is its own, so only admitted pairs come out. A bin that many spans ask for is copied for
-    every `share` of them, so neither a package with many releases nor a range that many have makes a large task.
+    every `share` of them, so neither a package with many releases nor a range that many have makes a large task. Slices stay
+    arrays until they meet the requirements, which are dealt by the pairs that they make.
     """
-    asks, spans, placed = ordinal_spans(requirements, releases)
+    asks, spans, placed = ordinal_spans(requirements, _offered(requirements, releases))
+    spans = cut(spans)
     bins = placed.groupBy(F.expr(f"ordinal div {bin_size}").alias("bin")).agg(F.min("ordinal").alias("first"), F.sort_array(F.collect_list(F.struct("ordinal", "version"))).alias("held"))
     wanted = spans.withColumn("bin", F.explode(F.expr(f"sequence(low div {bin_size}, (high - 1) div {bin_size})")))
     wanted = wanted.withColumn("part", F.expr(f"pmod(xxhash64(ask, low), {PARTS})"))
@@ -70,9 +76,32 @@ def matches(requirements: DataFrame, releases: DataFrame, bin_size: int = BIN, s
     copies = wanted.groupBy("bin").agg(F.least(F.lit(PARTS), F.ceil(F.count(F.lit(1)) / share)).cast("int").alias("copies"))
     wanted = wanted.join(copies, "bin").withColumn("copy", F.expr("pmod(part, copies)")).drop("part", "copies")
     bins = bins.join(copies, "bin").withColumn("copy", F.explode(F.expr("sequence(0, copies - 1)"))).drop("copies")
-    inside = F.expr("slice(held, CAST(greatest(low - first, 0) + 1 AS INT), CAST(least(high - first, size(held)) - greatest(low - first, 0) AS INT))")
-    pairs = wanted.join(bins, ["bin", "copy"]).select("ask", F.explode(inside).alias("h")).select("ask", F.col("h.version").alias("found"))
-    return _asked(requirements, asks).join(pairs, "ask").drop("ask")
+    inside = F.expr("slice(held, CAST(greatest(low - first, 0) + 1 AS INT), CAST(least(high - first, size(held)) - greatest(low - first, 0) AS INT)).version")
+    slices = wanted.join(bins, ["bin", "copy"]).select("ask", inside.alias("__slice"))
+    return _dealt(_asked(requirements, asks), spans, slices).select(*requirements.columns, F.explode("__slice").alias("found"))
+
+
+def _offered(requirements: DataFrame, releases: DataFrame) -> DataFrame:
+    """The releases of packages that are asked for, made once; all releases where those packages are too many to be broadcast."""
+    targets = cut(requirements.select(F.col("target").alias("package")).where("package IS NOT NULL").distinct())
+    return cut(releases.join(F.broadcast(targets), "package", "left_semi") if targets.count() <= FEW else releases)
+
+
+def _dealt(asked: DataFrame, spans: DataFrame, slices: DataFrame) -> DataFrame:
+    """`asked` with each slice of its ask, in partitions counted by the pairs to come, not by the bytes that are joined.
+
+    An ask that makes more than MADE pairs is dealt into copies of its slices, for 8 requirements each at least.
+    """
+    sizes = spans.groupBy("ask").agg(F.sum(F.col("high") - F.col("low")).alias("m")).join(asked.groupBy("ask").agg(F.count(F.lit(1)).alias("n")), "ask")
+    sizes = cut(sizes.select("ask", (F.col("n") * F.col("m")).alias("made"), F.least(F.ceil(F.col("n") * F.col("m") / MADE), F.ceil(F.col("n") / 8)).cast("int").alias("__copies")))
+    made, n = sizes.agg(F.coalesce(F.sum("made"), F.lit(0)), F.count(F.lit(1))).first()
+    parts = max(int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(made / MADE))
+    copies = sizes.select("ask", "__copies")
+    copies = F.broadcast(copies) if n <= FEW else copies
+    hashed = [c for c, kind in asked.dtypes if "map<" not in kind]
+    left = asked.join(copies, "ask").withColumn("__copy", F.pmod(F.xxhash64(*hashed), "__copies").cast("int")).drop("__copies")
+    right = slices.join(copies, "ask").withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1))).drop("__copies")
+    return left.repartition(parts, "ask", "__copy").join(right.repartition(parts, "ask", "__copy"), ["ask", "__copy"])
 
 
 #: Copies of a bin at most.
@@ -81,7 +110,8 @@ PARTS = 1 << 16
 
 def _asked(requirements: DataFrame, asks: DataFrame) -> DataFrame:
     """`requirements` with the number of their target and range."""
-    return requirements.join(asks, ["target", "range"]).select(*requirements.columns, "ask")
+    few = F.broadcast(asks) if asks.count() <= FEW else asks
+    return requirements.join(few, ["target", "range"]).select(*requirements.columns, "ask")
 
 
 def newest_match(requirements: DataFrame, releases: DataFrame, by: list[str]) -> DataFrame:
@@ -89,7 +119,7 @@ def newest_match(requirements: DataFrame, releases: DataFrame, by: list[str]) ->
 
     It is the last release of the last span: one row for each distinct range, no pairs.
     """
-    asks, spans, placed = ordinal_spans(requirements, releases)
+    asks, spans, placed = ordinal_spans(requirements, _offered(requirements, releases))
     last = spans.groupBy("ask").agg((F.max("high") - 1).alias("ordinal")).join(placed, "ordinal").select("ask", F.col("version").alias("found"))
     best = _asked(requirements, asks).join(last, "ask").groupBy(*by).agg(F.max("found").alias("newest"))
     return requirements.join(best, by, "left")

@@ -79,3 +79,14 @@ def test_no_task_holds_a_hot_package(spark):
     assert 40 <= spans.count() <= 80
     counts = {r.asker: r["count"] for r in pk.matches(asked, made, 256, 8).groupBy("asker").count().collect()}
     assert len(counts) == 40 and set(counts.values()) <= {n // 2, n // 2 - 1} and len(set(counts.values())) == 2
+
+
+def test_pairs_of_one_range_are_dealt(spark, monkeypatch):
+    """Half of the askers have one range: its pairs come from many tasks; packages that nobody asks for are left out first."""
+    monkeypatch.setattr(pk, "MADE", 2000)
+    made = spark.range(400).select(F.when(F.col("id") < 100, "hot").otherwise("cold").alias("package"), F.struct(F.col("id").alias("major"), F.lit(0).cast("long").alias("minor"), F.lit(0).cast("long").alias("patch")).alias("version"))
+    asked = spark.range(800).select("id", F.lit("hot").alias("target"), v.version_range(F.expr("IF(id % 2 = 0, '*', concat('>=', id % 90, '.0.0'))")).alias("range"))
+    rows = pk.matches(asked, made)
+    counts = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(counts) == 400 * 100 + sum(100 - i % 90 for i in range(1, 800, 2)) and max(counts) < sum(counts) / 5
+    assert pk._offered(asked, made).count() == 100
