@@ -148,12 +148,17 @@ def contiguous_runs(releases: DataFrame, flag: str) -> DataFrame:
 
 def learned_window(releases: DataFrame, requirements: DataFrame) -> DataFrame:
     """package, target, allowed: if every release of a package asks for a target, the target's versions that at
-    least one of them admits; several requirements of one release must all admit a version."""
-    asks = requirements.groupBy("package", "version", "target").agg(F.count(F.lit(1)).alias("asked"))
+    least one of them admits; several requirements of one release must all admit a version.
+
+    Releases of a package that ask for a target in the same ranges are one, so pairs are made for each set of ranges only.
+    """
+    asks = requirements.groupBy("package", "version", "target").agg(F.collect_set("range").alias("ranges"), F.count_if(F.col("range").isNull()).alias("broken"))
     every = asks.groupBy("package", "target").agg(F.count(F.lit(1)).alias("n")).join(releases.groupBy("package").agg(F.count(F.lit(1)).alias("n")), ["package", "n"]).select("package", "target")
-    admitted = matches(requirements, releases).groupBy("package", "version", "target", "found").agg(F.count(F.lit(1)).alias("met"))
-    both = admitted.join(asks, ["package", "version", "target"]).where("met = asked")
-    return every.join(both, ["package", "target"]).groupBy("package", "target").agg(F.sort_array(F.collect_set("found")).alias("allowed"))
+    # no version meets a requirement without a range
+    sets = cut(asks.where("broken = 0").join(every, ["package", "target"]).select("package", "target", F.array_sort("ranges").alias("ranges")).distinct().withColumn("set", F.monotonically_increasing_id()))
+    admitted = matches(sets.select("set", "target", F.explode("ranges").alias("range")), releases.distinct())
+    met = admitted.groupBy("set", "found").agg(F.count(F.lit(1)).alias("met")).join(sets.select("set", "package", "target", F.size("ranges").alias("met")), ["set", "met"])
+    return met.groupBy("package", "target").agg(F.sort_array(F.collect_set("found")).alias("allowed"))
 
 
 def closure(edges: DataFrame, starts: DataFrame) -> DataFrame:

@@ -90,3 +90,22 @@ def test_pairs_of_one_range_are_dealt(spark, monkeypatch):
     counts = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(counts) == 400 * 100 + sum(100 - i % 90 for i in range(1, 800, 2)) and max(counts) < sum(counts) / 5
     assert pk._offered(asked, made).count() == 100
+
+
+def test_a_learned_window_makes_pairs_for_sets_of_ranges(spark, monkeypatch):
+    """300 releases that ask alike count as one; all ranges of a release must hold, and a release without a range admits nothing."""
+    rows = [("a", i, 0, 0, "t", spec) for i in range(300) for spec in (">=1.0.0", "<4.0.0")] + [("b", 0, 0, 0, "t", "==6.0.0"), ("b", 1, 0, 0, "t", "bad"), ("c", 0, 0, 0, "t", "*")]
+    asks = spark.createDataFrame(rows, "package string, major long, minor long, patch long, target string, spec string")
+    asks = asks.select("package", F.struct("major", "minor", "patch").alias("version"), "target", v.version_range(F.col("spec")).alias("range"))
+    made = spark.createDataFrame([("t", i, 0, 0) for i in range(9)] + [("c", i, 0, 0) for i in range(2)], "package string, major long, minor long, patch long").select("package", F.struct("major", "minor", "patch").alias("version"))
+    made = made.unionByName(asks.where("package <> 'c'").select("package", "version").distinct())
+    pairs, plain = [], pk.matches
+
+    def counted(*args):
+        pairs.append(plain(*args).count())
+        return plain(*args)
+
+    monkeypatch.setattr(pk, "matches", counted)
+    got = {(r.package, r.target): [f.major for f in r.allowed] for r in pk.learned_window(made, asks).collect()}
+    assert got == {("a", "t"): [1, 2, 3], ("b", "t"): [6]}
+    assert sum(pairs) == 8 + 4 + 1
