@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,24 +17,47 @@ from pyspark.sql import functions as F
 LONGEST = 15
 #: Bytes of a stream coded at a time, and the window (a power of two) that matches reach back over.
 BLOCK, WINDOW_BITS = 8192, 13
+#: Bytes of a text that are counted at a time, and keys whose counts a task holds.
+SLICE, KEYS = 1 << 20, 1024
 #: What adding one occurrence counts for in contextual counts.
 HIT = 16
 
 
 def byte_histogram(rows: DataFrame, column: str, by: str | None = None) -> DataFrame:
-    """by, byte, n over all bytes of a text or binary column; counted in each task before the shuffle."""
+    """by, byte, n over all bytes of a text or binary column; counted in each task before the shuffle. A null `by` is a key like others."""
     keys = [by] if by else []
     data = rows.select(*keys, F.col(column).cast("binary").alias("__bytes")).where("__bytes IS NOT NULL")
     kind = f"{by} {dict(rows.dtypes)[by]}, " if by else ""
+    return data.mapInArrow(lambda batches: count_bytes(batches, by), f"{kind}byte int, n long").groupBy(*keys, "byte").agg(F.sum("n").alias("n"))
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for key, part in pdf.groupby(by) if by else [(None, pdf)]:
-                n = np.bincount(np.frombuffer(b"".join(part["__bytes"]), np.uint8), minlength=256)
-                at = np.flatnonzero(n)
-                yield pd.DataFrame(({by: key} if by else {}) | {"byte": at.astype("int32"), "n": n[at]})
 
-    return data.mapInPandas(count, f"{kind}byte int, n long").groupBy(*keys, "byte").agg(F.sum("n").alias("n"))
+def count_bytes(batches: Iterable[pa.RecordBatch], by: str | None) -> Iterator[pa.RecordBatch]:
+    """by, byte, n of batches whose last column is binary and whose first one, if `by` is given, is the key.
+
+    What is held is a batch as Arrow made it and the counts of KEYS keys; SLICE bytes are counted at a time, as numpy widens what it counts.
+    """
+    totals: dict = {}
+    of = None
+
+    def told() -> pa.RecordBatch:
+        at = [np.flatnonzero(n) for n in totals.values()]
+        columns = {by: pa.array([key for key, found in zip(totals, at, strict=True) for _ in found], of)} if by else {}
+        columns["byte"] = pa.array(np.concatenate(at).astype("int32"))
+        columns["n"] = pa.array(np.concatenate([n[found] for n, found in zip(totals.values(), at, strict=True)]))
+        return pa.RecordBatch.from_pydict(columns)
+
+    for batch in batches:
+        of = batch.column(0).type
+        for i, value in enumerate(batch.column(batch.num_columns - 1)):
+            key = batch.column(0)[i].as_py() if by else None
+            if key not in totals and len(totals) == KEYS:
+                yield told()
+                totals = {}
+            raw, n = np.frombuffer(value.as_buffer(), np.uint8), totals.setdefault(key, np.zeros(256, np.int64))
+            for at in range(0, len(raw), SLICE):
+                n += np.bincount(raw[at : at + SLICE], minlength=256)
+    if totals:
+        yield told()
 
 
 def context_counts(rows: DataFrame, column: str) -> DataFrame:
@@ -44,8 +68,11 @@ def context_counts(rows: DataFrame, column: str) -> DataFrame:
         for pdf in batches:
             total = np.zeros(1024, np.int64)
             for raw in pdf["__bytes"]:
-                b = np.frombuffer(raw, np.uint8).astype(np.int64)
-                total += np.bincount(np.concatenate((np.zeros(min(1, len(b)), np.int64), b[:-1] >> 6)) * 256 + b, minlength=1024)
+                whole, before = np.frombuffer(raw, np.uint8), 0
+                for at in range(0, len(whole), SLICE):
+                    b = whole[at : at + SLICE].astype(np.int64)
+                    total += np.bincount(np.concatenate(([before], b[:-1] >> 6)) * 256 + b, minlength=1024)
+                    before = b[-1] >> 6
             at = np.flatnonzero(total)
             yield pd.DataFrame({"context": (at >> 8).astype("int32"), "byte": (at & 255).astype("int32"), "n": total[at] * HIT})
 

@@ -91,3 +91,31 @@ def test_column_functions(spark):
     back = rows.select("raw", zs.decompress_column(zs.compress_column(F.col("raw"))).alias("back"))
     assert all(r.raw == r.back for r in back.collect())
     assert zlib.crc32(b"") == 0
+
+
+def test_counting_bytes_holds_a_slice(monkeypatch):
+    """A batch of 64 MB is counted within a few slices of memory; keys beyond the limit are told early."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"lang": pa.array(["x", None] * 32), "__bytes": pa.array([b"ab" * (1 << 19)] * 64, pa.binary())})
+    tracemalloc.start()
+    found = list(zs.count_bytes([batch], "lang"))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 * zs.SLICE
+    assert sorted(tuple(r.values()) for b in found for r in b.to_pylist() if r["lang"]) == [("x", 97, 1 << 24), ("x", 98, 1 << 24)]
+    monkeypatch.setattr(zs, "KEYS", 2)
+    batch = pa.RecordBatch.from_pydict({"k": pa.array([1, 2, 3, 1]), "__bytes": pa.array([b"a", b"", b"bb", b"a"], pa.binary())})
+    assert [b.to_pylist() for b in zs.count_bytes([batch], "k")] == [[{"k": 1, "byte": 97, "n": 1}], [{"k": 3, "byte": 98, "n": 2}, {"k": 1, "byte": 97, "n": 1}]]
+
+
+def test_a_null_key_and_long_texts_are_counted(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(None, "aab"), ("x", "b"), ("x", None), (None, "")], "lang string, text string")
+    assert {tuple(r) for r in zs.byte_histogram(rows, "text", "lang").collect()} == {(None, 97, 2), (None, 98, 1), ("x", 98, 1)}
+    assert {tuple(r) for r in zs.huffman_sizes(zs.byte_histogram(rows, "text", "lang"), "lang").collect()} == {(None, 3, 1), ("x", 1, 1)}
+    long = spark.range(1).select(F.expr("repeat(decode(unhex('C3A941'), 'UTF-8'), 900000)").alias("text"))
+    assert {tuple(r) for r in zs.context_counts(long, "text").collect()} == {(0, 0xC3, 16), (1, 0xC3, 16 * 899_999), (3, 0xA9, 16 * 900_000), (2, 0x41, 16 * 900_000)}
