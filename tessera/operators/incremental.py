@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,27 +71,92 @@ def drop_dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     Pointer jumping: an edge to a node that itself rests on one other only is led on to that other one, so chains shorten by
     half in each round, and only the edges of nodes that are still open are kept, never all pairs of a closure. A node is
     good when no edge of it is left, bad when an edge leads to a bad one. When a round settles no node, what is left
-    rests on cycles only and stays. Repeated edges count once, and so does an edge of a node to itself.
+    rests on cycles only and stays. Repeated edges count once, and an edge of a node to itself does not count.
+
+    Before that, chains of neighbours by `node` are followed in blocks (`contracted`), so only what leaves a block takes rounds.
+    """
+    # one row a node: no edge, one edge, or, as `many`, more of them or one to null
+    links = edges.where("NOT node <=> dep").select("node", "dep", F.lit(False).alias("here"))
+    rows = nodes.select("node", F.lit(None).cast(dict(edges.dtypes)["dep"]).alias("dep"), F.lit(True).alias("here")).unionByName(links)
+    lost = F.max(F.col("dep").isNull() & ~F.col("here"))
+    rows = rows.groupBy("node").agg(F.max("here").alias("here"), F.min("dep").alias("dep"), (lost | F.coalesce(F.min("dep") < F.max("dep"), F.lit(False))).alias("many"))
+    present = cut(contracted(rows.where("here AND node IS NOT NULL").select("node", "dep", "many")))
+    many = present.where("state = 'many'").select("node")
+    open_ = cut(present.where("state = 'open'").select("node", "dep").unionByName(edges.where("NOT node <=> dep").select("node", "dep").distinct().join(many, "node", "left_semi")))
+    # few nodes are asked for where most are settled in their blocks
+    goals = open_.select("dep").distinct()
+    goals = cut(present.select(F.col("node").alias("dep"), "state").join(goals, "dep"))
+    open_ = cut(open_.join(goals, "dep", "left").select("node", "dep", F.coalesce("state", F.lit("bad")).alias("state")))
+    bad = cut(open_.where("state = 'bad'").select("node").distinct())
+    open_ = cut(open_.where("state IN ('open', 'many')").select("node", "dep").join(bad, "node", "left_anti"))
+    if open_.limit(1).count():
+        bad = _fallen(open_, bad)
+    stay = present.where("state = 'good'").select("node").unionByName(present.where("state IN ('open', 'many')").select("node").join(bad, "node", "left_anti"))
+    return stay.unionByName(nodes.where("node IS NULL").select("node").distinct())
+
+
+def contracted(rows: DataFrame, ranges: int | None = None) -> DataFrame:
+    """node, dep, state of `rows` (node, dep, many; one for each node, dep null where it rests on none).
+
+    Nodes are dealt by ranges, and in a block of neighbours each chain is followed to its end. Where that is a node without edges or
+    a cycle, a node is good; where it is a node missing from the block's range, bad; else open, and `dep` is the end: a node
+    of another block, or one that is `many`.
     """
-    present = cut(nodes.select("node").distinct())
-    mine = edges.select("node", "dep").distinct().join(present, "node", "left_semi")
-    there = present.select(F.col("node").alias("dep"), F.lit(True).alias("there"))
-    open_ = cut(mine.join(there, "dep", "left").select("node", F.col("dep"), F.coalesce("there", F.lit(False)).alias("there")))
-    bad = cut(open_.where(~F.col("there")).select("node").distinct())
-    open_ = open_.where("there AND node <> dep").select("node", "dep").join(bad, "node", "left_anti")
-    open_ = cut(open_)
+    if ranges is None:
+        ranges = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    kind = dict(rows.dtypes)["node"]
+    alone = F.col("dep").isNotNull() & ~F.col("many")
+    # no nulls, which pandas would make floats of
+    flat = rows.select("node", F.when(alone, F.col("dep")).otherwise(F.col("node")).alias("dep"), F.when(F.col("many"), 2).when(alone, 1).otherwise(0).alias("kind"))
+
+    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in gathered(batches, BLOCK):
+            node, dep, what = (pdf[c].to_numpy() for c in ("node", "dep", "kind"))
+            own = np.arange(len(node))
+            at = np.minimum(np.searchsorted(node, dep), len(node) - 1)
+            inside = (what == 1) & (node[at] == dep)
+            missing = (what == 1) & ~inside & (dep >= node[0]) & (dep <= node[-1])
+            step = np.where(inside, at, own)
+            end = step
+            for _ in range(len(node).bit_length()):
+                end = end[end]
+            state = np.select([inside[end] | (what[end] == 0), missing[end], what == 2], ["good", "bad", "many"], "open")
+            yield pd.DataFrame({"node": node, "dep": np.where(what[end] == 2, node[end], dep[end]), "state": state})
+
+    return flat.repartitionByRange(ranges, "node").sortWithinPartitions("node").mapInPandas(follow, f"node {kind}, dep {kind}, state string")
+
+
+#: Neighbouring nodes in a block, about.
+BLOCK = 1 << 20
+
+
+def gathered(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    """Batches put together to `rows` rows, and less at the end; none is empty."""
+    held, n = [], 0
+    for pdf in batches:
+        held.append(pdf)
+        n += len(pdf)
+        if n >= rows:
+            yield pd.concat(held, ignore_index=True)
+            held, n = [], 0
+    if n:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _fallen(open_: DataFrame, bad: DataFrame) -> DataFrame:
+    """`bad` (node) with all nodes of the edges `open_` that rest on them, over any number of edges."""
     while True:
         # what is known of the nodes that edges lead to: bad, good (without edges), or resting on one other only
         alone = open_.groupBy(F.col("node").alias("dep")).agg(F.count(F.lit(1)).alias("n"), F.min("dep").alias("to"))
         known = alone.select("dep", F.when(F.col("n") == 1, F.col("to")).alias("to"), F.lit("open").alias("state"))
-        known = known.unionByName(bad.select(F.col("node").alias("dep"), F.lit(None).cast(dict(edges.dtypes)["dep"]).alias("to"), F.lit("bad").alias("state")))
+        known = known.unionByName(bad.select(F.col("node").alias("dep"), F.lit(None).cast(dict(open_.dtypes)["dep"]).alias("to"), F.lit("bad").alias("state")))
         led = cut(open_.join(known, "dep", "left").select("node", F.coalesce("to", "dep").alias("dep"), F.coalesce("state", F.lit("good")).alias("state")))
         falls = cut(led.where("state = 'bad'").select("node").distinct())
         left = cut(led.where("state = 'open' AND node <> dep").select("node", "dep").distinct().join(falls, "node", "left_anti"))
         settled = open_.select("node").distinct().count() - left.select("node").distinct().count()
         bad, open_ = cut(bad.unionByName(falls)), left
         if not settled:
-            return present.join(bad, "node", "left_anti")
+            return bad
 
 
 def cycle_paths(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:

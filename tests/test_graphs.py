@@ -73,3 +73,30 @@ def test_components_and_witnesses(spark):
         assert all((a, b) in set(edges) and want[a] == c for a, b in zip(path, path[1:]))
     assert paths[100] == [100, 101, 100] and paths[110] == [110, 110]
     assert im.components(table.limit(0)).collect() == []
+
+
+def test_chains_of_neighbours_take_no_rounds(spark, monkeypatch):
+    """Chains inside blocks are settled at once; only what leaves a block is led on."""
+    n, left = 20_000, []
+    real = im._fallen
+    monkeypatch.setattr(im, "_fallen", lambda open_, bad: (left.append(open_.count()), real(open_, bad))[1])
+    nodes = spark.range(1, n).selectExpr("id AS node").where("node % 500 <> 77")
+    links = spark.range(1, n).selectExpr("id AS node", "id - 1 AS dep").where("node % 700 <> 1")
+    want = [i for i in range(1, n) if not any(j % 500 == 77 for j in range((i - 1) // 700 * 700 + 1, i + 1))]
+    assert sorted(r.node for r in im.drop_dangling(links, nodes).collect()) == want
+    assert sum(left) <= 4 * 700
+
+
+@pytest.mark.parametrize("block", [1, 7, 1 << 20])
+def test_blocks_of_any_size_keep_the_same(spark, monkeypatch, block):
+    rng = random.Random(block)
+    nodes = [i for i in range(150) if rng.random() < 0.97]
+    edges = [(i, rng.choice([i + 1, i + 1, i - 3, rng.randrange(150)])) for i in range(150) for _ in range(rng.choice([0, 1, 1, 1, 2]))]
+    edges += [(200, 201), (201, 202), (202, 200), (203, 200), (204, 204), (205, 204), (5, 5), (206, None), (207, 206), (208, 201), (208, 206)]
+    nodes += [*range(200, 209), None]
+    monkeypatch.setattr(im, "BLOCK", block)
+    names = frame(spark, edges).selectExpr("concat('n', node) AS node", "concat('n', dep) AS dep")
+    many = spark.createDataFrame([(n,) for n in nodes], "node long")
+    want = plain_left(edges, nodes[:-1]) | {None}  # an edge to null leads to nothing
+    assert {r.node for r in im.drop_dangling(frame(spark, edges), many).collect()} == want
+    assert {r.node for r in im.drop_dangling(names, many.selectExpr("concat('n', node) AS node")).collect()} == {n if n is None else f"n{n}" for n in want}
