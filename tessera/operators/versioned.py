@@ -122,6 +122,8 @@ def commit_fold(writes: DataFrame, group: str, known: str | None = None) -> Data
 
 #: Rounds in which chains of transactions are decided together, before what is left of them is folded.
 ROUNDS = 12
+#: Histories that may be broadcast.
+FEW = 100_000
 
 
 def commit_rounds(writes: DataFrame, group: str, rounds: int = ROUNDS) -> DataFrame:
@@ -131,7 +133,8 @@ def commit_rounds(writes: DataFrame, group: str, rounds: int = ROUNDS) -> DataFr
     a transaction fails that has a rival known to be committed, and one commits whose rivals have all failed; so
     round n decides all that is n rivals deep, of all groups at once. No pairs are made: for every write the last
     committed and the last undecided write of its key tell whether there is such a rival, and a key's history is looked at in
-    blocks. Failed transactions leave the table. What is still open after `rounds` rounds, long chains of transactions each of
+    blocks. Failed transactions leave the table, and committed ones after the round in which they could fail others, so rounds after the
+    first cost what is still open and the keys that it waits on. What is still open after `rounds` rounds, long chains of transactions each of
     which waits for the one before, is folded in order with what is known.
     """
     open_ = F.col("__state").isNull()
@@ -148,8 +151,14 @@ def commit_rounds(writes: DataFrame, group: str, rounds: int = ROUNDS) -> DataFr
             break
         decided = new if decided is None else decided.unionByName(new)
         told = new.withColumnRenamed("committed", "__told")
-        rows = rows.join(told, [group, "txn"], "left").withColumn("__state", F.coalesce("__state", "__told")).drop("__told")
-        rows = cut(rows.where(open_ | F.col("__state")))
+        moved = cut(rows.where(open_).join(told, [group, "txn"], "left").where("coalesce(__told, true)").withColumn("__state", F.col("__told")).drop("__told"))
+        # what was committed before has failed all that it could; what is so now counts where others wait on its key
+        waiting = cut(moved.where(open_).select("__history").distinct())
+        n = waiting.count()
+        if not n:
+            return decided
+        won = moved.where("__state").join(F.broadcast(waiting) if n <= FEW else waiting, "__history", "left_semi")
+        rows = cut(moved.where(open_).unionByName(won.select(*moved.columns)))
     if decided is None:
         return rows.select(group, "txn", F.lit(True).alias("committed")).limit(0)
     left = rows.where(open_).select(group).distinct()

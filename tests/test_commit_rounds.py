@@ -63,3 +63,12 @@ def test_what_failed_blocks_nobody(spark):
     rows = [(0, 1, 1, 0, 1), (0, 2, 1, 0, 2), (0, 2, 2, 0, 2), (0, 3, 2, 0, 3)]
     assert got(kv.commit_rounds(spark.createDataFrame(rows, SCHEMA), "part")) == {(0, 1, True), (0, 2, False), (0, 3, True)}
     assert kv.commit_rounds(spark.createDataFrame([], SCHEMA), "part").collect() == []
+
+
+def test_later_rounds_hold_what_is_open_only(spark, monkeypatch):
+    """300 lone transactions, and a chain of 6: lone ones are no rows of the second round, nor are those that won before it."""
+    held, real = [], kv.largest_before
+    monkeypatch.setattr(kv, "largest_before", lambda rows, *a: (held.append(rows.count()), real(rows, *a))[1])
+    rows = [(0, n, 7, max(0, n - 2), n) for n in range(1, 7)] + [(0, n, n, n - 1, n) for n in range(10, 310)]
+    assert got(kv.commit_rounds(spark.createDataFrame(rows, SCHEMA), "part")) == plain(rows)
+    assert held[0] == 306 and max(held[1:]) <= 6 and held == sorted(held, reverse=True)
