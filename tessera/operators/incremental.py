@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tessera.operators.lineage import cut
@@ -176,7 +176,56 @@ def cycle_paths(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, component: the strongly connected components of edges (node, dep) that hold a cycle; component is its smallest node.
 
-    Rounds of trimming and colours. Trimming takes away nodes without an edge in or out, again and again, which ends at once on
+    Nodes without an edge in or out are trimmed while that takes much away. Then chains are folded: a node with one edge in and one out is
+    a link, links in a row are a path from one other node, a hub, to another, or a cycle by themselves, which is a component. Paths are
+    found by doubling, so long cycles take few rounds. Hubs with an edge for each path go through rounds of colours (`_coloured`), and a
+    path between two hubs of one component belongs to it.
+    """
+    left = cut(edges.select("node", "dep").where("node IS NOT NULL AND dep IS NOT NULL").distinct())
+    loops = left.where("node = dep").select("node", F.col("node").alias("component"))
+    left = trimmed(left.where("node <> dep"), 0.25)
+    links = _links(left)
+    paths = links.where("NOT open")
+    # edges of hubs: to a hub, or over a path (its last link) to the hub behind it; `low` is the smallest link of a path
+    over = paths.select(F.col("node").alias("dep"), "last", "low", "end")
+    hubs = cut(left.join(links.select("node"), "node", "left_anti").join(over, "dep", "left").select("node", F.coalesce("end", "dep").alias("dep"), "last", "low"))
+    held = cut(_coloured(hubs.select("node", "dep")))
+    inside = hubs.where("last IS NOT NULL").join(held, "node").join(held.select(F.col("node").alias("dep"), F.col("component").alias("c")), "dep").where("component = c")
+    inside = cut(inside.select("last", "low", "component"))
+    lowest = inside.groupBy("component").agg(F.min("low").alias("low"))
+    found = held.unionByName(paths.select("node", "last").join(inside.select("last", "component"), "last").select("node", "component"))
+    found = found.join(lowest, "component", "left").select("node", F.least("component", "low").alias("component"))
+    found = cut(found.unionByName(links.where("open").select("node", F.col("low").alias("component"))))
+    return found.unionByName(loops.join(found, "node", "left_anti"))
+
+
+def _links(edges: DataFrame) -> DataFrame:
+    """node, last, low, end, open of the links of edges (node, dep): nodes with one edge in and one out.
+
+    `last` is the last link of a path, `end` the node behind it, `low` the smallest link from a node to that one. Links that
+    rest on themselves are `open`; there `low` is the smallest of the cycle.
+    """
+    ends = edges.select("node", "dep", F.lit(1).alias("out")).unionByName(edges.select(F.col("dep").alias("node"), F.lit(None).cast(dict(edges.dtypes)["dep"]).alias("dep"), F.lit(0).alias("out")))
+    alone = cut(ends.groupBy("node").agg(F.min("dep").alias("dep"), F.sum("out").alias("n_out"), F.count(F.lit(1)).alias("n")).where("n_out = 1 AND n = 2").select("node", "dep"))
+    here = alone.select(F.col("node").alias("dep"), F.lit(True).alias("open"))
+    rows = alone.join(here, "dep", "left").select("node", F.coalesce("open", F.lit(False)).alias("open"), "dep")
+    rows = cut(rows.select("node", F.when(F.col("open"), F.col("dep")).otherwise(F.col("node")).alias("last"), F.col("node").alias("low"), F.when(~F.col("open"), F.col("dep")).alias("end"), "open"))
+    closed, rows = rows.where("NOT open"), rows.where("open")
+    while True:
+        # twice as far; a round in which no link comes to an end and none learns of a smaller one has been round all cycles
+        ahead = closed.unionByName(rows).select(F.col("node").alias("last"), F.col("last").alias("to"), F.col("low").alias("other"), F.col("end").alias("behind"), F.col("open").alias("goes"))
+        moved = Observation()
+        led = rows.join(ahead, "last").select("node", F.col("to").alias("last"), F.least("low", "other").alias("low"), F.col("behind").alias("end"), F.col("goes").alias("open"), (F.col("other") < F.col("low")).alias("lower"))
+        led = cut(led.observe(moved, F.count_if(F.col("lower") | ~F.col("open")).alias("n")))
+        closed, rows = closed.unionByName(led.where("NOT open").drop("lower")), led.where("open").drop("lower")
+        if not moved.get["n"]:
+            return closed.unionByName(rows)
+
+
+def _coloured(edges: DataFrame) -> DataFrame:
+    """As `components`, by rounds of trimming and colours.
+
+    Trimming takes away nodes without an edge in or out, again and again, which ends at once on
     most of a graph. Then every node takes the smallest node that reaches it as its colour, and those that reach
     the node of their own colour inside that colour are its component; they leave, and the rest goes on.
     """
@@ -206,15 +255,18 @@ def components(edges: DataFrame) -> DataFrame:
     return alone if found is None else found.unionByName(alone.join(found, "node", "left_anti"))
 
 
-def trimmed(edges: DataFrame) -> DataFrame:
-    """`edges` (node, dep) without the nodes that no cycle can hold: those with no edge in, or none out, over and over."""
+def trimmed(edges: DataFrame, least: float = 0) -> DataFrame:
+    """`edges` (node, dep) without the nodes that no cycle can hold: those with no edge in, or none out, over and over, as long as
+    more than the share `least` of the edges goes."""
+    n = edges.count()
     while True:
         ends = edges.select(F.col("dep").alias("node"))
         fewer = edges.join(ends, "node", "left_semi").join(edges.select(F.col("node").alias("dep")), "dep", "left_semi").select("node", "dep")
         fewer = cut(fewer)
-        if fewer.count() == edges.count():
+        left = fewer.count()
+        if n - left <= n * least:
             return fewer
-        edges = fewer
+        edges, n = fewer, left
 
 
 def _spread(edges: DataFrame, colour: DataFrame) -> DataFrame:
@@ -229,20 +281,33 @@ def _spread(edges: DataFrame, colour: DataFrame) -> DataFrame:
         colour = cut(colour.join(told, colour.at == told.of, "left").select("at", F.coalesce("told", "colour").alias("colour")))
 
 
+#: Nodes up to which a cycle is followed in one row.
+RING = 64
+
+
 def witnesses(edges: DataFrame, held: DataFrame) -> DataFrame:
     """component, path: one shortest cycle through each component's own node, from it back to it; the smallest of equal ones.
 
-    A search from that node inside its component, one level a round: a node is met once, with one path.
+    A component whose nodes all have one edge in it is a single cycle, which is followed in one row up to RING nodes. In others, a search from
+    that node inside its component, one level a round: a node is met once, with one path.
     """
-    inside = edges.select("node", "dep").distinct().join(held, "node").join(held.select(F.col("node").alias("dep"), F.col("component").alias("c")), "dep").where("component = c").select("node", "dep", "component")
-    inside = cut(inside)
+    inside = edges.select("node", "dep").join(held, "node").join(held.select(F.col("node").alias("dep"), F.col("component").alias("c")), "dep").where("component = c").select("node", "dep", "component")
+    inside = cut(inside.distinct())
+    sizes = inside.groupBy("component", "node").agg(F.count(F.lit(1)).alias("n")).groupBy("component").agg(F.max("n").alias("most"), F.count(F.lit(1)).alias("n"))
+    rings = cut(sizes.where((F.col("most") == 1) & (F.col("n") <= RING)).select("component", "n"))
+    turns = inside.join(rings, "component").groupBy("component", "n").agg(F.map_from_entries(F.collect_list(F.struct("node", "dep"))).alias("next"))
+    followed = F.aggregate(F.sequence(F.lit(1), F.col("n").cast("int")), F.array("component"), lambda path, _: F.concat(path, F.array(F.col("next")[F.element_at(path, -1)])))
+    closed = cut(turns.select("component", followed.alias("path")))
+    inside, held = (rows.join(rings, "component", "left_anti") for rows in (inside, held))
     walks = cut(held.where("node = component").select("component", "node", F.array("node").alias("path")))
-    met, closed = walks.select("component", "node"), None
+    if not walks.limit(1).count():
+        return closed
+    inside, met = cut(inside), walks.select("component", "node")
     while True:
         step = walks.join(inside, ["component", "node"]).select("component", F.col("dep").alias("node"), F.concat("path", F.array("dep")).alias("path"))
         step = cut(step.groupBy("component", "node").agg(F.min("path").alias("path")))
         back = step.where("node = component").select("component", "path")
-        closed = back if closed is None else closed.unionByName(back.join(closed, "component", "left_anti"))
+        closed = closed.unionByName(back.join(closed, "component", "left_anti"))
         closed = cut(closed)
         walks = cut(step.join(met, ["component", "node"], "left_anti").join(closed, "component", "left_anti"))
         if not walks.limit(1).count():

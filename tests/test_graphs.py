@@ -100,3 +100,34 @@ def test_blocks_of_any_size_keep_the_same(spark, monkeypatch, block):
     want = plain_left(edges, nodes[:-1]) | {None}  # an edge to null leads to nothing
     assert {r.node for r in im.drop_dangling(frame(spark, edges), many).collect()} == want
     assert {r.node for r in im.drop_dangling(names, many.selectExpr("concat('n', node) AS node")).collect()} == {n if n is None else f"n{n}" for n in want}
+
+
+def test_long_cycles_take_few_rounds(spark, monkeypatch):
+    """Cycles alone and between hubs, of links in no order, beside chains that lead to and from them: colours meet hubs only."""
+    met, rounds = [], []
+    real, cut = im._coloured, im.cut
+    monkeypatch.setattr(im, "_coloured", lambda edges: (met.append(edges.count()), real(edges))[1])
+    monkeypatch.setattr(im, "cut", lambda df: (rounds.append(1), cut(df))[1])
+    names = list(range(1000))
+    random.Random(3).shuffle(names)
+    ring = lambda some: list(zip(some, some[1:] + some[:1]))
+    edges = ring(names[:300]) + ring(names[300:305]) + ring(names[305:307])
+    edges += ring(names[400:500]) + ring([names[400], *names[500:560]])  # two cycles through one hub
+    edges += list(zip(names[600:640], names[601:640])) + [(names[700], names[600]), (names[639], names[710])]  # a chain from one cycle to the next
+    edges += ring(names[700:710]) + ring(names[710:720]) + [(names[720], names[720]), (names[721], names[722])]
+    want = {n: min(some) for some in (names[:300], names[300:305], names[305:307], names[400:560], names[700:710], names[710:720], names[720:721]) for n in some}
+    held = im.components(frame(spark, edges))
+    assert {r.node: r.component for r in held.collect()} == want and held.count() == len(want)
+    assert sum(met) < 20 and len(rounds) < 50
+    small = held.join(held.groupBy("component").count().where("count < 50").select("component"), "component").select("node", "component")
+    paths = {r.component: r.path for r in im.witnesses(frame(spark, edges), small).collect()}
+    assert set(paths) == {c for c in want.values() if list(want.values()).count(c) < 50}
+    assert all(set(zip(path, path[1:])) <= set(edges) and path[0] == path[-1] == c and len(path) == list(want.values()).count(c) + 1 for c, path in paths.items())
+
+
+@pytest.mark.parametrize("ring", [0, 64])
+def test_cycles_in_a_row_and_in_rounds_are_the_same(spark, monkeypatch, ring):
+    monkeypatch.setattr(im, "RING", ring)
+    edges = [(3, 9), (9, 4), (4, 3), (3, 3), (20, 25), (25, 22), (22, 20), (30, 30), (40, 41), (41, 40), (40, 42), (42, 40), (20, 30)]
+    table = frame(spark, edges + edges[:4])
+    assert {r.component: r.path for r in im.witnesses(table, im.components(table)).collect()} == {3: [3, 3], 20: [20, 25, 22, 20], 30: [30, 30], 40: [40, 41, 40]}
