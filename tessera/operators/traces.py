@@ -32,6 +32,15 @@ STEPS = "node long, step int, pos int, dep long"
 READ = "array<struct<dep:bigint,value:bigint>>"
 
 
+#: Rows of ids up to which they are broadcast; above, both sides of a join are shuffled.
+FEW = 100_000
+
+
+def _near(rows: DataFrame, n: int) -> DataFrame:
+    """`rows` of which there are n, broadcast if these are few."""
+    return F.broadcast(rows) if n <= FEW else rows
+
+
 class CycleError(ValueError):
     """Nodes rest on themselves; `path` is such a cycle."""
 
@@ -68,54 +77,95 @@ class Traces:
     def verify(self, asked: DataFrame, inputs: DataFrame, revision: int, before: int) -> DataFrame:
         """node, value, changed_at, ran of all that was looked at; the traces of version `before` go on as `revision`."""
         old, recorded = self.nodes(before), self.steps(before)
-        last = recorded.groupBy("node").agg(F.max("step").alias("last"))
-        inputs = inputs.select(F.col("node").alias("dep"), "value", "changed_at")
+        last = cut(recorded.groupBy("node").agg(F.max("step").alias("last")))
+        facts = inputs.select(F.col("node").alias("dep"), "value", "changed_at")
         empty = F.array().cast(READ)
         nothing = F.array().cast("array<long>")
-
-        def begun(wanted: DataFrame) -> DataFrame:
-            """The state of nodes that start: through their trace if they have one, else by running."""
-            rows = wanted.select("node").distinct().join(old, "node").join(last, "node", "left")
-            return rows.select("node", "kind", "args", F.col("value").alias("was"), "changed_at", "verified_at", F.coalesce("last", F.lit(-1)).alias("last"),
-                               F.col("verified_at").isNull().alias("runs"), F.lit(0).alias("step"), empty.alias("read"), nothing.alias("wants"), F.array().cast("array<array<bigint>>").alias("asked"))
-
-        active, finished, self.executed, self.rounds = cut(begun(asked)), None, 0, 0
-        while active.limit(1).count():
+        never = F.array().cast("array<array<bigint>>")
+
+        def begun(wanted: DataFrame, n: int) -> DataFrame:
+            """The state of `wanted`, n distinct nodes that start: through their trace if they have one, else by running, which
+            gives what they read first. `fresh` are nodes whose needs have not been looked up."""
+            traced = last if n > FEW else last.join(F.broadcast(wanted), "node")
+            rows = old.join(_near(wanted, n), "node").join(traced, "node", "left")
+            rows = rows.select("node", "kind", "args", F.col("value").alias("was"), "changed_at", "verified_at", F.coalesce("last", F.lit(-1)).alias("last"),
+                               F.col("verified_at").isNull().alias("runs"), F.lit(0).alias("step"), empty.alias("read"), never.alias("asked"))
+            did = rows.withColumn("did", F.when(F.col("runs"), self.body()))
+            return did.withColumn("wants", F.coalesce("did.wants", nothing)).withColumn("fresh", F.lit(True)).drop("did")
+
+        def counted(rows: DataFrame, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+            seen = Observation()
+            rows = cut(rows.observe(seen, *(c.alias(name) for name, c in counts.items())))
+            return rows, seen.get
+
+        def looked_up(fresh: DataFrame, n: int) -> DataFrame:
+            """What each of n nodes needs now: its recorded step, or what its body wants; `ready` where that is known."""
+            steps = recorded.join(_near(fresh.where("NOT runs").select("node", "step"), n), ["node", "step"]).select("node", "pos", "dep", F.lit(False).alias("runs"))
+            needs = steps.unionByName(fresh.where("runs").select("node", F.posexplode("wants").alias("pos", "dep"), F.lit(True).alias("runs")))
+            known = facts.withColumn("ready", F.lit(True))
+            if n <= FEW:
+                needs, size = counted(needs, n=F.count(F.lit(1)))
+                if size["n"] <= FEW:
+                    known = known.join(F.broadcast(needs.select("dep").distinct()), "dep", "left_semi")
+            return needs.join(known, "dep", "left").withColumn("fresh", F.lit(True))
+
+        one = F.count(F.lit(1))
+        active, size = counted(asked.select("node").distinct(), n=one)
+        active, left = counted(begun(active, size["n"]), n=one, fresh=one)
+        finished, pending, new, n_new, self.executed, self.rounds = None, None, None, 0, 0, 0
+        while left["n"]:
             self.rounds += 1
-            facts = inputs.withColumn("ready", F.lit(True))
-            if finished is not None:
-                facts = facts.unionByName(finished.select(F.col("node").alias("dep"), "value", "changed_at", F.lit(True).alias("ready")))
-            # what each node needs now: its recorded step, or what its body wants
-            needs = active.where("NOT runs").join(recorded, ["node", "step"]).select("node", "pos", "dep")
-            needs = cut(needs.unionByName(active.where("runs").select("node", F.posexplode("wants").alias("pos", "dep"))).join(facts, "dep", "left"))
-            by = needs.groupBy("node").agg(F.count_if(F.col("ready").isNull()).alias("missing"), F.max("changed_at").alias("newest"), F.sort_array(F.collect_list(F.struct("pos", "dep", "value"))).alias("got"))
-            seen = active.join(by, "node", "left").withColumn("missing", F.coalesce("missing", F.lit(0)))
-            waits, moved = seen.where("missing > 0"), seen.where("missing = 0")
-            changed = F.coalesce(F.col("newest") > F.col("verified_at"), F.lit(False))
-            checks = moved.where("NOT runs").withColumn("runs", changed).withColumn("step", F.when(changed, 0).otherwise(F.col("step") + 1))
-            green = checks.where("NOT runs AND step > last")
-            # a body runs with all that it has read; what it has just read is a new step
-            got = F.coalesce(F.transform("got", lambda g: F.struct(g.dep.alias("dep"), g.value.alias("value"))), empty)
-            ran = moved.where("runs").withColumn("read", F.concat("read", got)).withColumn("asked", F.when(F.size("wants") > 0, F.concat("asked", F.array("wants"))).otherwise(F.col("asked")))
-            ran = ran.unionByName(checks.where("runs").withColumns({"read": empty, "wants": nothing, "asked": F.array().cast("array<array<bigint>>")}))
-            ran = cut(ran.withColumn("did", self.body()).drop("wants"))
-            closed = F.size(F.coalesce("did.wants", nothing)) == 0
-            same = F.col("did.value").eqNullSafe(F.col("was")) & F.col("verified_at").isNotNull()
-            counted = Observation()
-            red = ran.where(closed).select("node", F.col("did.value").alias("value"), F.when(same, F.col("changed_at")).otherwise(F.lit(revision)).cast("long").alias("changed_at"), F.lit(True).alias("ran"), "asked")
-            new = green.select("node", F.col("was").alias("value"), "changed_at", F.lit(False).alias("ran"), "asked").unionByName(red)
-            new = cut(new.observe(counted, F.count_if("ran").alias("ran"), F.count(F.lit(1)).alias("n")))
-            self.executed += counted.get["ran"]
-            finished = new if finished is None else cut(finished.unionByName(new))
-            keep = [c for c in active.columns if c != "wants"]
-            on = checks.where("NOT runs AND step <= last").select(*keep, "wants").unionByName(ran.where(~closed).select(*keep, F.col("did.wants").alias("wants")))
-            still = cut(waits.select(*active.columns).unionByName(on.select(*active.columns)))
+            # what nodes wait for is looked up once; after that only what has just finished is new to them
+            needs = pending
+            if pending is not None and n_new:
+                told = new.select(F.col("node").alias("dep"), F.col("value").alias("__value"), F.col("changed_at").alias("__changed"), F.lit(True).alias("__ready"))
+                needs = pending.join(_near(told, n_new), "dep", "left").select("dep", "node", "pos", "runs", F.coalesce("value", "__value").alias("value"), F.coalesce("changed_at", "__changed").alias("changed_at"), F.coalesce("ready", "__ready").alias("ready"), "fresh")
+            if left["fresh"]:
+                found = looked_up(active.where("fresh"), left["fresh"])
+                needs = found if needs is None else needs.unionByName(found)
+            needs, lacks = counted(needs, n=F.count_if(F.col("fresh") & F.col("ready").isNull()))
+            got = F.sort_array(F.collect_list(F.when(F.col("runs"), F.struct("pos", "dep", "value"))))
+            by = needs.groupBy("node").agg(F.count_if(F.col("ready").isNull()).alias("missing"), F.max("changed_at").alias("newest"), got.alias("got"))
+            waits = F.coalesce(F.col("missing") > 0, F.lit(False))
+            changed = ~waits & ~F.col("runs") & F.coalesce(F.col("newest") > F.col("verified_at"), F.lit(False))
+            state = F.when(waits, "wait").when(F.col("runs") | changed, "ran").when(F.col("step") + 1 > F.col("last"), "green").otherwise("step")
+            seen = active.join(by, "node", "left").withColumns({"state": state, "changed": changed})
+            # a body runs with all that it has read, from nothing after a change; what it has just read is a new step
+            ran, anew = F.col("state") == "ran", F.col("changed")
+            more = F.concat("read", F.coalesce(F.transform("got", lambda g: F.struct(g.dep.alias("dep"), g.value.alias("value"))), empty))
+            seen = seen.withColumns({
+                "read": F.when(anew, empty).when(ran, more).otherwise(F.col("read")),
+                "asked": F.when(anew, never).when(ran & (F.size("wants") > 0), F.concat("asked", F.array("wants"))).otherwise(F.col("asked")),
+                "step": F.when(anew, 0).when(F.col("state") == "step", F.col("step") + 1).otherwise(F.col("step")),
+                "runs": F.col("runs") | anew,
+            })
+            seen = seen.drop("missing", "newest", "got", "changed").withColumn("did", F.when(ran, self.body()))
+            wanted = F.coalesce("did.wants", nothing)
+            seen = seen.withColumn("state", F.when(~ran, F.col("state")).when(F.size(wanted) == 0, "red").otherwise("more"))
+            seen = seen.withColumns({"wants": F.when(F.col("state") == "more", wanted).otherwise(F.col("wants")), "value": F.col("did.value")}).drop("did")
+            seen, is_ = counted(seen, wait=F.count_if(F.col("state") == "wait"), red=F.count_if(F.col("state") == "red"), green=F.count_if(F.col("state") == "green"))
+            self.executed += is_["red"]
+            n_new = is_["red"] + is_["green"]
+            if n_new:
+                red = F.col("state") == "red"
+                same = F.col("value").eqNullSafe(F.col("was")) & F.col("verified_at").isNotNull()
+                new = seen.where("state IN ('red', 'green')").select("node", F.when(red, F.col("value")).otherwise(F.col("was")).alias("value"), F.when(red & ~same, F.lit(revision)).otherwise(F.col("changed_at")).cast("long").alias("changed_at"), red.alias("ran"), "asked")
+                new = cut(new)
+                finished = new if finished is None else finished.unionByName(new)
+                finished = cut(finished) if self.rounds % 16 == 0 else finished
+                facts = inputs.select(F.col("node").alias("dep"), "value", "changed_at").unionByName(finished.select(F.col("node").alias("dep"), "value", "changed_at"))
+            pending = needs.withColumn("fresh", F.lit(False)).join(_near(seen.where("state = 'wait'").select("node"), is_["wait"]), "node", "left_semi") if is_["wait"] else None
+            going = seen.where("state IN ('wait', 'step', 'more')").withColumn("fresh", F.col("state") != "wait").select(*active.columns)
+            n_going = left["n"] - n_new
             # only what a node needs now is started; it is started once
-            more = needs.where("ready IS NULL").select(F.col("dep").alias("node")).join(still, "node", "left_anti").join(finished, "node", "left_anti")
-            started = cut(begun(more))
-            if not counted.get["n"] and not on.limit(1).count() and not started.limit(1).count():
+            if lacks["n"]:
+                start = needs.where("fresh AND ready IS NULL").select(F.col("dep").alias("node")).distinct().join(_near(active.select("node"), left["n"]), "node", "left_anti")
+                going = going.unionByName(begun(start, lacks["n"]).select(*active.columns))
+            active, left = counted(going, n=one, fresh=F.count_if("fresh"))
+            if not n_new and left["n"] == n_going == is_["wait"]:
                 self._stuck(needs.where("ready IS NULL").select("node", "dep"), old)
-            active = cut(still.unionByName(started))
+        if finished is None:
+            finished = self.spark.createDataFrame([], "node long, value long, changed_at long, ran boolean, asked array<array<bigint>>")
         self._record(finished, old, recorded, revision)
         return finished.select("node", "value", "changed_at", "ran")
 

@@ -89,3 +89,23 @@ def test_random_graphs(spark, tmp_path):
         reached = set()
         assert all(rows[a].value == plain(graph, values, a, reached) for a in asked)
         assert reached <= set(rows) and (revision > 1 or reached == {n for n, r in rows.items() if r.ran})
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_a_level_takes_two_rounds_at_most(spark, tmp_path, monkeypatch, few):
+    """What a node reads first is looked up in the round in which it starts, by broadcast or by shuffle; what waits only learns of what ends."""
+    monkeypatch.setattr("tessera.operators.traces.FEW", few, raising=False)
+    traces = Traces(spark, str(tmp_path), body)
+    traces.register(spark.createDataFrame([(103, "sum", [102, 5]), (102, "sum", [100, 101, 100]), (101, "tens", [3]), (100, "tens", [1, 2])], GRAPH))
+    values, changed = {i: 10 * i + 1 for i in range(1, 6)}, dict.fromkeys(range(1, 6), 0)
+
+    def verify(revision, asked=(103,)):
+        inputs = spark.createDataFrame([(i, v, changed[i]) for i, v in values.items()], INPUTS)
+        return {r.node: (r.value, r.ran) for r in traces.verify(spark.createDataFrame([(a,) for a in asked], "node long"), inputs, revision, revision - 1).collect()}
+
+    assert verify(1) == {100: (30, True), 101: (30, True), 102: (90, True), 103: (141, True)}
+    assert traces.rounds <= 5 and traces.executed == 4
+    values[1], changed[1] = 21, 2
+    assert verify(2) == {100: (40, True), 101: (30, False), 102: (110, True), 103: (161, True)}
+    assert traces.executed == 3 and traces.rounds <= 8
+    assert verify(3, asked=()) == {} and traces.rounds == 0
